@@ -8,56 +8,137 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from petridish.session import materialize
 
 
+# Groups up to this many edges are solved inside one task after their size was checked;
+# larger ones go through the distributed rounds.
+GROUP_EDGES = 200_000
+
+
+def split_by_size(df: DataFrame, keys: Sequence[str], limit: int) -> tuple[DataFrame, DataFrame | None]:
+    """Rows of groups up to ``limit`` rows, and the rest (None when there is none)."""
+    big = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > limit)
+    if big.isEmpty():
+        return df, None
+    big = materialize(big.select(*keys))
+    return df.join(big, list(keys), "left_anti"), df.join(big, list(keys), "left_semi")
+
+
 def greedy_matching(
-    edges: DataFrame, left: Sequence[str], right: Sequence[str], priority: Sequence[str]
+    edges: DataFrame,
+    keys: Sequence[str],
+    left: str,
+    right: str,
+    priority: Sequence[str],
+    limit: int = GROUP_EDGES,
 ) -> DataFrame:
-    """One-to-one matching that takes edges in ``priority`` order.
+    """One-to-one matching per ``keys`` that takes edges in ``priority`` order.
 
-    ``priority`` columns must order the edges of each connected group without ties. Per
-    round every edge that is the best one of both of its ends is taken and the edges it
-    blocks are removed; this gives the same result as walking the sorted edge list.
+    ``priority`` must order the edges of a group without ties. A group within the size limit
+    is walked in order by one task. A larger one is matched in rounds: every edge that is
+    the best one of both of its ends is taken and the edges it blocks are removed, which
+    gives the same result as walking the sorted list.
     """
-    rank = F.struct(*priority)
-    rest = materialize(edges.withColumn("_p", rank))
-    taken = None
+    keys = list(keys)
+    edges = materialize(edges)
+    small, big = split_by_size(edges, keys, limit)
+
+    def walk(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(list(priority), kind="stable")
+        used_left, used_right, keep = set(), set(), []
+        for l, r in zip(group[left], group[right]):
+            free = l not in used_left and r not in used_right
+            keep.append(free)
+            if free:
+                used_left.add(l)
+                used_right.add(r)
+        return group[keep]
+
+    taken = small.groupBy(*keys).applyInPandas(walk, edges.schema)
+    if big is None:
+        return taken
+    rest = materialize(big.withColumn("_p", F.struct(*priority)))
     while True:
-        best_left = rest.groupBy(*left).agg(F.min("_p").alias("_bl"))
-        best_right = rest.groupBy(*right).agg(F.min("_p").alias("_br"))
+        best_left = rest.groupBy(*keys, left).agg(F.min("_p").alias("_bl"))
+        best_right = rest.groupBy(*keys, right).agg(F.min("_p").alias("_br"))
         chosen = materialize(
-            rest.join(best_left, list(left))
-            .join(best_right, list(right))
+            rest.join(best_left, [*keys, left])
+            .join(best_right, [*keys, right])
             .filter((F.col("_p") == F.col("_bl")) & (F.col("_p") == F.col("_br")))
             .select(*rest.columns)
         )
         if chosen.isEmpty():
-            break
-        taken = chosen if taken is None else taken.unionByName(chosen)
+            return taken
+        taken = taken.unionByName(chosen.drop("_p"))
         rest = materialize(
-            rest.join(chosen.select(*left), list(left), "left_anti").join(
-                chosen.select(*right), list(right), "left_anti"
+            rest.join(chosen.select(*keys, left), [*keys, left], "left_anti").join(
+                chosen.select(*keys, right), [*keys, right], "left_anti"
             )
         )
-    return (taken if taken is not None else rest.limit(0)).drop("_p")
 
 
 def connected_components(
-    nodes: DataFrame, edges: DataFrame, node: str = "id", out: str = "component"
+    nodes: DataFrame,
+    edges: DataFrame,
+    keys: Sequence[str],
+    node: str = "id",
+    out: str = "component",
+    limit: int = GROUP_EDGES,
 ) -> DataFrame:
-    """Label every node with the smallest node of its component.
+    """Label every node with the smallest node of its component within ``keys``.
 
-    ``edges`` has columns ``a`` and ``b`` of the node type (any orderable type). Alternating
-    large-star and small-star steps (Kiveris et al., 2014) need O(log² n) rounds.
+    ``edges(keys, a, b)``, node ids are numbers. Groups within the size limit are solved by
+    one task each, larger ones by alternating large-star and small-star rounds.
     """
+    keys = list(keys)
+    edges = materialize(edges.filter("a <> b").select(*keys, "a", "b"))
+    small, big = split_by_size(edges, keys, limit)
+    kind = dict(nodes.dtypes)[node]
+    schema = StructType(
+        [f for f in nodes.schema.fields if f.name in keys]
+    ).add(node, kind).add("_root", kind)
+
+    def solve(group: pd.DataFrame) -> pd.DataFrame:
+        parent: dict = {}
+
+        def find(i):
+            parent.setdefault(i, i)
+            while parent[i] != i:
+                parent[i] = parent[parent[i]]
+                i = parent[i]
+            return i
+
+        for a, b in zip(group["a"].tolist(), group["b"].tolist()):
+            ra, rb = find(a), find(b)
+            if ra != rb:
+                parent[max(ra, rb)] = min(ra, rb)
+        found = pd.DataFrame({node: list(parent), "_root": [find(i) for i in parent]})
+        for k in keys:
+            found[k] = group[k].iloc[0]
+        return found[[*schema.names]]
+
+    roots = small.groupBy(*keys).applyInPandas(solve, schema)
+    if big is not None:
+        roots = roots.unionByName(_star_rounds(big, keys, node))
+    return (
+        nodes.join(roots, [*keys, node], "left")
+        .withColumn(out, F.coalesce("_root", node))
+        .drop("_root")
+    )
+
+
+def _star_rounds(edges: DataFrame, keys: list[str], node: str) -> DataFrame:
+    """Root of every non-root node, after Kiveris et al. (2014); O(log² n) rounds."""
 
     def tidy(frame: DataFrame) -> DataFrame:
         return (
-            frame.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+            frame.select(*keys, F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
             .filter("u <> v")
             .distinct()
         )
@@ -65,63 +146,37 @@ def connected_components(
     def mark(frame: DataFrame):
         return frame.agg(
             F.count(F.lit(1)),
-            F.sum(F.xxhash64("u", "v").bitwiseAND(F.lit(0xFFFFFFFF))),
+            F.sum(F.xxhash64(*keys, "u", "v").bitwiseAND(F.lit(0xFFFFFFFF))),
         ).first()
 
     current = materialize(tidy(edges))
     signature = mark(current)
-    while signature[0]:
+    while True:
         both = current.unionByName(
-            current.select(F.col("v").alias("u"), F.col("u").alias("v"))
+            current.select(*keys, F.col("v").alias("u"), F.col("u").alias("v"))
+        )
+        low = (
+            both.groupBy(*keys, "u")
+            .agg(F.min("v").alias("m"))
+            .select(*keys, "u", F.least("u", "m").alias("m"))
         )
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = (
-            both.join(low, "u").filter("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
+            both.join(low, [*keys, "u"])
+            .filter("v > u")
+            .select(*keys, F.col("v").alias("a"), F.col("m").alias("b"))
         )
         down = tidy(large)
-        low2 = down.groupBy("u").agg(F.min("v").alias("m"))
+        low2 = down.groupBy(*keys, "u").agg(F.min("v").alias("m"))
         small = (
-            down.join(low2, "u")
-            .select(F.col("v").alias("a"), F.col("m").alias("b"))
-            .unionByName(low2.select(F.col("u").alias("a"), F.col("m").alias("b")))
+            down.join(low2, [*keys, "u"])
+            .select(*keys, F.col("v").alias("a"), F.col("m").alias("b"))
+            .unionByName(low2.select(*keys, F.col("u").alias("a"), F.col("m").alias("b")))
         )
         current = materialize(tidy(small))
         new = mark(current)
         if new == signature:
-            break
+            return current.select(*keys, F.col("u").alias(node), F.col("v").alias("_root"))
         signature = new
-    roots = current.select(F.col("u").alias(node), F.col("v").alias("_root"))
-    return (
-        nodes.join(roots, node, "left")
-        .withColumn(out, F.coalesce("_root", node))
-        .drop("_root")
-    )
-
-
-def grid_neighbours(
-    left: DataFrame, right: DataFrame, keys: Sequence[str], size: Column, reach: int = 1
-) -> DataFrame:
-    """Pairs whose grid cells (edge ``size``) are at most ``reach`` apart.
-
-    ``left`` and ``right`` hold ``keys, x, y`` plus their own columns; ``size`` is evaluated
-    on each side. The equi-join key includes the grid cell, so a hot key spreads out.
-    """
-    spread = F.explode(F.sequence(F.lit(-reach), F.lit(reach)))
-    l = (
-        left.withColumn("_gx", F.floor(F.col("x") / size))
-        .withColumn("_gy", F.floor(F.col("y") / size))
-        .withColumn("_ox", spread)
-        .withColumn("_oy", spread)
-        .withColumn("_gx", F.col("_gx") + F.col("_ox"))
-        .withColumn("_gy", F.col("_gy") + F.col("_oy"))
-        .drop("_ox", "_oy")
-    )
-    r = (
-        right.withColumn("_gx", F.floor(F.col("x") / size))
-        .withColumn("_gy", F.floor(F.col("y") / size))
-        .withColumnsRenamed({"x": "_rx", "y": "_ry"})
-    )
-    return l.join(r, [*keys, "_gx", "_gy"]).drop("_gx", "_gy")
 
 
 def nearest(

@@ -13,9 +13,10 @@ def polygon_of(line: Column) -> Column:
     """``x1,y1,x2,y2,…`` to an array of points; NULL when missing, malformed or too short."""
     shape = r"^\s*[+-]?\d+\s*(,\s*[+-]?\d+\s*)+$"
     numbers = F.transform(F.split(line, ","), lambda t: F.trim(t).try_cast("int"))
-    points = F.transform(
+    points = F.zip_with(
         F.filter(numbers, lambda n, i: i % 2 == 0),
-        lambda x, i: F.struct(x.alias("x"), F.get(numbers, 2 * i + 1).alias("y")),
+        F.filter(numbers, lambda n, i: i % 2 == 1),
+        lambda x, y: F.struct(x.alias("x"), y.alias("y")),
     )
     commas = F.length(line) - F.length(F.replace(line, F.lit(","), F.lit("")))
     usable = line.rlike(shape) & (commas >= 5) & (commas % 2 == 1)
