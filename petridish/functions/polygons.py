@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from petridish.functions.numeric import col, compute_once
 
@@ -137,7 +136,9 @@ def _hull(points: np.ndarray) -> list[int]:
     return lower[:-1] + upper[:-1]
 
 
-HULL_TYPE = "struct<perimeter:double,area:double,feret:double>"
+HULL_TYPE = T.StructType(
+    [T.StructField(n, T.DoubleType()) for n in ("perimeter", "area", "feret")]
+)
 
 
 @F.pandas_udf(HULL_TYPE)
@@ -158,7 +159,7 @@ def hull_measures(polygons: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["perimeter", "area", "feret"])
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
 def defect_depths(polygons: pd.Series) -> pd.Series:
     """Per polygon, the depth of every hull gap: largest vertex distance to its hull edge.
 

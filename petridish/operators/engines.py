@@ -99,7 +99,7 @@ def connected_components(
     keys = list(keys)
     edges = materialize(edges.filter("a <> b").select(*keys, "a", "b"))
     small, big = split_by_size(edges, keys, limit)
-    kind = dict(nodes.dtypes)[node]
+    kind = nodes.schema[node].dataType
     schema = StructType(
         [f for f in nodes.schema.fields if f.name in keys]
     ).add(node, kind).add("_root", kind)
