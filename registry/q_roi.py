@@ -24,11 +24,13 @@ def query(name, sql=None):
     return register
 
 
-def rounded(df, digits=6):
-    for name, kind in df.dtypes:
-        if kind == "double":
-            df = df.withColumn(name, F.round(F.col(f"`{name}`"), digits))
-    return df
+def rounded(df, digits=6, nudge=0.0):
+    return df.select(
+        *[
+            F.round(F.col(f"`{n}`") + nudge, digits).alias(n) if kind == "double" else F.col(f"`{n}`")
+            for n, kind in df.dtypes
+        ]
+    )
 
 
 ROI = ["image_id", "region", "label"]

@@ -170,26 +170,32 @@ def _(spark, sf):
 
 
 def component_sql(mask, keys, steps, name="comp"):
+    """Components of horizontal runs; ``{name}_px`` has every pixel with its component."""
     cols = ", ".join(keys)
+    same = lambda a, b: " AND ".join(f"{a}.{k} = {b}.{k}" for k in keys)
     return f"""
-{name}_n AS (SELECT {cols}, x, y, CAST(y AS BIGINT) * {stencil.ROW_ID} + x AS id FROM {mask}),
-{name}_e AS (SELECT {', '.join('a.' + k for k in keys)}, a.id AS a, b.id AS b FROM {name}_n a, (VALUES {values(steps)}) o(dx, dy) JOIN {name}_n b
-  ON {' AND '.join(f'b.{k} = a.{k}' for k in keys)} AND b.x = a.x + dx AND b.y = a.y + dy),
-{name}({cols}, id, comp) USING KEY ({cols}, id) AS (
-  SELECT {cols}, id, id FROM {name}_n
+{name}_i AS (SELECT {cols}, x, y, x - row_number() OVER (PARTITION BY {cols}, y ORDER BY x) AS isl FROM {mask}),
+{name}_r AS (SELECT {cols}, x, y, CAST(y AS BIGINT) * {stencil.ROW_ID} + min(x) OVER (PARTITION BY {cols}, y, isl) AS run FROM {name}_i),
+{name}_h AS (SELECT DISTINCT {', '.join('a.' + k for k in keys)}, a.run AS a, b.run AS b FROM {name}_r a, (VALUES {values(steps)}) o(dx, dy) JOIN {name}_r b
+  ON {same('b', 'a')} AND b.x = a.x + dx AND b.y = a.y + dy WHERE a.run <> b.run),
+{name}_e AS (SELECT * FROM {name}_h UNION SELECT {cols}, b, a FROM {name}_h),
+{name}({cols}, run, comp) USING KEY ({cols}, run) AS (
+  SELECT DISTINCT {cols}, run, run FROM {name}_r
   UNION
-  SELECT {', '.join('e.' + k for k in keys)}, e.b, min(c.comp) FROM {name} c JOIN {name}_e e ON e.a = c.id AND {' AND '.join(f'e.{k} = c.{k}' for k in keys)}
-   JOIN recurring.{name} r ON r.id = e.b AND {' AND '.join(f'r.{k} = e.{k}' for k in keys)} WHERE c.comp < r.comp GROUP BY ALL)"""
+  SELECT {', '.join('e.' + k for k in keys)}, e.b, min(c.comp) FROM {name} c JOIN {name}_e e ON e.a = c.run AND {same('e', 'c')}
+   JOIN recurring.{name} r ON r.run = e.b AND {same('r', 'e')} WHERE c.comp < r.comp GROUP BY ALL),
+{name}_px AS (SELECT {', '.join('p.' + k for k in keys)}, p.x, p.y, c.comp FROM {name}_r p JOIN {name} c ON c.run = p.run AND {same('c', 'p')})"""
 
 
-FOUR = [(1, 0), (-1, 0), (0, 1), (0, -1)]
-EIGHT = [(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1) if a or b]
+# steps to the next line; runs already join the pixels of one line
+FOUR = [(0, 1)]
+EIGHT = [(-1, 1), (0, 1), (1, 1)]
 
 
 @query("connected_components", "WITH RECURSIVE " + ",".join((s.GEOMETRY_SQL, s.IMAGES_SQL, s.pixels_sql("ki67"), "mk AS (SELECT image_id, x, y FROM px WHERE v > 150)",
     component_sql("mk", ["image_id"], FOUR, "c4"), component_sql("mk", ["image_id"], EIGHT, "c8"))) + f"""
-SELECT 4 AS connectivity, image_id, comp AS component, count(*) AS area, round(avg(id % {stencil.ROW_ID}), 6) AS cx, round(avg(id // {stencil.ROW_ID}), 6) AS cy FROM c4 GROUP BY ALL
-UNION ALL SELECT 8, image_id, comp, count(*), round(avg(id % {stencil.ROW_ID}), 6), round(avg(id // {stencil.ROW_ID}), 6) FROM c8 GROUP BY ALL""")
+SELECT 4 AS connectivity, image_id, comp AS component, count(*) AS area, round(avg(x), 6) AS cx, round(avg(y), 6) AS cy FROM c4_px GROUP BY ALL
+UNION ALL SELECT 8, image_id, comp, count(*), round(avg(x), 6), round(avg(y), 6) FROM c8_px GROUP BY ALL""")
 def _(spark, sf):
     mask = px(spark, sf, "ki67").filter("v > 150")
     parts = [
