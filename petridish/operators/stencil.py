@@ -121,6 +121,12 @@ def mirrored(index: Column, n: Column, border: str) -> Column:
     raise ValueError(border)
 
 
+def _extended(positions: Column, values: str, n: Column, border: str) -> Column:
+    return F.transform(
+        positions, lambda i: F.get(F.col(values), mirrored(i, n, border).cast("int"))
+    )
+
+
 def along(
     pixels: DataFrame,
     keys: Sequence[str],
@@ -139,13 +145,22 @@ def along(
         **{f"_v_{v}": F.col("_l")[v] for v in values},
     ).drop("_l")
     n = F.col("_n")
+    reach = max(abs(k) for _, w in outputs.values() for k in w)
+    # mirror the ends once, so the sums below read plain positions
+    positions = F.sequence(F.lit(-reach), n - 1 + reach)
+    lines = compute_once(
+        lines,
+        **{
+            f"_p_{v}": _extended(positions, f"_v_{v}", n, border)
+            for v in values
+        },
+    )
 
     def filtered(value, weights):
         def at(i):
             total = None
             for offset, weight in sorted(weights.items()):
-                pos = mirrored(i + offset, n, border) if offset else i
-                term = F.get(F.col(f"_v_{value}"), pos.cast("int")) * F.lit(float(weight))
+                term = F.get(F.col(f"_p_{value}"), i + (offset + reach)) * F.lit(float(weight))
                 total = term if total is None else total + term
             return total
 
