@@ -489,8 +489,9 @@ def texture_bundle(
         ]
     )
     out = rows.select(*keys).distinct()
+    props = glcm_props(glcm(rows, keys), keys)
     for part in (
-        glcm_props(glcm(rows, keys), keys),
+        props.select(*keys, *[F.col(c).alias(f"glcm_{c}") for c in props.columns if c not in keys]),
         lbp8(near, keys),
         pivoted,
         tamura_coarseness(near, keys),

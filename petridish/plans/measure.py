@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from petridish.functions import catalog
 from petridish.functions import polygons as poly
 from petridish.functions.numeric import safe_divide
 from petridish.operators import (
@@ -21,12 +22,79 @@ from petridish.operators import (
 )
 from petridish.session import materialize
 
-GEOMETRY = (
-    "area", "perimeter", "convex_perimeter", "circular_diameter", "feret_length", "extent",
-    "major_axis_length", "minor_axis_length", "maximum_radius", "mean_radius", "median_radius",
-    "perimeter_area_ratio", "solidity", "aspect_ratio", "eccentricity", "roundness",
-    "circularity", "sphericity", "roughness", "compactness", "x_centroid", "y_centroid",
-)
+# Published column names of the cell table. Region columns get "_nuc"/"_cyto".
+REGION_NAMES = {
+    "area": "Area", "perimeter": "Perimeter", "convex_perimeter": "Convex Perimeter",
+    "circular_diameter": "Circular Diameter", "feret_length": "Feret Length",
+    "feret_width": "Feret Width", "extent": "Extent", "major_axis_length": "Major Axis Length",
+    "minor_axis_length": "Minor Axis Length", "maximum_radius": "Maximum Radius",
+    "mean_radius": "Mean Radius", "median_radius": "Median Radius",
+    "perimeter_area_ratio": "Perimeter/Area Ratio", "solidity": "Solidity",
+    "aspect_ratio": "Aspect Ratio", "eccentricity": "Eccentricity", "roundness": "Roundness",
+    "circularity": "Circularity", "sphericity": "Sphericity", "roughness": "Roughness",
+    "compactness": "Compactness",
+}
+SIGNAL_NAMES = {
+    **{c: c for c in catalog.INTENSITY},
+    "glcm_asm": "GLCM ASM", "glcm_contrast": "GLCM Contrast",
+    "glcm_correlation": "GLCM Correlation",
+    "glcm_difference_variance": "GLCM Difference Variance", "glcm_entropy": "GLCM Entropy",
+    "glcm_homogeneity": "GLCM Homogeneity", "lbp_mean": "LBP Mean", "lbp_std": "LBP StdDev",
+    "lbp_entropy": "LBP Entropy", "lbp_uniform_ratio": "LBP Uniform Ratio",
+    **{f"lbp_bin_{b:02d}": f"LBP Hist Bin {b:02d}" for b in range(16)},
+    **{
+        f"lbp_r{r}_bin_{b:02d}": f"LBP Uniform R{r} Hist Bin {b:02d}"
+        for r in texture.RADII
+        for b in range(10)
+    },
+    "tamura_coarseness": "Tamura Coarseness",
+    **{f"zernike_{k:02d}": f"Zernike Moment {k:02d}" for k in range(25)},
+}
+CELL_NAMES = {
+    "karyoplasmic_ratio": "Karyoplasmic Ratio",
+    "nucleolus_count": "Nucleolus Count", "mean_nucleolus_area": "Mean Nucleolus Area",
+    "max_nucleolus_area": "Max Nucleolus Area", "halo_outer_mean": "Halo Outer Mean",
+    "halo_outer_std": "Halo Outer StdDev", "halo_outer_cv": "Halo Outer CV",
+    "halo_inner_mean": "Halo Inner Mean", "halo_inner_std": "Halo Inner StdDev",
+    "halo_inner_outer_diff": "Halo Inner Outer Diff",
+    "halo_angular_variance": "Halo Angular Variance",
+    "halo_radial_gradient": "Halo Radial Gradient", "halo_width": "Halo Width",
+    "edge_sharpness": "Edge Sharpness", "image_confluency": "Image Confluency",
+    "population_area_cv": "Population Area CV",
+    "population_circularity_cv": "Population Circularity CV",
+    "nearest_distance": "Nearest Neighbor Distance",
+    "nearest_distance_norm": "Nearest Neighbor Distance Norm",
+    "local_neighbor_count": "Local Neighbor Count", "local_density": "Local Density",
+    "neighbour_area_ratio": "Neighbour Area Ratio", "cluster_size": "Cluster Size",
+    "cluster_size_norm": "Cluster Size Norm", "largest_cluster_ratio": "Largest Cluster Ratio",
+    "mitotic_index": "Mitotic Index", "protrusion_count_cyto": "Protrusion Count",
+    "mean_convex_defect_depth_cyto": "Mean Convex Defect Depth",
+    "mean_protrusion_length_norm_cyto": "Mean Protrusion Length Norm",
+    "max_convex_defect_depth_cyto": "Max Convex Defect Depth",
+    "fractal_dimension": "Fractal Dimension",
+    "boundary_inflection_count_cyto": "Boundary Inflection Count",
+    "debris_count": "Debris Count", "debris_area_fraction": "Debris Area Fraction",
+    "nearest_debris_distance": "Nearest Debris Distance", "debris_mean_area": "Debris Mean Area",
+    "debris_density": "Debris Density", "mitotic_score": "Mitotic Score",
+    "daughter_pair_flag": "Daughter Pair Flag",
+    "protrusion_retraction_score": "Protrusion Retraction Score",
+}
+
+
+def published(table: DataFrame, ids: Sequence[str]) -> DataFrame:
+    """The cell table under its published column names."""
+    region = {**REGION_NAMES, **SIGNAL_NAMES}
+    return table.select(
+        *ids,
+        *[
+            F.col(f"`{c}_{r}`").cast("double").alias(f"{name}_{r}")
+            for r in ("nuc", "cyto")
+            for c, name in region.items()
+        ],
+        *[F.col(f"`{c}`").cast("double").alias(c) for c in (*catalog.CROSS_REGION, "Nucleus Centroid Offset")],
+        *[F.col(f"`{c}_cyto`").cast("double").alias(f"Whole Cell {name}") for c, name in SIGNAL_NAMES.items()],
+        *[F.col(f"`{c}`").cast("double").alias(name) for c, name in CELL_NAMES.items()],
+    )
 
 
 def mask_outlines(outlines: DataFrame, image: Sequence[str], width: int, height: int) -> DataFrame:
@@ -75,7 +143,9 @@ def region_table(
         .join(outline, keys, "left")
         .join(texture.texture_bundle(rows, keys, image, w, h), keys)
     )
-    return materialize(roi.geometry_derived(table)), rows.select(*keys, "x", "y")
+    # the short caliper is the short axis of the moment ellipse
+    table = roi.geometry_derived(table).withColumn("feret_width", F.col("minor_axis_length"))
+    return materialize(table), rows.select(*keys, "x", "y")
 
 
 def param_table(
@@ -86,7 +156,7 @@ def param_table(
     height: int,
     debris: dict | None = None,
 ) -> DataFrame:
-    """One row per cell with all feature families, region columns suffixed.
+    """One row per cell with all feature families under their published names.
 
     ``outlines(image, roi_id, nuc, cyto)``, ``pixels(image, x, y, v)``.
     """
@@ -154,13 +224,11 @@ def param_table(
         {
             "area": F.coalesce("area_cyto", "area_nuc"),
             "circularity": F.coalesce("circularity_cyto", "circularity_nuc"),
-            "glcm_entropy": F.col("entropy_cyto"),
+            "glcm_entropy": F.col("glcm_entropy_cyto"),
             "protrusion_count": F.col("protrusion_count_cyto"),
         }
     )
-    return population.mitosis_scores(score_input).drop(
-        "area", "circularity", "glcm_entropy", "protrusion_count"
-    )
+    return published(population.mitosis_scores(score_input), cell)
 
 
 def image_job(

@@ -97,6 +97,7 @@ def evaluate_config(
         "stage1": stage1,
         "stage1_columns": columns,
         "stage2_weights": weights,
+        "threshold": 0.5,
         "transform": transform,
         "embedding_size": embedding_size,
         "cells": scored,
