@@ -417,8 +417,10 @@ dl AS (SELECT *, row_number() OVER (PARTITION BY source_folder, stratum ORDER BY
 od AS (SELECT *, row_number() OVER (PARTITION BY source_folder ORDER BY round((deal - 0.5) / size, 9), stratum, d, image_key) AS o FROM dl),
 qt AS (SELECT *, floor(round(n * 0.7, 9)) AS fa, floor(round(n * 0.15, 9)) AS fb, round(n * 0.7 - floor(round(n * 0.7, 9)), 6) AS ra, round(n * 0.15 - floor(round(n * 0.15, 9)), 6) AS rb FROM od),
 qu AS (SELECT *, n - fa - 2 * fb AS l FROM qt),
-qv AS (SELECT *, fa + CASE WHEN (CASE WHEN rb >= ra THEN 2 ELSE 0 END) < l THEN 1 ELSE 0 END AS t, fb + CASE WHEN (1 + CASE WHEN ra > rb THEN 1 ELSE 0 END) < l THEN 1 ELSE 0 END AS v FROM qu)
-SELECT image_key, CASE WHEN o <= t THEN 'train' WHEN o <= t + v THEN 'valid' ELSE 'test' END AS split FROM qv"""))
+qv AS (SELECT *, fa + CASE WHEN (CASE WHEN rb >= ra THEN 2 ELSE 0 END) < l THEN 1 ELSE 0 END AS t0, fb + CASE WHEN (1 + CASE WHEN ra > rb THEN 1 ELSE 0 END) < l THEN 1 ELSE 0 END AS v0,
+  fb + CASE WHEN (CASE WHEN ra > rb THEN 1 ELSE 0 END) < l THEN 1 ELSE 0 END AS e0 FROM qu),
+qw AS (SELECT *, CASE WHEN n <= 2 THEN 1 ELSE t0 - (v0 = 0)::INT - (e0 = 0)::INT END AS t, CASE WHEN n <= 2 THEN 0 ELSE greatest(v0, 1) END AS v FROM qv)
+SELECT image_key, CASE WHEN o <= t THEN 'train' WHEN o <= t + v THEN 'valid' ELSE 'test' END AS split FROM qw"""))
 def _(spark, sf):
     out = splits.split_within_folder(s.cells(spark, sf).select("cell_id", "source_folder", "image_key", "ki67_label"))
     return out.select("image_key", "split").distinct()
