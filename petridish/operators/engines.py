@@ -193,7 +193,7 @@ def nearest(
 
     Grid search: a point is settled once its k-th distance is within the grid edge, since
     every closer point lies in the 3×3 block; the others go on with a doubled edge. The
-    first edge follows the density of the key. At one position only the k + 1 smallest ids
+    first edge follows the density of the key and of its fullest square. At one position only the k + 1 smallest ids
     can be among the nearest, so larger piles of points are cut before the join.
     """
     keys = list(keys)
@@ -211,6 +211,19 @@ def nearest(
         F.min("y").alias("_y0"),
     )
     box = box.withColumn("_edge", F.col("_ext") / F.sqrt("_cnt"))
+    # clustered points: start with an edge that keeps the fullest square small
+    fullest = (
+        right.join(box.select(*keys, "_edge"), keys)
+        .groupBy(*keys, F.floor(F.col("x") / F.col("_edge")), F.floor(F.col("y") / F.col("_edge")))
+        .agg(F.count(F.lit(1)).alias("_o"))
+        .groupBy(*keys)
+        .agg(F.max("_o").alias("_o"))
+    )
+    box = materialize(
+        box.join(fullest, keys)
+        .withColumn("_edge", F.col("_edge") / F.sqrt(F.greatest(F.col("_o") / 16.0, F.lit(1.0))))
+        .drop("_o")
+    )
     right = materialize(right.join(box.select(*keys, "_edge"), keys))
     todo = materialize(left.select(*keys, "lid", "x", "y").join(box, keys))
     best = Window.partitionBy(*keys, "lid").orderBy("d", "rid")

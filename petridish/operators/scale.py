@@ -22,7 +22,10 @@ def with_group_stats(df: DataFrame, keys: Sequence[str], **aggs: Column) -> Data
     side, so the runtime can split a skewed group on the row side.
     """
     stats = df.groupBy(*keys).agg(*[c.alias(n) for n, c in aggs.items()])
-    return df.join(stats, list(keys)) if keys else df.crossJoin(F.broadcast(stats))
+    if keys:
+        return df.join(stats, list(keys))
+    row, kinds = stats.first(), dict(stats.dtypes)  # one row of totals
+    return df.withColumns({n: F.lit(row[n]).cast(kinds[n]) for n in aggs})
 
 
 def rank_within(
@@ -122,9 +125,17 @@ def summarise(
     specs = dict(percentiles or {})
     hot_rows = HOT_ROWS if hot_rows is None else hot_rows
     plain = [c.alias(n) for n, c in aggs.items()]
-    exact = [F.percentile(c, F.lit(float(p))).alias(n) for n, (c, p) in specs.items()]
     if not specs:
         return df.groupBy(*keys).agg(*plain)
+    # one pass over a column's values serves all of its percentiles
+    points: dict[str, list[float]] = {}
+    for c, p in specs.values():
+        points.setdefault(c, []).append(float(p))
+
+    def exact(c, p):
+        return F.percentile(c, F.array(*[F.lit(q) for q in points[c]]))[points[c].index(float(p))]
+
+    exact = [exact(c, p).alias(n) for n, (c, p) in specs.items()]
     hot = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot_rows)
     if hot.isEmpty():
         return df.groupBy(*keys).agg(*plain, *exact)
@@ -136,7 +147,9 @@ def summarise(
         big, small = df, None
     quantiles = _hot_percentiles(big, list(keys), specs)
     if not keys:
-        return df.agg(*plain).crossJoin(F.broadcast(quantiles)) if plain else quantiles
+        row = quantiles.first()
+        found = {n: F.lit(row[n] if row else None).cast("double") for n in specs}
+        return df.agg(*plain, F.count(F.lit(1)).alias("_rows")).withColumns(found).drop("_rows")
     if plain:
         quantiles = big.groupBy(*keys).agg(*plain).join(quantiles, list(keys), "left")
     return small.unionByName(quantiles.select(*small.columns))

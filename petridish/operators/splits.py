@@ -19,11 +19,9 @@ def image_balanced_weight(cells: DataFrame, image: str = "image_key", out: str =
     """Every image weighs the same; the mean weight is 1 (= images / (cells · own size))."""
     sizes = cells.groupBy(image).agg(F.count(F.lit(1)).alias("_c"))
     # the sum over an image's cells of 1/size is 1, so the mean needs two counts only
-    total = sizes.agg(F.count(F.lit(1)).alias("_i"), F.sum("_c").alias("_n"))
-    weights = sizes.crossJoin(F.broadcast(total)).select(  # total is one row
-        image, ((1.0 / F.col("_c")) / (F.col("_i") / F.col("_n"))).alias(out)
-    )
-    return cells.join(weights, image)
+    total = sizes.agg(F.count(F.lit(1)).alias("i"), F.sum("_c").alias("n")).first()
+    mean = total["i"] / total["n"] if total["n"] else 1.0
+    return cells.join(sizes.select(image, ((1.0 / F.col("_c")) / F.lit(mean)).alias(out)), image)
 
 
 def split_by_folder(

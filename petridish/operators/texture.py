@@ -128,7 +128,7 @@ def texture_crop(
         "y",
         F.coalesce("_v", "_fill").alias("v"),
         F.col("_v").isNotNull().alias("in_mask"),
-    )
+    ).repartition(*keys)  # windows over the lines of a region reuse this partitioning
 
 
 # --- co-occurrence ----------------------------------------------------------------------
@@ -145,9 +145,11 @@ def box_grid(rows: DataFrame, keys: Sequence[str], value: str, fill: float = 0)
         .withColumn("x", F.explode(F.sequence("_x0", "_x1")))
         .select(*keys, "x", "y")
     )
-    return grid.join(rows.select(*keys, "x", "y", value), [*keys, "x", "y"], "left").withColumn(
+    joined = grid.join(rows.select(*keys, "x", "y", value), [*keys, "x", "y"], "left").withColumn(
         value, F.coalesce(value, F.lit(fill))
     )
+    # one region is one bounded crop: all windows and counts below reuse this partitioning
+    return joined.repartition(*keys)
 
 
 def glcm(rows: DataFrame, keys: Sequence[str], levels: int = GRAY_LEVELS, masked: bool = False) -> DataFrame:

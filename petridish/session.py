@@ -19,6 +19,8 @@ def get_session(app: str = "petridish", master: str | None = None, **conf: str)
         "spark.sql.adaptive.skewJoin.enabled": "true",
         # split skewed join inputs even where that costs one more shuffle
         "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+        # hash joins where every build partition was measured to be small
+        "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64m",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
     }
     settings.update({k.replace("__", "."): v for k, v in conf.items()})
