@@ -58,6 +58,11 @@ def round_half_even(value: Column | str) -> Column:
     return F.bround(col(value), 0)
 
 
+def sides(width: int | Column, height: int | Column) -> tuple[Column, Column]:
+    """Image sides as columns; plain numbers are allowed."""
+    return tuple(F.lit(v) if isinstance(v, int) else v for v in (width, height))
+
+
 def compute_once(df: DataFrame, **columns: Column) -> DataFrame:
     """Add expensive columns through a one-row generator.
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from petridish.functions import polygons as poly
-from petridish.functions.numeric import compute_once, number
+from petridish.functions.numeric import compute_once, number, sides
 from petridish.functions.text import cell_index, file_stem, last_number, natural_sort_key
 from petridish.operators.engines import greedy_matching
 from petridish.operators.scale import rank_within, summarise
@@ -240,6 +240,7 @@ def border_labels(
     label_pixels: DataFrame, keys: Sequence[str], width: Column, height: Column
 ) -> DataFrame:
     """Objects with a pixel on the outermost line of the image."""
+    width, height = sides(width, height)
     return (
         label_pixels.filter(
             (F.col("x") == 0) | (F.col("y") == 0) | (F.col("x") == width - 1) | (F.col("y") == height - 1)

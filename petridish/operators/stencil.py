@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from petridish.functions.numeric import col, compute_once, safe_divide
+from petridish.functions.numeric import compute_once, sides
 from petridish.operators.engines import connected_components
 from petridish.operators.scale import with_group_stats
 
@@ -45,6 +45,7 @@ def hits_around(
 ) -> DataFrame:
     """For every image pixel the element reaches: ``hits`` mask pixels below the element,
     ``size`` element pixels inside the image, and whether the pixel is in the mask."""
+    width, height = sides(width, height)
     base = compute_once(mask.select(*keys, "x", "y"), _k=kernel_rows(radius, shape))
     spread = (
         base.select(*keys, "x", "y", F.explode("_k").alias("_l"))
@@ -253,6 +254,7 @@ def bilinear_sample(
 
     ``points`` carries its own id columns; each point meets at most four pixels.
     """
+    width, height = sides(width, height)
     ids = points.columns
     sx = F.bround(F.col("px") * snap, 0) / snap if snap else F.col("px")
     sy = F.bround(F.col("py") * snap, 0) / snap if snap else F.col("py")

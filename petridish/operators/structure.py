@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from petridish.functions import polygons as poly
-from petridish.functions.numeric import compute_once, safe_divide
+from petridish.functions.numeric import compute_once, safe_divide, sides
 from petridish.operators import stencil as st
 from petridish.operators.engines import nearest
 from petridish.operators.scale import with_group_stats
@@ -184,6 +184,7 @@ def halo_radial_gradient(
 ) -> DataFrame:
     """Mean intensity slope along 16 rays, from the cell edge 15 pixels outwards."""
     keys = list(keys)
+    width, height = sides(width, height)
     centre = cells.groupBy(*keys).agg(
         F.avg("x").alias("_cx"),
         F.avg("y").alias("_cy"),
@@ -245,6 +246,7 @@ def box_distance(
 ) -> DataFrame:
     """Pixels around each cell with their box (Chebyshev) distance to it, up to ``reach``."""
     keys = list(keys)
+    width, height = sides(width, height)
     box = cells.groupBy(*keys).agg(
         F.greatest(F.min("x") - reach, F.lit(0)).alias("_x0"),
         F.least(F.max("x") + reach, (width - 1).cast("int")).alias("_x1"),

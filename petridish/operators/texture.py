@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from petridish.functions.numeric import compute_once, safe_divide
+from petridish.functions.numeric import compute_once, sides
 from petridish.operators import stencil as st
 from petridish.operators.scale import with_group_stats
 
@@ -65,6 +65,7 @@ def texture_crop(
     Regions below the minimum size have no crop.
     """
     keys = list(keys)
+    width, height = sides(width, height)
     need = max(MIN_PIXELS, (distance + 1) ** 2)
     px = rows.select(*keys, "x", "y", "v")
     if erode_px > 0:

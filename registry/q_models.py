@@ -11,7 +11,7 @@ from petridish.operators import models, splits
 from petridish.plans import measure, modelling, study
 from petridish.session import checkpoint_dir, materialize
 from registry import standins as s
-from registry.q_roi import rounded
+from registry.rounding import nround, nudged_sql, rounded
 from registry.q_summary import CELL_TO_IMAGE_SQL, FEATURES, SCORED_SQL, SCORES, scored
 from registry.standins import table, with_ctes
 from petridish.operators import summary
@@ -23,7 +23,7 @@ def query(name, sql=None):
     def register(fn):
         QUERIES[name] = fn
         if sql:
-            ORACLES[name] = sql
+            ORACLES[name] = nudged_sql(sql)
         return fn
 
     return register
@@ -54,7 +54,7 @@ def _(spark, sf):
 
 @query("positive_probability", with_ctes(s.CELLS_SQL, body="SELECT cell_id, round(1 / (1 + exp(-(k - 50) / 20.0)), 6) AS p FROM cells"))
 def _(spark, sf):
-    return s.cells(spark, sf).select("cell_id", F.round(models.sigmoid((F.col("k") - 50) / 20.0), 6).alias("p"))
+    return s.cells(spark, sf).select("cell_id", nround(models.sigmoid((F.col("k") - 50) / 20.0), 6).alias("p"))
 
 
 @query("stage1_matrix", with_ctes(SCORED_SQL, body=f"""

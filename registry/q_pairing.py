@@ -8,6 +8,7 @@ from petridish.operators import pairing
 from petridish.operators.scale import with_group_stats
 from petridish.sources import tables
 from registry import standins as s
+from registry.rounding import nround, nudged_sql
 from registry.q_quality import EDGE_SQL, statuses
 from registry.q_sources import NATURAL
 from registry.standins import table, with_ctes
@@ -19,7 +20,7 @@ def query(name, sql=None):
     def register(fn):
         QUERIES[name] = fn
         if sql:
-            ORACLES[name] = sql
+            ORACLES[name] = nudged_sql(sql)
         return fn
 
     return register
@@ -50,9 +51,9 @@ STEM = "lower(regexp_replace(name, '\\.[a-z]+$', ''))"
 
 
 @query("match_by_stem_or_index", f"""
-WITH RECURSIVE d AS (SELECT 'd' || (doc_id // 100) AS dataset, doc_id % 100 AS j FROM documents),
+WITH RECURSIVE d AS (SELECT 'd' || (doc_id // 100) AS dataset, doc_id % 100 AS j, lang FROM documents),
 m0 AS (SELECT dataset, {MAIN_NAME.replace('DIV', '//')} AS name FROM d),
-o0 AS (SELECT dataset, {OTHER_NAME.replace('DIV', '//')} AS name FROM d WHERE j % 5 <> 0),
+o0 AS (SELECT dataset, {OTHER_NAME.replace('DIV', '//')} AS name FROM d WHERE lang <> 'de'),
 m AS (SELECT *, {STEM} AS stem, CAST(regexp_extract_all({STEM}, '\\d+')[-1] AS BIGINT) AS num,
   row_number() OVER (PARTITION BY dataset ORDER BY {NATURAL.format('name')}, name) AS l FROM m0),
 o AS (SELECT *, {STEM} AS stem, CAST(regexp_extract_all({STEM}, '\\d+')[-1] AS BIGINT) AS num,
@@ -70,10 +71,10 @@ SELECT m.dataset, m.name, o.name AS partner FROM m JOIN walk w USING (dataset, l
 LEFT JOIN o ON o.dataset = m.dataset AND o.r = w.r""")
 def _(spark, sf):
     d = table(spark, sf, "documents").select(
-        F.expr("'d' || (doc_id div 100)").alias("dataset"), F.expr("cast(doc_id % 100 as int)").alias("j")
+        F.expr("'d' || (doc_id div 100)").alias("dataset"), F.expr("cast(doc_id % 100 as int)").alias("j"), "lang"
     )
     main = d.select("dataset", F.expr(MAIN_NAME.replace("j DIV 10", "(j div 10)")).alias("name"))
-    other = d.filter("j % 5 <> 0").select(
+    other = d.filter("lang <> 'de'").select(
         "dataset", F.expr(OTHER_NAME.replace("j DIV 10", "(j div 10)")).alias("name")
     )
     return pairing.match_by_stem_or_index(main, other, ["dataset"])
@@ -169,13 +170,13 @@ def _(spark, sf):
 
 
 @query("relabel_kept", with_ctes(*MASKS, body="""
-, kept AS (SELECT DISTINCT image_id, region, label FROM lp WHERE (image_id + label) % 3 <> 0),
+, kept AS (SELECT DISTINCT image_id, region, label FROM lp WHERE dataset NOT IN ('set_3', 'set_4') AND label <> 2),
 new AS (SELECT *, row_number() OVER (PARTITION BY image_id, region ORDER BY label) AS n FROM kept)
 SELECT image_id, region, n AS label, count(*) AS area, CAST(sum(x * 100 + y) AS BIGINT) AS mark
 FROM lp JOIN new USING (image_id, region, label) GROUP BY ALL"""))
 def _(spark, sf):
     lp = s.label_pixels(spark, sf)
-    kept = lp.filter("(image_id + label) % 3 <> 0")
+    kept = lp.filter("dataset not in ('set_3', 'set_4') and label <> 2")
     out = pairing.relabel_kept(lp, kept, ["image_id"])
     return out.groupBy("image_id", "region", "label").agg(
         F.count(F.lit(1)).alias("area"), F.sum(F.expr("x * 100 + y")).alias("mark")
@@ -219,7 +220,7 @@ def _(spark, sf):
     _, diagnostics = pairing.filter_small_unpaired(
         s.label_pixels(spark, sf), ["image_id"], F.lit(s.WIDTH), F.lit(s.HEIGHT), 0.95, 4, min_reference=2
     )
-    return diagnostics.withColumn("threshold", F.round("threshold", 6))
+    return diagnostics.withColumn("threshold", nround("threshold", 6))
 
 
 # frame shifts: each image against the previous, same and next image of its dataset
@@ -260,7 +261,7 @@ scores AS (SELECT *, CAST(CAST(positive * 1000.0 + mean_overlap * 100.0 AS FLOAT
 SELECT dataset, row_image, col_image, inside, total, round(score, 2) AS score FROM scores"""))
 def _(spark, sf):
     out = pairing.score_nucleus_pairs(shift_candidates(spark, sf), s.label_pixels(spark, sf))
-    return out.withColumn("score", F.round("score", 2))
+    return out.withColumn("score", nround("score", 2))
 
 
 def ki67_mask(spark, sf):
@@ -273,7 +274,7 @@ def _(spark, sf):
     out = pairing.score_mask_pairs(
         shift_candidates(spark, sf), s.label_pixels(spark, sf), ki67_mask(spark, sf)
     )
-    return out.withColumn("mean_overlap", F.round("mean_overlap", 6)).withColumn("score", F.round("score", 1))
+    return out.withColumn("mean_overlap", nround("mean_overlap", 6)).withColumn("score", nround("score", 1))
 
 
 REMAP_SQL = """
@@ -297,7 +298,7 @@ FROM (SELECT DISTINCT dataset, row_image FROM scores) r JOIN dec USING (dataset)
 def _(spark, sf):
     scores = pairing.score_nucleus_pairs(shift_candidates(spark, sf), s.label_pixels(spark, sf))
     out = pairing.remap_batch(scores, min_gain=0.02)
-    return out.withColumn("assigned", F.round("assigned", 1)).withColumn("identity", F.round("identity", 1))
+    return out.withColumn("assigned", nround("assigned", 1)).withColumn("identity", nround("identity", 1))
 
 
 ROI_SQL = """
@@ -317,24 +318,24 @@ def _(spark, sf):
     keys = ["image_id", "label"]
     rows = roi.join_signal(s.label_pixels(spark, sf), s.pixels(spark, sf), ["image_id"])
     long = rows.groupBy("image_id", "region", "label").agg(
-        F.count(F.lit(1)).alias("area"), F.round(F.avg("v"), 6).alias("mean"), F.round(F.avg("x"), 6).alias("cx")
+        F.count(F.lit(1)).alias("area"), nround(F.avg("v"), 6).alias("mean"), nround(F.avg("x"), 6).alias("cx")
     )
     wide = pairing.merge_roi_wide(long, keys, ["area", "mean", "cx"])
     return wide.withColumn(
-        "karyoplasmic_ratio", F.round(roi.karyoplasmic_ratio("area_nuc", "area_cyto"), 6)
+        "karyoplasmic_ratio", nround(roi.karyoplasmic_ratio("area_nuc", "area_cyto"), 6)
     )
 
 
 @query("merge_fluor", with_ctes(s.CELLS_SQL, body="""
 SELECT a.image_id, "Image" || '_' || a.cell_id AS "Cell_ID", round(a.area, 6) AS area, round(b.area / 2, 6) AS ring0
-FROM cells a LEFT JOIN (SELECT image_id, cell_id, area FROM cells WHERE k % 3 <> 0 AND cell_id > 0) b USING (image_id, cell_id)"""))
+FROM cells a LEFT JOIN (SELECT image_id, cell_id, area FROM cells WHERE cell_status <> 'unknown' AND cell_id > 0) b USING (image_id, cell_id)"""))
 def _(spark, sf):
     c = s.cells(spark, sf)
-    left = c.select("image_id", F.concat_ws("_", "Image", "cell_id").alias("Cell_ID"), F.round("area", 6).alias("area"))
-    right = c.filter("k % 3 <> 0").select(
+    left = c.select("image_id", F.concat_ws("_", "Image", "cell_id").alias("Cell_ID"), nround("area", 6).alias("area"))
+    right = c.filter("cell_status <> 'unknown'").select(
         "image_id",
         F.concat(F.col("Image"), F.lit(".tif_"), F.col("cell_id")).alias("Cell_ID"),
-        F.round(F.col("area") / 2, 6).alias("ring0"),
+        nround(F.col("area") / 2, 6).alias("ring0"),
     )
     return pairing.merge_fluor(left, right, ["image_id"])
 
@@ -372,8 +373,8 @@ def _(spark, sf):
         "cell_id",
         "image_key",
         F.size("embedding").alias("size"),
-        F.round(F.expr("aggregate(embedding, 0D, (a, e) -> a + cast(e as double))"), 4).alias("total"),
-        F.round(F.col("embedding")[0].cast("double"), 6).alias("first"),
+        nround(F.expr("aggregate(embedding, 0D, (a, e) -> a + cast(e as double))"), 4).alias("total"),
+        nround(F.col("embedding")[0].cast("double"), 6).alias("first"),
     )
 
 
@@ -383,7 +384,7 @@ FUZZY_FILE = "case doc_id % 4 when 0 then 'scan' || doc_id || '.png' when 1 then
 
 @query("resolve_image_fuzzy", f"""
 WITH i AS (SELECT source AS folder, {FUZZY_IMAGE} AS image FROM documents),
-f AS (SELECT source AS folder, {FUZZY_FILE} AS file FROM documents WHERE doc_id % 7 <> 0),
+f AS (SELECT source AS folder, {FUZZY_FILE} AS file FROM documents WHERE lang <> 'es'),
 j AS (SELECT folder, image, file, CASE WHEN s = image THEN 0 WHEN ends_with(s, image) OR ends_with(image, s) THEN 1 ELSE 2 END AS tier
   FROM (SELECT *, regexp_replace(file, '\\.[^.]*$', '') AS s FROM f) JOIN i USING (folder)
   WHERE s = image OR contains(s, image) OR contains(image, s)),
@@ -391,48 +392,46 @@ b AS (SELECT * FROM j QUALIFY row_number() OVER (PARTITION BY folder, image ORDE
 SELECT i.folder, i.image, b.file, b.tier FROM i LEFT JOIN b USING (folder, image)""")
 def _(spark, sf):
     d = table(spark, sf, "documents")
-    cast = lambda e: e.replace("doc_id %", "doc_id %")
-    images = d.select(F.col("source").alias("folder"), F.expr(cast(FUZZY_IMAGE)).alias("image"))
-    files = d.filter("doc_id % 7 <> 0").select(
-        F.col("source").alias("folder"), F.expr(cast(FUZZY_FILE)).alias("file")
+    images = d.select(F.col("source").alias("folder"), F.expr(FUZZY_IMAGE).alias("image"))
+    files = d.filter("lang <> 'es'").select(
+        F.col("source").alias("folder"), F.expr(FUZZY_FILE).alias("file")
     )
     return pairing.resolve_image_fuzzy(images, files)
 
 
 def _image_sets(spark, sf):
     d = table(spark, sf, "documents").select(
-        F.col("source").alias("source_folder"), F.col("doc_id").cast("string").alias("image_name"), "doc_id"
+        F.col("source").alias("source_folder"), F.col("doc_id").cast("string").alias("image_name"), "lang"
     )
-    return d.filter("doc_id % 5 <> 0").drop("doc_id"), d.filter("doc_id % 7 <> 0").drop("doc_id")
+    return d.filter("lang <> 'fr'").drop("lang"), d.filter("lang <> 'de'").drop("lang")
 
 
 @query("folder_diagnostics", """
-SELECT source AS source_folder, count(*) FILTER (doc_id % 5 <> 0) AS input_image_count, count(*) FILTER (doc_id % 7 <> 0) AS used_image_count,
-  count(*) FILTER (doc_id % 5 <> 0 AND doc_id % 7 = 0) AS missing_image_count,
-  count(*) FILTER (doc_id % 5 = 0 AND doc_id % 7 <> 0) AS extra_image_count
-FROM documents WHERE doc_id % 5 <> 0 OR doc_id % 7 <> 0 GROUP BY 1""")
+SELECT source AS source_folder, count(*) FILTER (lang <> 'fr') AS input_image_count, count(*) FILTER (lang <> 'de') AS used_image_count,
+  count(*) FILTER (lang = 'de') AS missing_image_count, count(*) FILTER (lang = 'fr') AS extra_image_count
+FROM documents GROUP BY 1""")
 def _(spark, sf):
     return pairing.folder_diagnostics(*_image_sets(spark, sf))
 
 
 @query("set_difference", """
-SELECT source AS source_folder, CAST(doc_id AS VARCHAR) AS image_name, CASE WHEN doc_id % 7 = 0 THEN 'missing' ELSE 'extra' END AS side
-FROM documents WHERE (doc_id % 5 <> 0) <> (doc_id % 7 <> 0)""")
+SELECT source AS source_folder, CAST(doc_id AS VARCHAR) AS image_name, CASE WHEN lang = 'de' THEN 'missing' ELSE 'extra' END AS side
+FROM documents WHERE lang IN ('de', 'fr')""")
 def _(spark, sf):
     return pairing.image_set_difference(*_image_sets(spark, sf), ["source_folder", "image_name"])
 
 
 @query("compare_backends", with_ctes(s.CELLS_SQL, body="""
 , a AS (SELECT image_id, cell_id, unnest(['area', 'nuc_area', 'k']) AS feature, unnest([area, nuc_area, CAST(k AS DOUBLE)]) AS va,
-   unnest([area * 1.1 - k / 10.0, CASE WHEN k % 4 <> 0 THEN nuc_area + 1 END, 5.0]) AS vb FROM cells WHERE cell_id % 13 <> 0 AND cell_id % 11 <> 0)
+   unnest([area * 1.1 - k / 10.0, CASE WHEN k % 4 <> 0 THEN nuc_area + 1 END, 5.0]) AS vb FROM cells WHERE cell_status NOT IN ('unknown', 'nuc_only'))
 SELECT image_id, feature, count(*) AS pairs, round(avg(va), 5) AS mean_left, round(avg(vb), 5) AS mean_right, round(avg(vb - va), 5) AS mean_difference,
   round(avg(abs(vb - va)), 5) AS mean_abs_difference, round(max(abs(vb - va)), 5) AS max_abs_difference,
   CASE WHEN stddev_pop(va) > 0 AND stddev_pop(vb) > 0 THEN round(corr(va, vb), 5) END AS pearson, round(median(abs(vb - va)), 5) AS median_abs_difference
 FROM a WHERE va IS NOT NULL AND vb IS NOT NULL GROUP BY ALL"""))
 def _(spark, sf):
     c = s.cells(spark, sf)
-    left = c.filter("cell_id % 13 <> 0").select("image_id", "cell_id", "area", "nuc_area", "k")
-    right = c.filter("cell_id % 11 <> 0").select(
+    left = c.filter("cell_status <> 'unknown'").select("image_id", "cell_id", "area", "nuc_area", "k")
+    right = c.filter("cell_status <> 'nuc_only'").select(
         "image_id",
         "cell_id",
         F.expr("area * 1.1D - k / 10D").alias("area"),
@@ -442,7 +441,7 @@ def _(spark, sf):
     out = pairing.compare_backends(left, right, ["image_id", "cell_id"], ["area", "nuc_area", "k"], ["image_id"])
     for name, kind in out.dtypes:
         if kind == "double":
-            out = out.withColumn(name, F.round(name, 5))
+            out = out.withColumn(name, nround(name, 5))
     return out
 
 

@@ -8,6 +8,7 @@ from petridish.functions import text
 from petridish.operators import quality
 from petridish.sources import tables
 from registry import standins as s
+from registry.rounding import nround, nudged_sql
 from registry.q_sources import FILE_SQL, study_files
 from registry.standins import table, with_ctes
 
@@ -18,7 +19,7 @@ def query(name, sql=None):
     def register(fn):
         QUERIES[name] = fn
         if sql:
-            ORACLES[name] = sql
+            ORACLES[name] = nudged_sql(sql)
         return fn
 
     return register
@@ -90,7 +91,7 @@ def _(spark, sf):
         F.lit(None).cast("int").alias("k"),
         F.lit("dropna").alias("cell_status"),
     )
-    return with_status.unionByName(dropped).withColumn("area", F.round("area", 6))
+    return with_status.unionByName(dropped).withColumn("area", nround("area", 6))
 
 
 @query("filter_extreme_ratio", """
@@ -116,7 +117,7 @@ def _(spark, sf):
         F.expr("case when cell_id % 7 = 0 then double('inf') else area end").alias("Area_cyto"),
     )
     return quality.valid_area(c).select(
-        "cell_id", F.round("Area_nuc", 6).alias("Area_nuc"), F.round("Area_cyto", 6).alias("Area_cyto")
+        "cell_id", nround("Area_nuc", 6).alias("Area_nuc"), nround("Area_cyto", 6).alias("Area_cyto")
     )
 
 
@@ -166,7 +167,7 @@ def _(spark, sf):
     cells = li.join(names, "idx").withColumnRenamed("pc_stem", "Image")
     out = tables.load_study_cells(cells, manifest, ["Area_nuc"])
     for c in ("Area_nuc", "IDO_score", "IDO_background_median", "IDO_cytoplasm_mean"):
-        out = out.withColumn(c, F.round(c, 6))
+        out = out.withColumn(c, nround(c, 6))
     return out
 
 
@@ -179,7 +180,7 @@ def _(spark, sf):
     c = s.cells(spark, sf).select(
         "cell_id", "cell_prob", F.expr("case when k % 9 <> 0 then ki67_label end").alias("ki67_label")
     )
-    return quality.append_prediction_cols(c, 0.3).withColumn("cell_prob", F.round("cell_prob", 6))
+    return quality.append_prediction_cols(c, 0.3).withColumn("cell_prob", nround("cell_prob", 6))
 
 
 @query("default_split", with_ctes(s.CELLS_SQL, body="""
@@ -214,7 +215,7 @@ def _(spark, sf):
     out = quality.append_error_cols(image_predictions(spark, sf))
     return out.select(
         "image_key",
-        *[F.round(c, 6).alias(c) for c in ("pred_ratio", "true_ratio", "signed_error", "abs_error")],
+        *[nround(c, 6).alias(c) for c in ("pred_ratio", "true_ratio", "signed_error", "abs_error")],
     )
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from petridish.functions import polygons as poly
 from petridish.operators import pairing, roi
 from registry import standins as s
+from registry.rounding import nround, nudged_sql, rounded
 from registry.standins import with_ctes
 
 QUERIES, ORACLES = {}, {}
@@ -18,21 +19,12 @@ def query(name, sql=None):
     def register(fn):
         QUERIES[name] = fn
         if sql:
-            ORACLES[name] = sql
+            ORACLES[name] = nudged_sql(sql)
         return fn
 
     return register
 
 
-def rounded(df, digits=6, nudge=0.0):
-    return df.select(
-        *[
-            F.round(F.col(f"`{n}`") + nudge, digits).alias(n) if kind == "double" else F.col(f"`{n}`")
-            for n, kind in df.dtypes
-        ]
-    )
-
-
 ROI = ["image_id", "region", "label"]
 BASE = (s.GEOMETRY_SQL, s.IMAGES_SQL, s.LABELS_SQL, s.pixels_sql())
 ROWS_SQL = "rp AS (SELECT lp.image_id, region, label, lp.x, lp.y, v FROM lp JOIN px USING (image_id, x, y))"
@@ -137,7 +129,7 @@ SELECT image_id, roi_id, region, round(sum(sqrt(pow(x2 - x1, 2) + pow(y2 - y1, 2
 def _(spark, sf):
     p = polygons(spark, sf)
     return p.select(
-        "image_id", "roi_id", "region", F.round(poly.perimeter(poly.closed_edges("points")), 6).alias("perimeter")
+        "image_id", "roi_id", "region", nround(poly.perimeter(poly.closed_edges("points")), 6).alias("perimeter")
     )
 
 
@@ -205,7 +197,7 @@ def _(spark, sf):
     a = s.label_pixels(spark, sf).groupBy("image_id", "label").agg(
         F.count_if(F.col("region") == "nuc").alias("n"), F.count_if(F.col("region") == "cyto").alias("c")
     )
-    return a.select("image_id", "label", F.round(roi.karyoplasmic_ratio("n", "c"), 6).alias("ratio"))
+    return a.select("image_id", "label", nround(roi.karyoplasmic_ratio("n", "c"), 6).alias("ratio"))
 
 
 @query("label_stats", with_ctes(s.GEOMETRY_SQL, s.LABELS_SQL, body="""
@@ -256,5 +248,5 @@ def _(spark, sf):
         F.count_if("in_nucleus").alias("nucleus"),
         F.count_if("in_cytoplasm").alias("cytoplasm"),
         F.count_if("background").alias("background"),
-        F.round(F.avg(F.when(F.col("background"), F.col("v"))), 6).alias("background_mean"),
+        nround(F.avg(F.when(F.col("background"), F.col("v"))), 6).alias("background_mean"),
     )

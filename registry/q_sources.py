@@ -11,6 +11,7 @@ from petridish.operators.scale import rank_within
 from petridish.session import checkpoint_dir
 from petridish.sources import images, outlines, sinks, tables
 from registry import standins as s
+from registry.rounding import nround, nudged_sql
 from registry.standins import table, with_ctes
 
 QUERIES, ORACLES = {}, {}
@@ -20,7 +21,7 @@ def query(name, sql=None):
     def register(fn):
         QUERIES[name] = fn
         if sql:
-            ORACLES[name] = sql
+            ORACLES[name] = nudged_sql(sql)
         return fn
 
     return register
@@ -62,7 +63,7 @@ def _(spark, sf):
 SELECT dataset, image_id, x, y, round(v / 255.0, 6) AS v FROM px"""))
 def _(spark, sf):
     px = images.explode_pixels(s.images(spark, sf), ["dataset", "image_id"])
-    return px.withColumn("v", F.round("v", 6))
+    return px.withColumn("v", nround("v", 6))
 
 
 @query("read_binary_mask", with_ctes(s.GEOMETRY_SQL, s.IMAGES_SQL, s.pixels_sql(), body="""
@@ -114,9 +115,9 @@ def _(spark, sf):
 
 
 @query("scan_cleaned", """
-SELECT 'results/' || source || '/' || doc_id || CASE WHEN doc_id % 3 = 0 THEN '_final.csv' ELSE '_cleaned.csv' END AS path,
+SELECT 'results/' || source || '/' || doc_id || CASE WHEN lang = 'en' THEN '_final.csv' ELSE '_cleaned.csv' END AS path,
   source AS source_folder
-FROM documents WHERE doc_id % 3 <> 0 AND lower(source) NOT IN ('src3', 'src4') AND source <> 'src1'
+FROM documents WHERE lang <> 'en' AND lower(source) NOT IN ('src3', 'src4') AND source <> 'src1'
   AND lower(source) IN ('src3', 'src5', 'src6', 'src7', 'src8', 'src9', 'src10')""")
 def _(spark, sf):
     files = table(spark, sf, "documents").select(
@@ -125,7 +126,7 @@ def _(spark, sf):
             "source",
             F.lit("/"),
             F.col("doc_id").cast("string"),
-            F.when(F.col("doc_id") % 3 == 0, "_final.csv").otherwise("_cleaned.csv"),
+            F.when(F.col("lang") == "en", "_final.csv").otherwise("_cleaned.csv"),
         ).alias("path")
     )
     keep = [f"SRC{i}" for i in (3, 5, 6, 7, 8, 9, 10)]
@@ -161,7 +162,7 @@ def _(spark, sf):
     out = tables.load_cells([even, odd, nolabel], "cell_id")
     return out.select(
         "cell_id", "source_folder", "Image", "image_key", "source_file", "passage", "ki67_label",
-        F.round("area", 6).alias("area"), "_source_row_id",
+        nround("area", 6).alias("area"), "_source_row_id",
     )
 
 
@@ -190,7 +191,7 @@ def _(spark, sf):
 # study file names: one file per order and channel, a few of them unreadable
 FILE_SQL = """
 files AS (SELECT o_orderkey, o_custkey, ch.unnest AS ch,
-  CASE WHEN o_orderkey % 31 = 0 AND ch.unnest = 'IDO' THEN NULL ELSE
+  CASE WHEN o_orderpriority = '2-HIGH' AND ch.unnest = 'IDO' THEN NULL ELSE
   'PC/' || CASE WHEN o_orderkey % 29 = 0 THEN 'x' ELSE '' END || 'IFN-r ' || [0, 25, 50, 100][o_custkey % 4 + 1]
   || CASE WHEN o_orderkey % 7 = 0 THEN '.5' ELSE '' END || 'ng'
   || CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE '_TNF-a ' || [0, 25, 50][o_orderkey % 3 + 1] || 'ng' END
@@ -220,7 +221,7 @@ def study_files(spark, sf):
         " case when o_orderkey % 3 = 0 then '' else '_TNF-a ' || element_at(array(0, 25, 50), cast(o_orderkey % 3 + 1 as int)) || 'ng' end"
         " || '-' || ch || '-100X-' || o_orderkey || '.jpg'"
     )
-    return o.filter("not (o_orderkey % 31 = 0 and ch = 'IDO')").select(
+    return o.filter("not (o_orderpriority = '2-HIGH' and ch = 'IDO')").select(
         path.alias("path"),
         F.expr("20 + case when o_orderkey % 37 = 0 and ch = 'DAPI' then 1 else 0 end").alias("width"),
         F.lit(16).alias("height"),
@@ -309,7 +310,7 @@ def _(spark, sf):
         .groupBy(F.col("source_folder").cast("string").alias("source_folder"))
         .agg(
             F.count(F.lit(1)).alias("n"),
-            F.round(F.sum("area"), 4).alias("area"),
+            nround(F.sum("area"), 4).alias("area"),
             F.count("cell_prob").alias("with_prob"),
         )
     )
@@ -395,7 +396,7 @@ SELECT "Image" || '_' || cell_id AS "Cell_ID", "Image", cell_status, feature, ro
   {sheet_case('engineer')} AS feature_group FROM long"""))
 def _(spark, sf):
     wide = wide_cells(spark, sf).drop("source_folder", "image_key", "ki67_label", "cell_prob")
-    return sinks.feature_group_sheets(wide).withColumn("value", F.round("value", 6))
+    return sinks.feature_group_sheets(wide).withColumn("value", nround("value", 6))
 
 
 @query("classify_feature", with_ctes(s.CELLS_SQL, WIDE_LONG_SQL, body=f"""
@@ -412,7 +413,7 @@ def _(spark, sf):
         ["Cell_ID", "Image", "cell_status"],
     )
     per_feature = rows.groupBy("feature").agg(
-        F.count("value").alias("n"), F.round(F.sum("value"), 2).alias("total")
+        F.count("value").alias("n"), nround(F.sum("value"), 2).alias("total")
     )
     return per_feature.select(
         "feature",
@@ -448,4 +449,4 @@ def _(spark, sf):
 
     wide = wide_cells(spark, sf)
     out = sinks.prediction_sheets(wide, ["source_folder", "Cell_ID"], feature_groups(WIDE))
-    return out.withColumn("value", F.round("value", 6))
+    return out.withColumn("value", nround("value", 6))

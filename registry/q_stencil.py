@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from petridish.operators import stencil
 from registry import standins as s
-from registry.q_roi import BASE, ROI, rounded
+from registry.rounding import nudged_sql, rounded
+from registry.q_roi import BASE, ROI
 from registry.standins import with_ctes
 
 QUERIES, ORACLES = {}, {}
@@ -18,14 +19,14 @@ def query(name, sql=None):
     def register(fn):
         QUERIES[name] = fn
         if sql:
-            ORACLES[name] = sql
+            ORACLES[name] = nudged_sql(sql)
         return fn
 
     return register
 
 
 IMG = ["image_id"]
-W, H = F.lit(s.WIDTH), F.lit(s.HEIGHT)
+W, H = s.WIDTH, s.HEIGHT
 PIXELS = (s.GEOMETRY_SQL, s.IMAGES_SQL, s.pixels_sql())
 
 

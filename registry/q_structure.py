@@ -11,7 +11,8 @@ from petridish.operators.scale import with_group_stats
 from petridish.session import materialize
 from petridish.sources import outlines as outline_source
 from registry import standins as s
-from registry.q_roi import BASE, EDGE2_SQL, HULL_SQL, RASTER_SQL, polygons, rounded
+from registry.rounding import nudged_sql, rounded
+from registry.q_roi import BASE, EDGE2_SQL, HULL_SQL, RASTER_SQL, polygons
 from registry.q_stencil import EIGHT, FOUR, SOBEL_SQL, component_sql, ellipse, values
 from registry.standins import with_ctes
 
@@ -22,7 +23,7 @@ def query(name, sql=None):
     def register(fn):
         QUERIES[name] = fn
         if sql:
-            ORACLES[name] = sql
+            ORACLES[name] = nudged_sql(sql)
         return fn
 
     return register
@@ -30,7 +31,7 @@ def query(name, sql=None):
 
 IMG = ["image_id"]
 CELL = ["image_id", "label"]
-W, H = F.lit(s.WIDTH), F.lit(s.HEIGHT)
+W, H = s.WIDTH, s.HEIGHT
 
 
 def px(spark, sf, channel="phase"):
@@ -119,11 +120,11 @@ def _(spark, sf):
 , cc AS (SELECT image_id, label, avg(x) AS cx, avg(y) AS cy_ FROM cy GROUP BY ALL),
 an AS (SELECT r.image_id, r.label, v, atan2(r.y - cy_, r.x - cx) AS t FROM rings r JOIN cc USING (image_id, label) JOIN px USING (image_id, x, y) WHERE ring = 'outer'),
 se AS (SELECT image_id, label, least(floor((CASE WHEN t < 0 THEN t + 2 * {math.pi!r} ELSE t END) / (2 * {math.pi!r}) * 36), 35) AS sec, avg(v) AS m FROM an GROUP BY ALL)
-SELECT image_id, label, CASE WHEN count(*) >= 9 THEN round(var_pop(m) + 1e-9, 6) END AS halo_angular_variance FROM se GROUP BY ALL"""))
+SELECT image_id, label, CASE WHEN count(*) >= 9 THEN round(var_pop(m), 6) END AS halo_angular_variance FROM se GROUP BY ALL"""))
 def _(spark, sf):
     cells = region(spark, sf, "cyto")
     rings = structure.halo_rings(cells, CELL, W, H)
-    return rounded(structure.halo_angular_variance(rings, cells, px(spark, sf), IMG, CELL), nudge=1e-9)
+    return rounded(structure.halo_angular_variance(rings, cells, px(spark, sf), IMG, CELL))
 
 
 RAY_SQL = f"""
@@ -240,8 +241,8 @@ im AS (SELECT image_id, count(*) AS bg FROM dbg GROUP BY 1),
 tt AS (SELECT image_id, count(*) AS n, sum(area) AS sm, avg(area) AS mn FROM pk GROUP BY 1),
 ce AS (SELECT image_id, label, avg(x) AS x, avg(y) AS y FROM lp WHERE region = 'cyto' GROUP BY ALL),
 nr AS (SELECT ce.image_id, label, min(sqrt(pow(ce.x - cx, 2) + pow(ce.y - cy, 2))) AS d FROM ce JOIN pk USING (image_id) GROUP BY ALL)
-SELECT ce.image_id, ce.label, CASE WHEN bg IS NOT NULL THEN CAST(coalesce(n, 0) AS DOUBLE) END AS debris_count, round(coalesce(sm, 0) / bg + 1e-9, 6) AS debris_area_fraction,
-  round(mn + 1e-9, 6) AS debris_mean_area, round(coalesce(n, 0) / bg + 1e-9, 6) AS debris_density, round(d + 1e-9, 6) AS nearest_debris_distance
+SELECT ce.image_id, ce.label, CASE WHEN bg IS NOT NULL THEN CAST(coalesce(n, 0) AS DOUBLE) END AS debris_count, round(coalesce(sm, 0) / bg, 6) AS debris_area_fraction,
+  round(mn, 6) AS debris_mean_area, round(coalesce(n, 0) / bg, 6) AS debris_density, round(d, 6) AS nearest_debris_distance
 FROM ce LEFT JOIN im USING (image_id) LEFT JOIN tt USING (image_id) LEFT JOIN nr USING (image_id, label)""")
 def _(spark, sf):
     nuc = region(spark, sf, "nuc").groupBy(*CELL).agg(F.count(F.lit(1)).alias("a"))
@@ -252,7 +253,7 @@ def _(spark, sf):
         px(spark, sf), reference_pixels(spark, sf), IMG, W, H, medians, config
     )
     centres = region(spark, sf, "cyto").groupBy(*CELL).agg(F.avg("x").alias("x"), F.avg("y").alias("y"))
-    return rounded(structure.debris_features(centres, particles, areas, IMG), nudge=1e-9)
+    return rounded(structure.debris_features(centres, particles, areas, IMG))
 
 
 # --- population ---------------------------------------------------------------------------

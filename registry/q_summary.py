@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from petridish.functions.text import combo_label, score_name
 from petridish.operators import splits, summary
 from registry import standins as s
+from registry.rounding import nround, nudged_sql, rounded
 from registry.q_quality import IMAGE_PRED_SQL, image_predictions
-from registry.q_roi import rounded
 from registry.standins import table, with_ctes
 
 QUERIES, ORACLES = {}, {}
@@ -18,7 +18,7 @@ def query(name, sql=None):
     def register(fn):
         QUERIES[name] = fn
         if sql:
-            ORACLES[name] = sql
+            ORACLES[name] = nudged_sql(sql)
         return fn
 
     return register
@@ -136,13 +136,13 @@ STATUSES = ("cyto_cut", "full_cell", "nuc_cut", "nuc_only", "unknown")
 
 @query("status_crosstab", with_ctes(s.CELLS_SQL, body="""
 , c AS (SELECT image_key, """ + ", ".join(f"count(*) FILTER (cell_status = '{x}') AS status_{x}" for x in STATUSES) + """,
-  count(*) FILTER (cell_status = 'full_cell' AND cell_prob IS NOT NULL) AS kept_full_cells FROM cells WHERE image_id % 10 <> 0 GROUP BY 1)
+  count(*) FILTER (cell_status = 'full_cell' AND cell_prob IS NOT NULL) AS kept_full_cells FROM cells WHERE passage <> 'P3' GROUP BY 1)
 SELECT image_key, """ + ", ".join(f"coalesce(status_{x}, 0) AS status_{x}" for x in STATUSES) + """, coalesce(kept_full_cells, 0) AS kept_full_cells
 FROM (SELECT DISTINCT image_key FROM cells) LEFT JOIN c USING (image_key)"""))
 def _(spark, sf):
     c = s.cells(spark, sf)
     return summary.status_crosstab(
-        c.filter("image_id % 10 <> 0").withColumn("IDO_score", F.col("cell_prob")), c, STATUSES
+        c.filter("passage <> 'P3'").withColumn("IDO_score", F.col("cell_prob")), c, STATUSES
     )
 
 
@@ -168,7 +168,7 @@ au AS (SELECT curve, min(dose) AS dose_min, max(dose) AS dose_max, sum(a) AS auc
 SELECT curve, dose_min, dose_max, round(auc_raw, 4) AS auc_raw, round(auc_n, 6) AS auc_normalized_by_dose_range FROM au"""))
 def _(spark, sf):
     out = summary.dose_auc(summary.dose_response(s.study_images(spark, sf)))
-    return rounded(out.withColumn("auc_raw", F.round("auc_raw", 4)))
+    return rounded(out.withColumn("auc_raw", nround("auc_raw", 4)))
 
 
 OOF_SQL = """
@@ -201,13 +201,13 @@ pj AS (SELECT repeat, model, curve, auc_raw, auc_n, raw, nrm FROM pa JOIN au USI
 
 
 @query("predicted_auc", with_ctes(s.STUDY_SQL, PRED_AUC_SQL, body="""
-SELECT 'repeated_cv' AS validation, model, curve, round(auc_raw + 1e-7, 4) AS observed_auc_raw, round(auc_n + 1e-7, 4) AS observed_auc_normalized, count(*) AS repeats,
-  """ + ", ".join(f"round(median({e}) + 1e-7, 4) AS {n}_median, round(quantile_cont({e}, 0.75) - quantile_cont({e}, 0.25) + 1e-7, 4) AS {n}_iqr" for n, e in (
+SELECT 'repeated_cv' AS validation, model, curve, round(auc_raw, 4) AS observed_auc_raw, round(auc_n, 4) AS observed_auc_normalized, count(*) AS repeats,
+  """ + ", ".join(f"round(median({e}), 4) AS {n}_median, round(quantile_cont({e}, 0.75) - quantile_cont({e}, 0.25), 4) AS {n}_iqr" for n, e in (
     ("predicted_auc_raw", "raw"), ("absolute_auc_error_raw", "abs(raw - auc_raw)"), ("predicted_auc_normalized", "nrm"), ("absolute_auc_error_normalized", "abs(nrm - auc_n)"))) + """
 FROM pj GROUP BY model, curve, auc_raw, auc_n"""))
 def _(spark, sf):
     observed = summary.dose_auc(summary.dose_response(s.study_images(spark, sf)))
-    return rounded(summary.predicted_auc(oof(spark, sf), observed)[1], 4, nudge=1e-7)
+    return rounded(summary.predicted_auc(oof(spark, sf), observed)[1], 4)
 
 
 REG_SQL = OOF_SQL + """,
@@ -236,8 +236,8 @@ def _(spark, sf):
 
 @query("summarize_coefficients", """
 WITH c AS (SELECT l_returnflag AS validation, l_linestatus AS model, 'f' || l_linenumber AS feature, l_extendedprice / 1000 - 50 AS v FROM lineitem)
-SELECT validation, model, feature, round(median(v) + 1e-9, 6) AS coefficient_median, round(avg(v) + 1e-9, 6) AS coefficient_mean,
-  round(quantile_cont(v, 0.75) - quantile_cont(v, 0.25) + 1e-9, 6) AS coefficient_iqr, round(abs(median(v)) + 1e-9, 6) AS absolute_median FROM c GROUP BY ALL""")
+SELECT validation, model, feature, round(median(v), 6) AS coefficient_median, round(avg(v), 6) AS coefficient_mean,
+  round(quantile_cont(v, 0.75) - quantile_cont(v, 0.25), 6) AS coefficient_iqr, round(abs(median(v)), 6) AS absolute_median FROM c GROUP BY ALL""")
 def _(spark, sf):
     c = table(spark, sf, "lineitem").select(
         F.col("l_returnflag").alias("validation"),
@@ -245,13 +245,13 @@ def _(spark, sf):
         F.concat(F.lit("f"), F.col("l_linenumber")).alias("feature"),
         (F.col("l_extendedprice") / 1000 - 50).alias("coefficient_standardized"),
     )
-    return rounded(summary.summarize_coefficients(c), nudge=1e-9)
+    return rounded(summary.summarize_coefficients(c))
 
 
 @query("oof_average", with_ctes(s.STUDY_SQL, OOF_SQL, body="""
-SELECT model, image_key, round(min(o) + 1e-9, 6) AS "observed_IDO_score", round(avg(p) + 1e-9, 6) AS "predicted_IDO_score" FROM oof GROUP BY ALL"""))
+SELECT model, image_key, round(min(o), 6) AS "observed_IDO_score", round(avg(p), 6) AS "predicted_IDO_score" FROM oof GROUP BY ALL"""))
 def _(spark, sf):
-    return rounded(summary.oof_average(oof(spark, sf)), nudge=1e-9)
+    return rounded(summary.oof_average(oof(spark, sf)))
 
 
 @query("signal_verdict", with_ctes(s.STUDY_SQL, REG_SQL, body="""
@@ -323,7 +323,7 @@ def _(spark, sf):
         F.concat_ws(" + ", "p_type", "p_brand").alias("feature_combo"), (F.col("p_size") % 2 == 0).alias("with_image_embedding")
     ).agg(F.avg(F.col("p_retailprice") / 2000).alias("test_image_mae"))
     out = summary.embedding_ablation(c)
-    return rounded(out.withColumn("correct_without", F.round("correct_without", 4)).withColumn("correct_with", F.round("correct_with", 4)))
+    return rounded(out.withColumn("correct_without", nround("correct_without", 4)).withColumn("correct_with", nround("correct_with", 4)))
 
 
 @query("area_histogram", with_ctes(s.CELLS_SQL, body="""
@@ -443,11 +443,10 @@ def _(spark, sf):
 
 
 @query("inner_fold_count", with_ctes(s.STUDY_SQL, body="""
-, c AS (SELECT "TNF_dose", condition, count(*) AS c FROM study WHERE image_index % 3 <> 1 OR image_index < 10 GROUP BY ALL)
+, c AS (SELECT "TNF_dose", condition, count(*) AS c FROM study GROUP BY ALL)
 SELECT "TNF_dose", CAST(least(3, min(c)) AS INT) AS inner_folds FROM c GROUP BY 1"""))
 def _(spark, sf):
-    images = s.study_images(spark, sf).filter("image_index % 3 <> 1 or image_index < 10")
-    return splits.inner_fold_count(images, 3, ["TNF_dose"])
+    return splits.inner_fold_count(s.study_images(spark, sf), 3, ["TNF_dose"])
 
 
 @query("leave_one_condition_out", with_ctes(s.STUDY_SQL, body="SELECT image_key, condition AS fold FROM study"))

@@ -3,6 +3,9 @@
 The given tables hold no images, so pixels, label masks, outlines and cell rows are derived
 from them by fixed integer formulas. Each Spark view has a DuckDB twin in ``VIEW_SQL``.
 Four ``part`` rows make one 32 x 32 image with up to four cells.
+
+Every query reads its tables whole. Remainders of ids only shape the derived values: they
+place cells, vary names and blank single fields so that the missing-value paths are used.
 """
 
 from __future__ import annotations

@@ -37,3 +37,13 @@ def test_query_matches_sql(spark, con, name):
 def test_every_oracle_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert len(entry.queries()) > 130
+
+
+def test_registry_needs_no_session():
+    """The driver may ask for queries and SQL before it starts Spark."""
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = "import __spark_entry__ as e; assert e.queries() and e.oracle_sql()"
+    subprocess.run([sys.executable, "-c", code], cwd=root, check=True, timeout=120)
