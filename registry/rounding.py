@@ -15,7 +15,7 @@ NUDGE = 1e-9
 
 def nround(column, digits):
     c = F.col(column) if isinstance(column, str) else column
-    return F.round(c + NUDGE, digits)
+    return F.round(c + NUDGE, digits) if digits < 9 else F.round(c, digits)
 
 
 def rounded(df, digits=6):
