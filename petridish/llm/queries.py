@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from petridish.llm import simhash
+from petridish.llm import packing, pieces, simhash
 
 QUERIES = {
+    "op4_pieces": pieces.op4_pieces,
+    "op5_packing": packing.op5_packing,
     "op10_simhash": simhash.op10_simhash,
 }
 
