@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from petridish.llm import packing, pieces, simhash
+from petridish.llm import language, licences, packing, pieces, quality, simhash
 
 QUERIES = {
+    "op2_language": language.op2_language,
+    "op3_licences": licences.op3_licences,
     "op4_pieces": pieces.op4_pieces,
     "op5_packing": packing.op5_packing,
+    "op6_quality": quality.op6_quality,
     "op10_simhash": simhash.op10_simhash,
 }
 
