@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from petridish.llm import language, licences, packing, pieces, quality, simhash
+from petridish.llm import language, licences, packing, pieces, quality, simhash, suffixes
 
 QUERIES = {
     "op2_language": language.op2_language,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_pieces": pieces.op4_pieces,
     "op5_packing": packing.op5_packing,
     "op6_quality": quality.op6_quality,
+    "op7_suffixes": suffixes.op7_suffixes,
     "op10_simhash": simhash.op10_simhash,
 }
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,19 +13,33 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Cut the lineage with checkpoint() in the folder that the session names.
+def _folder(spark: SparkSession) -> str:
+    """The shared folder for intermediate results.
 
-    The folder is spark.checkpoint.dir. Only a session without that setting (tests) gets a
-    folder of its own.
+    It is spark.checkpoint.dir. Only a session without that setting (tests) gets a folder of its
+    own.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="petridish-checkpoint-"))
+        own = spark.conf.get("spark.checkpoint.dir", None)
+        context.setCheckpointDir(own or tempfile.mkdtemp(prefix="petridish-checkpoint-"))
+    return context.getCheckpointDir()
+
+
+def materialise(df: DataFrame) -> DataFrame:
+    """Cut the lineage of a small frame with checkpoint()."""
+    _folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """Cut the lineage of a large frame: write it to the shared folder as Parquet and read it."""
+    spark = df.sparkSession
+    path = f"{_folder(spark)}/table-{uuid.uuid4()}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def shard_count(rows: int, per_shard: int) -> int:
     return max(1, -(-rows // per_shard))
 
