@@ -200,17 +200,17 @@ with words as (
                              w -> w <> '') as w
   from documents
 ), starts as (
-  select doc_id, unnest(range(1, len(w) - 11)) as at from words where len(w) >= 13
+  select doc_id, unnest(range(1, len(w) - 11)) as pos from words where len(w) >= 13
 ), windows as (
-  select s.doc_id, s.at, array_to_string(w.w[s.at : s.at + 12], ' ') as key
+  select s.doc_id, s.pos, array_to_string(w.w[s.pos : s.pos + 12], ' ') as key
   from starts s join words w using (doc_id)
 ), firsts as (
   select key, min(doc_id) as first from windows group by key
 ), again as (
-  select distinct w.doc_id, unnest(range(w.at, w.at + 13)) as at
+  select distinct w.doc_id, unnest(range(w.pos, w.pos + 13)) as pos
   from windows w join firsts f using (key) where f.first < w.doc_id
 ), lists as (
-  select doc_id, list(at) as gone from again group by doc_id
+  select doc_id, list(pos) as gone from again group by doc_id
 )
 select doc_id, len(w) as n_words, coalesce(len(gone), 0) as n_removed,
   sha256(array_to_string(case when gone is null then w else
