@@ -196,8 +196,8 @@ def op9_automata(spark, sf_dir: str) -> DataFrame:
 #: The same rule in DuckDB SQL.
 SQL = r"""
 with words as (
-  select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t\n\v\f\r]+'),
-                             w -> w <> '') as w
+  select doc_id, [x for x in regexp_split_to_array(coalesce(text, ''), '[ \t\n\v\f\r]+')
+                  if x <> ''] as w
   from documents
 ), starts as (
   select doc_id, unnest(range(1, len(w) - 11)) as pos from words where len(w) >= 13
@@ -214,8 +214,7 @@ with words as (
 )
 select doc_id, len(w) as n_words, coalesce(len(gone), 0) as n_removed,
   sha256(array_to_string(case when gone is null then w else
-    list_transform(list_filter(list_zip(w, range(1, len(w) + 1)),
-                               x -> not list_contains(gone, x[2])), x -> x[1]) end, ' '))
+    [w[i] for i in range(1, len(w) + 1) if not list_contains(gone, i)] end, ' '))
     as kept_sha256
 from words left join lists using (doc_id)
 """
