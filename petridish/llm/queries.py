@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from petridish.llm import automata, language, licences, packing, pieces, quality, simhash, suffixes
+from petridish.llm import automata, language, licences, packing, pieces, quality, quantised, simhash, suffixes
 
 QUERIES = {
     "op2_language": language.op2_language,
@@ -11,10 +11,12 @@ QUERIES = {
     "op5_packing": packing.op5_packing,
     "op6_quality": quality.op6_quality,
     "op7_suffixes": suffixes.op7_suffixes,
+    "op8_quantised": quantised.op8_quantised,
     "op9_automata": automata.op9_automata,
     "op10_simhash": simhash.op10_simhash,
 }
 
 ORACLES: dict[str, str] = {
+    "op8_quantised": quantised.SQL,
     "op9_automata": automata.SQL,
 }
