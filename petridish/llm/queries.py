@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from petridish.llm import automata, language, licences, packing, pieces, quality, quantised, simhash, suffixes
+from petridish.llm import automata, fingerprints, language, licences, packing, pieces, quality, quantised, simhash, suffixes
 
 QUERIES = {
+    "op1_fingerprints": fingerprints.op1_fingerprints,
     "op2_language": language.op2_language,
     "op3_licences": licences.op3_licences,
     "op4_pieces": pieces.op4_pieces,
@@ -17,6 +18,7 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_fingerprints": fingerprints.SQL,
     "op8_quantised": quantised.SQL,
     "op9_automata": automata.SQL,
 }
