@@ -135,10 +135,10 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
     return Model(languages, _log_frequencies(_frequent(words, WORDS), languages), grams)
 
 
-def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, lang_pred, score): the likeliest language of each whole text and its probability.
+def predict(docs: DataFrame, model: Model, carry: list[str] | None = None) -> DataFrame:
+    """(doc_id, lang_pred, score[, row]): the likeliest language of each whole text and its probability.
 
-    Only the text is read. Null texts, texts without letters and all texts under an empty model get
+    Only the text is read; columns named in `carry` come back in `row`. Null texts, texts without letters and all texts under an empty model get
     `und` with score 0. Ties go to the language that comes first in order. Rows that repeat an id
     stay; an empty table gives an empty result.
     """
@@ -163,14 +163,17 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                 langs.append(own.languages[best])
                 scores.append(float(1.0 / np.exp(total - total[best]).sum()))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(langs, pa.string()), pa.array(scores, pa.float64())],
-                names=["doc_id", "lang_pred", "score"],
+                [
+                    batch.column("doc_id"),
+                    pa.array(langs, pa.string()),
+                    pa.array(scores, pa.float64()),
+                    *([batch.column("row")] if carry else []),
+                ],
+                names=["doc_id", "lang_pred", "score", *(["row"] if carry else [])],
             )
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(
-        run, f"doc_id {kind}, lang_pred string, score double"
-    )
+    given, schema = shared.carrying(docs, carry)
+    return given.mapInArrow(run, schema.format("lang_pred string, score double"))
 
 
 def held_out(column: str = "doc_id", of: int = 4, rest: int = 2) -> Column:
@@ -179,11 +182,11 @@ def held_out(column: str = "doc_id", of: int = 4, rest: int = 2) -> Column:
     return F.coalesce(digest % of == rest, F.lit(False))
 
 
-def identify(docs: DataFrame) -> DataFrame:
+def identify(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
     """Predictions for all rows by a model that has not seen the held-out ones."""
-    model = fit(docs.filter(~held_out()))
-    return predict(docs, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+    return predict(docs, fit(docs.filter(~held_out())), carry)
 
 
 def op2_language(spark, sf_dir: str) -> DataFrame:
-    return identify(shared.read(spark, sf_dir, "documents"))
+    found = identify(shared.read(spark, sf_dir, "documents"))
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")

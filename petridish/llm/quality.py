@@ -208,10 +208,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
     return {k: np.asarray(v, np.float32) for k, v in model.items()}
 
 
-def score(docs: DataFrame, model: dict) -> DataFrame:
-    """(doc_id, score) of each whole text: higher if label 1 is likelier.
+def score(docs: DataFrame, model: dict, carry: list[str] | None = None) -> DataFrame:
+    """(doc_id, score[, row]) of each whole text: higher if label 1 is likelier.
 
-    Only the text is read; null and empty texts are scored as one empty passage. Rows that repeat
+    Only the text is read; columns named in `carry` come back in `row`. Null and empty texts are scored as one empty passage. Rows that repeat
     an id stay, and an empty table gives an empty result.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
@@ -221,24 +221,22 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
             x, base = passages(batch.column("text"))
             found = forward(sent.value, x, base)["score"].astype(np.float64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(found)], names=["doc_id", "score"]
+                [batch.column("doc_id"), pa.array(found), *([batch.column("row")] if carry else [])],
+                names=["doc_id", "score", *(["row"] if carry else [])],
             )
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double")
+    given, schema = shared.carrying(docs, carry)
+    return given.mapInArrow(run, schema.format("score double"))
 
 
-def assess(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def assess(docs: DataFrame, labels: DataFrame, carry: list[str] | None = None) -> DataFrame:
     """Scores of all rows by a model that has not seen the labels of the held-out ones."""
-    out = held_out("doc_id", 5, 0)
-    model = fit(docs, labels.filter(~out))
-    return score(docs, model).select(
-        "doc_id",
-        out.alias("held_out"),
-        "score",
-        F.when(F.col("score") >= GOOD, 1).otherwise(0).alias("predicted"),
-    )
+    model = fit(docs, labels.filter(~held_out("doc_id", 5, 0)))
+    found = score(docs, model, carry)
+    return found.withColumn("predicted", F.when(F.col("score") >= GOOD, 1).otherwise(0))
 
 
 def op6_quality(spark, sf_dir: str) -> DataFrame:
-    return assess(shared.read(spark, sf_dir, "documents"), shared.read(spark, sf_dir, "labels"))
+    found = assess(shared.read(spark, sf_dir, "documents"), shared.read(spark, sf_dir, "labels"))
+    out = held_out("doc_id", 5, 0).alias("held_out")
+    return found.select("doc_id", out, "score", "predicted")

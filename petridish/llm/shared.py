@@ -40,6 +40,14 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def carrying(docs: DataFrame, carry: list[str] | None) -> tuple[DataFrame, str]:
+    """doc_id and text, with columns to bring along in `row`; and a schema to put more between."""
+    given = docs.select("doc_id", "text", *([F.struct(*carry).alias("row")] if carry else []))
+    kind = lambda c: given.schema[c].dataType.simpleString()
+    more = f", row {kind('row')}" if carry else ""
+    return given, f"doc_id {kind('doc_id')}, {{}}{more}"
+
+
 def shard_count(rows: int, per_shard: int) -> int:
     return max(1, -(-rows // per_shard))
 
