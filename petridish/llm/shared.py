@@ -2,28 +2,22 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from petridish.session import checkpoint_dir
+
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
 def _folder(spark: SparkSession) -> str:
-    """The shared folder for intermediate results.
-
-    It is spark.checkpoint.dir. Only a session without that setting (tests) gets a folder of its
-    own.
-    """
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        own = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(own or tempfile.mkdtemp(prefix="petridish-checkpoint-"))
-    return context.getCheckpointDir()
+    """The shared folder for intermediate results, below the one that the session names."""
+    checkpoint_dir(spark)
+    return spark.sparkContext.getCheckpointDir()
 
 
 def materialise(df: DataFrame) -> DataFrame:
