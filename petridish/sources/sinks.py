@@ -8,7 +8,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from petridish.functions.catalog import GROUP_SHEETS, SINGLE_GROUPS, feature_sheet
+from petridish.functions.catalog import GROUP_SHEETS, SINGLE_GROUPS, UNKNOWN, describe
 from petridish.functions.text import path_component
 
 
@@ -45,7 +45,10 @@ def feature_group_sheets(
     ids: Sequence[str] = ("Cell_ID", "Image", "cell_status"),
 ) -> DataFrame:
     """Feature rows with their sheet group; write with ``partition_by=["feature_group"]``."""
-    return feature_rows(cells, ids).withColumn("feature_group", feature_sheet("feature", profile))
+    if profile not in UNKNOWN:
+        raise ValueError(f"unknown profile {profile!r}")
+    rows = feature_rows(cells, ids)
+    return describe(rows).select(*rows.columns, F.col(profile).alias("feature_group"))
 
 
 def prediction_sheets(

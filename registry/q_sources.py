@@ -415,14 +415,8 @@ def _(spark, sf):
     per_feature = rows.groupBy("feature").agg(
         F.count("value").alias("n"), nround(F.sum("value"), 2).alias("total")
     )
-    return per_feature.select(
-        "feature",
-        catalog.feature_base("feature").alias("base"),
-        catalog.feature_region("feature").alias("region"),
-        catalog.feature_sheet("feature", "engineer").alias("engineer"),
-        catalog.feature_sheet("feature", "biomedical").alias("biomedical"),
-        "n",
-        "total",
+    return catalog.describe(per_feature).select(
+        "feature", "base", "region", "engineer", "biomedical", "n", "total"
     )
 
 
