@@ -8,63 +8,30 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from petridish.session import materialize
 
 
-# Groups up to this many edges are solved inside one task after their size was checked;
-# larger ones go through the distributed rounds.
-GROUP_EDGES = 200_000
-
-
-def split_by_size(df: DataFrame, keys: Sequence[str], limit: int) -> tuple[DataFrame, DataFrame | None]:
-    """Rows of groups up to ``limit`` rows, and the rest (None when there is none)."""
-    big = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > limit)
-    if big.isEmpty():
-        return df, None
-    big = materialize(big.select(*keys))
-    return df.join(big, list(keys), "left_anti"), df.join(big, list(keys), "left_semi")
-
-
 def greedy_matching(
     edges: DataFrame,
     keys: Sequence[str],
     left: str,
     right: str,
     priority: Sequence[str],
-    limit: int = GROUP_EDGES,
 ) -> DataFrame:
     """One-to-one matching per ``keys`` that takes edges in ``priority`` order.
 
-    ``priority`` must order the edges of a group without ties. A group within the size limit
-    is walked in order by one task. A larger one is matched in rounds: every edge that is
-    the best one of both of its ends is taken and the edges it blocks are removed, which
-    gives the same result as walking the sorted list.
+    ``priority`` must order the edges of a group without ties. In each round every edge that
+    is the best one of both of its ends is taken and the edges it blocks are removed, which
+    gives the same result as walking the sorted list. All groups go through the rounds
+    together; the last round finds no edge left.
     """
     keys = list(keys)
-    edges = materialize(edges)
-    small, big = split_by_size(edges, keys, limit)
-
-    def walk(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(list(priority), kind="stable")
-        used_left, used_right, keep = set(), set(), []
-        for l, r in zip(group[left], group[right]):
-            free = l not in used_left and r not in used_right
-            keep.append(free)
-            if free:
-                used_left.add(l)
-                used_right.add(r)
-        return group[keep]
-
-    taken = small.groupBy(*keys).applyInPandas(walk, edges.schema)
-    if big is None:
-        return taken
-    rest = materialize(big.withColumn("_p", F.struct(*priority)))
-    while True:
+    rest = materialize(edges.withColumn("_p", F.struct(*priority)))
+    taken = rest.limit(0).select(*edges.columns)
+    while not rest.isEmpty():
         best_left = rest.groupBy(*keys, left).agg(F.min("_p").alias("_bl"))
         best_right = rest.groupBy(*keys, right).agg(F.min("_p").alias("_br"))
         chosen = materialize(
@@ -73,14 +40,13 @@ def greedy_matching(
             .filter((F.col("_p") == F.col("_bl")) & (F.col("_p") == F.col("_br")))
             .select(*rest.columns)
         )
-        if chosen.isEmpty():
-            return taken
         taken = taken.unionByName(chosen.drop("_p"))
         rest = materialize(
             rest.join(chosen.select(*keys, left), [*keys, left], "left_anti").join(
                 chosen.select(*keys, right), [*keys, right], "left_anti"
             )
         )
+    return taken
 
 
 def connected_components(
@@ -89,43 +55,47 @@ def connected_components(
     keys: Sequence[str],
     node: str = "id",
     out: str = "component",
-    limit: int = GROUP_EDGES,
 ) -> DataFrame:
     """Label every node with the smallest node of its component within ``keys``.
 
-    ``edges(keys, a, b)``, node ids are numbers. Groups within the size limit are solved by
-    one task each, larger ones by alternating large-star and small-star rounds.
+    ``edges(keys, a, b)``. Edges are contracted until none is left: every node moves to the
+    least of itself and its neighbours, in the natural order in even rounds (a star is done in
+    one) and by a fresh hash in odd rounds, which shrinks long chains as well. Nothing but
+    minima and equi-joins; no neighbourhood is collected, and the end is exact.
     """
     keys = list(keys)
-    edges = materialize(edges.filter("a <> b").select(*keys, "a", "b"))
-    small, big = split_by_size(edges, keys, limit)
-    kind = nodes.schema[node].dataType
-    schema = StructType(
-        [f for f in nodes.schema.fields if f.name in keys]
-    ).add(node, kind).add("_root", kind)
-
-    def solve(group: pd.DataFrame) -> pd.DataFrame:
-        parent: dict = {}
-
-        def find(i):
-            parent.setdefault(i, i)
-            while parent[i] != i:
-                parent[i] = parent[parent[i]]
-                i = parent[i]
-            return i
+    left = materialize(edges.filter("a <> b").select(*keys, "a", "b").distinct())
+    ends = left.select(*keys, F.col("a").alias("_at")).union(left.select(*keys, "b")).distinct()
+    places = ends.withColumn("_to", F.col("_at"))  # where each node has moved so far
+    turn = 0
+    while not left.isEmpty():
+
+        def order(c):
+            first = F.xxhash64(F.lit(turn), c) if turn % 2 else F.lit(0)  # noqa: B023
+            return F.struct(first.alias("h"), c.alias("x"))
+
+        both = left.union(left.select(*keys, F.col("b"), F.col("a"))).toDF(*keys, "a", "b")
+        moves = (
+            both.groupBy(*keys, "a")
+            .agg(F.min(order(F.col("b"))).alias("_m"))
+            .select(*keys, "a", F.least("_m", order(F.col("a")))["x"].alias("_new"))
+            .filter("_new <> a")
+        )
+        moves = materialize(moves)
 
-        for a, b in zip(group["a"].tolist(), group["b"].tolist()):
-            ra, rb = find(a), find(b)
-            if ra != rb:
-                parent[max(ra, rb)] = min(ra, rb)
-        found = pd.DataFrame({node: list(parent), "_root": [find(i) for i in parent]})
-        for k in keys:
-            found[k] = group[k].iloc[0]
-        return found[[*schema.names]]
+        def moved(frame, name):
+            step = moves.withColumnRenamed("a", name)  # noqa: B023
+            return frame.join(step, [*keys, name], "left").withColumn(
+                name, F.coalesce("_new", name)
+            ).drop("_new")
 
-    roots = small.groupBy(*keys).applyInPandas(solve, schema)
-    if big is not None:
-        roots = roots.unionByName(_star_rounds(big, keys, node))
+        places = materialize(moved(places, "_to").select(*keys, "_at", "_to"))
+        left = materialize(
+            moved(moved(left, "a"), "b").select(*keys, "a", "b").filter("a <> b").distinct()
+        )
+        turn += 1
+    least = places.groupBy(*keys, "_to").agg(F.min("_at").alias("_root"))
+    roots = places.join(least, [*keys, "_to"]).select(*keys, F.col("_at").alias(node), "_root")
     return (
         nodes.join(roots, [*keys, node], "left")
         .withColumn(out, F.coalesce("_root", node))
@@ -133,52 +103,6 @@ def connected_components(
     )
 
 
-def _star_rounds(edges: DataFrame, keys: list[str], node: str) -> DataFrame:
-    """Root of every non-root node, after Kiveris et al. (2014); O(log² n) rounds."""
-
-    def tidy(frame: DataFrame) -> DataFrame:
-        return (
-            frame.select(*keys, F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-            .filter("u <> v")
-            .distinct()
-        )
-
-    def mark(frame: DataFrame):
-        return frame.agg(
-            F.count(F.lit(1)),
-            F.sum(F.xxhash64(*keys, "u", "v").bitwiseAND(F.lit(0xFFFFFFFF))),
-        ).first()
-
-    current = materialize(tidy(edges))
-    signature = mark(current)
-    while True:
-        both = current.unionByName(
-            current.select(*keys, F.col("v").alias("u"), F.col("u").alias("v"))
-        )
-        low = (
-            both.groupBy(*keys, "u")
-            .agg(F.min("v").alias("m"))
-            .select(*keys, "u", F.least("u", "m").alias("m"))
-        )
-        large = (
-            both.join(low, [*keys, "u"])
-            .filter("v > u")
-            .select(*keys, F.col("v").alias("a"), F.col("m").alias("b"))
-        )
-        down = tidy(large)
-        low2 = down.groupBy(*keys, "u").agg(F.min("v").alias("m"))
-        small = (
-            down.join(low2, [*keys, "u"])
-            .select(*keys, F.col("v").alias("a"), F.col("m").alias("b"))
-            .unionByName(low2.select(*keys, F.col("u").alias("a"), F.col("m").alias("b")))
-        )
-        current = materialize(tidy(small))
-        new = mark(current)
-        if new == signature:
-            return current.select(*keys, F.col("u").alias(node), F.col("v").alias("_root"))
-        signature = new
-
-
 def nearest(
     left: DataFrame,
     right: DataFrame,

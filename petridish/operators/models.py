@@ -89,7 +89,7 @@ class TableTransform:
 
 
 def fit_table_transform(
-    df: DataFrame, features: Sequence[str], hot_rows: int | None = None
+    df: DataFrame, features: Sequence[str]
 ) -> TableTransform:
     """Exact medians, then mean and deviation of the imputed columns.
 
@@ -97,7 +97,7 @@ def fit_table_transform(
     """
     features = list(features)
     clean = df.select(*[number(f"`{f}`").alias(f) for f in features])
-    row = summarise(clean, [], {}, {f: (f, 0.5) for f in features}, hot_rows).first()
+    row = summarise(clean, [], {}, {f: (f, 0.5) for f in features}).first()
     medians = {f: 0.0 if row[f] is None else float(row[f]) for f in features}
     filled = clean.select(*[F.coalesce(f"`{f}`", F.lit(medians[f])).alias(f) for f in features])
     stats = filled.agg(
@@ -706,7 +706,7 @@ def cross_validate(
     return materialize(predictions), coefficients
 
 
-def dummy_median(outer: DataFrame, target: str = "IDO_score", hot_rows: int | None = None) -> DataFrame:
+def dummy_median(outer: DataFrame, target: str = "IDO_score") -> DataFrame:
     """Median of each fold's training rows as the prediction of its test rows."""
     folds = outer.select("repeat", "fold").distinct()
     train = (
@@ -714,7 +714,7 @@ def dummy_median(outer: DataFrame, target: str = "IDO_score", hot_rows: int | No
         .join(F.broadcast(folds), "repeat")  # a few folds per repeat
         .filter("_own <> fold")
     )
-    medians = summarise(train, ["repeat", "fold"], {}, {"predicted": (target, 0.5)}, hot_rows)
+    medians = summarise(train, ["repeat", "fold"], {}, {"predicted": (target, 0.5)})
     return outer.join(medians, ["repeat", "fold"]).select(
         "repeat", "fold", "image_key", F.col(target).alias("observed"), "predicted"
     )

@@ -9,11 +9,6 @@ from pyspark.sql import functions as F
 
 from petridish.session import materialize
 
-# A group above this row count is never held by one task: its order statistics come from
-# a range-partitioned sort instead of one in-memory aggregate.
-HOT_ROWS = 1_000_000
-
-
 def with_group_stats(df: DataFrame, keys: Sequence[str], **aggs: Column) -> DataFrame:
     """Attach group aggregates to every row.
 
@@ -57,54 +52,71 @@ def rank_within(
     )
 
 
-def _hot_percentiles(df, keys, specs):
-    """Percentiles of hot groups from exact ranks of a distributed sort."""
+def _same_group(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
+    """Join on group keys, of which a null is one."""
+    names = {k: f"_key_{k}" for k in keys}
+    right = right.withColumnsRenamed(names)
+    same = F.lit(True)
+    for k, other in names.items():
+        same = same & F.col(k).eqNullSafe(F.col(other))
+    return left.join(right, same, how).drop(*names.values())
+
+
+def _percentiles(
+    df: DataFrame, keys: Sequence[str], specs: Mapping[str, tuple[str, float]]
+) -> DataFrame:
+    """One row per group with the percentiles in ``specs``, linearly interpolated.
+
+    Equal values are combined first; the running count of the distinct values, sorted by
+    range, gives each value the ranks that it holds, and the values that hold the two ranks
+    around a percentile are picked. No group is held by one task.
+    """
     columns = list(dict.fromkeys(c for c, _ in specs.values()))
     long = (
         df.select(*keys, *[F.col(c).cast("double").alias(c) for c in columns])
-        .unpivot(list(keys), columns, "_column", "_value")
+        .unpivot(list(keys) or [F.lit(0).alias("_all")], columns, "_column", "_value")
         .filter(F.col("_value").isNotNull())
-        .withColumn("_tie", F.monotonically_increasing_id())
+        .groupBy(*keys, "_column", "_value")
+        .agg(F.count(F.lit(1)).alias("_count"))
     )
-    ranked = rank_within(long, [*keys, "_column"], ["_value", "_tie"], "_rank")
-    sizes = ranked.groupBy(*keys, "_column").agg(F.max("_rank").alias("_n"))
+    ranked = running_total(long, [*keys, "_column"], ["_value"], "_count", "_upto")
+    at = F.col("_p") * (F.col("_n") - 1)
+    low = F.floor(at)
     wanted = F.array(
         *[
-            F.struct(F.lit(n).alias("out"), F.lit(c).alias("column"), F.lit(float(p)).alias("p"))
+            F.struct(F.lit(n).alias("out"), F.lit(c).alias("of"), F.lit(float(p)).alias("p"))
             for n, (c, p) in specs.items()
         ]
     )
-    targets = (
-        sizes.withColumn("_w", F.explode(wanted))
-        .filter(F.col("_w.column") == F.col("_column"))
-        .withColumn("_at", F.col("_w.p") * (F.col("_n") - 1))
+    # at most two ranks per group and percentile
+    ranks = (
+        ranked.groupBy(*keys, "_column")
+        .agg(F.max("_upto").alias("_n"))
+        .withColumn("_w", F.explode(F.filter(wanted, lambda w: w["of"] == F.col("_column"))))
+        .withColumn("_p", F.col("_w.p"))
         .select(
             *keys,
             "_column",
-            F.col("_w.out").alias("_out"),
-            F.explode(
-                F.array(
-                    F.struct(
-                        (F.floor("_at") + 1).alias("rank"),
-                        (F.floor("_at") + 1 - F.col("_at")).alias("share"),
-                    ),
-                    F.struct(
-                        (F.floor("_at") + 2).alias("rank"),
-                        (F.col("_at") - F.floor("_at")).alias("share"),
-                    ),
-                )
-            ).alias("_t"),
+            F.array(
+                F.struct(F.col("_w.out").alias("out"), (low + 1).alias("rank"), (1 - (at - low)).alias("share")),
+                F.struct(F.col("_w.out").alias("out"), (low + 2).alias("rank"), (at - low).alias("share")),
+            ).alias("_ranks"),
         )
-        .select(*keys, "_column", "_out", F.col("_t.rank").alias("_rank"), "_t.share")
-        .filter("share > 0")
+        .groupBy(*keys, "_column")
+        .agg(F.flatten(F.collect_list("_ranks")).alias("_ranks"))
     )
-    picked = ranked.join(targets, [*keys, "_column", "_rank"])
-    return (
-        picked.groupBy(*keys, "_out")
-        .agg(F.sum(F.col("_value") * F.col("share")).alias("_q"))
-        .groupBy(*keys)
-        .pivot("_out", list(specs))
-        .agg(F.first("_q"))
+    held = F.filter(
+        "_ranks",
+        lambda r: (r["share"] > 0)
+        & (r["rank"] <= F.col("_upto"))
+        & (r["rank"] > F.col("_upto") - F.col("_count")),
+    )
+    picked = _same_group(ranked, ranks, [*keys, "_column"], "inner").select(
+        *keys, "_value", F.explode(held).alias("_r")
+    )
+    part = F.col("_value") * F.col("_r.share")
+    return picked.groupBy(*keys).agg(
+        *[F.sum(F.when(F.col("_r.out") == n, part)).alias(n) for n in specs]
     )
 
 
@@ -113,46 +125,23 @@ def summarise(
     keys: Sequence[str],
     aggs: Mapping[str, Column] | None = None,
     percentiles: Mapping[str, tuple[str, float]] | None = None,
-    hot_rows: int | None = None,
 ) -> DataFrame:
     """Group aggregates plus exact, linearly interpolated percentiles.
 
-    ``percentiles`` maps an output name to ``(column, p)``. The built-in ``percentile``
-    keeps a group's distinct values in one task, so group sizes are checked first; groups
-    above ``hot_rows`` are ranked by a distributed sort.
+    ``percentiles`` maps an output name to ``(column, p)``; all of them share one sort.
     """
-    aggs = dict(aggs or {})
-    specs = dict(percentiles or {})
-    hot_rows = HOT_ROWS if hot_rows is None else hot_rows
-    plain = [c.alias(n) for n, c in aggs.items()]
+    keys, specs = list(keys), dict(percentiles or {})
+    plain = [c.alias(n) for n, c in (aggs or {}).items()]
     if not specs:
         return df.groupBy(*keys).agg(*plain)
-    # one pass over a column's values serves all of its percentiles
-    points: dict[str, list[float]] = {}
-    for c, p in specs.values():
-        points.setdefault(c, []).append(float(p))
-
-    def exact(c, p):
-        return F.percentile(c, F.array(*[F.lit(q) for q in points[c]]))[points[c].index(float(p))]
-
-    exact = [exact(c, p).alias(n) for n, (c, p) in specs.items()]
-    hot = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot_rows)
-    if hot.isEmpty():
-        return df.groupBy(*keys).agg(*plain, *exact)
-    if keys:
-        hot = materialize(hot.select(*keys))
-        big = df.join(hot, list(keys), "left_semi")
-        small = df.join(hot, list(keys), "left_anti").groupBy(*keys).agg(*plain, *exact)
-    else:
-        big, small = df, None
-    quantiles = _hot_percentiles(big, list(keys), specs)
+    found = _percentiles(df, keys, specs)
     if not keys:
-        row = quantiles.first()
-        found = {n: F.lit(row[n] if row else None).cast("double") for n in specs}
-        return df.agg(*plain, F.count(F.lit(1)).alias("_rows")).withColumns(found).drop("_rows")
-    if plain:
-        quantiles = big.groupBy(*keys).agg(*plain).join(quantiles, list(keys), "left")
-    return small.unionByName(quantiles.select(*small.columns))
+        row = found.first()
+        return df.agg(*plain, F.count(F.lit(1)).alias("_rows")).select(
+            *(aggs or {}), *[F.lit(row[n] if row else None).cast("double").alias(n) for n in specs]
+        )
+    groups = df.groupBy(*keys).agg(*plain) if plain else df.select(*keys).distinct()
+    return _same_group(groups, found, keys, "left")
 
 
 def average_ranks(df: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFrame:

@@ -25,7 +25,6 @@ def cell_to_image(
     cells: DataFrame,
     scores: Sequence[str] = (),
     probability: str = "cell_prob",
-    hot_rows: int | None = None,
 ) -> DataFrame:
     """Probability summary per image, with true ratio and score means where present."""
     def above(t):
@@ -51,7 +50,7 @@ def cell_to_image(
         if s in cells.columns:
             aggs[f"{s}_mean"] = F.avg(s)
             percentiles[f"{s}_median"] = (s, 0.5)
-    return summarise(cells, ["image_key"], aggs, percentiles, hot_rows)
+    return summarise(cells, ["image_key"], aggs, percentiles)
 
 
 def image_to_folder(images: DataFrame) -> DataFrame:
@@ -85,7 +84,7 @@ def image_to_folder(images: DataFrame) -> DataFrame:
 
 
 def feature_mean_median(
-    cells: DataFrame, features: Sequence[str], hot_rows: int | None = None
+    cells: DataFrame, features: Sequence[str]
 ) -> DataFrame:
     """Mean and median of every feature per image."""
     numeric = cells.select("image_key", *[number(f"`{f}`").alias(f) for f in features])
@@ -94,7 +93,6 @@ def feature_mean_median(
         ["image_key"],
         {f"{f}_mean": F.avg(f) for f in features},
         {f"{f}_median": (f, 0.5) for f in features},
-        hot_rows,
     )
 
 
@@ -103,7 +101,6 @@ def image_median_iqr(
     features: Sequence[str],
     min_cells: int = 3,
     target: str = "IDO_score",
-    hot_rows: int | None = None,
 ) -> DataFrame:
     """One row per image with enough cells: medians and inter-quartile ranges."""
     percentiles = {}
@@ -116,7 +113,6 @@ def image_median_iqr(
         keys,
         {"cell_count": F.count(F.lit(1))},
         percentiles,
-        hot_rows,
     ).filter(F.col("cell_count") >= min_cells)
     return wide.select(
         *keys,
@@ -372,7 +368,7 @@ def _curve_rows(images: DataFrame, value: str) -> DataFrame:
 
 
 def dose_response(
-    images: DataFrame, by: Sequence[str] = (), value: str = "IDO_score", hot_rows: int | None = None
+    images: DataFrame, by: Sequence[str] = (), value: str = "IDO_score"
 ) -> DataFrame:
     """Per curve and dose: image count, mean, median, deviation, standard error."""
     keys = [*by, "curve", "dose"]
@@ -385,7 +381,6 @@ def dose_response(
             "IDO_score_std": F.when(F.count(value) > 1, F.stddev_samp(value)),
         },
         {"IDO_score_median": (value, 0.5)},
-        hot_rows,
     )
     return out.withColumn("IDO_score_sem", F.col("IDO_score_std") / F.sqrt("n_images"))
 
@@ -422,7 +417,7 @@ def dose_auc(summary: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 
 def predicted_auc(
-    predictions: DataFrame, observed: DataFrame, hot_rows: int | None = None
+    predictions: DataFrame, observed: DataFrame
 ) -> tuple[DataFrame, DataFrame]:
     """AUC of out-of-fold predictions against the observed ones, and its spread over repeats."""
     by = ["validation", "repeat", "model"]
@@ -432,7 +427,6 @@ def predicted_auc(
                 *by, "IFN_dose", "TNF_dose", F.col("predicted_IDO_score").alias("IDO_score")
             ),
             by,
-            hot_rows=hot_rows,
         ),
         by,
     )
