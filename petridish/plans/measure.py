@@ -241,10 +241,13 @@ def image_job(
     ki67_mask: DataFrame | None = None,
     rings: DataFrame | None = None,
     debris: dict | None = None,
+    ball: float = 50.0,
+    span: float = 1.0,
 ) -> DataFrame:
     """Final cleaned cell table: features, ring and IDO columns, Ki67 label, status.
 
-    ``rings`` is the channel measured in rings around the nucleus. Channels that are absent
+    ``rings`` is the channel measured in rings around the nucleus, after its background, that
+    of a rolling ball of radius ``ball``, is taken off; its values lie within ``span``. Channels that are absent
     add no columns; without a Ki67 mask no label is made.
     """
     image = list(image)
@@ -254,7 +257,10 @@ def image_job(
     labels = mask_outlines(outlines, image, width, height)
     if rings is not None:
         pairs = outlines.filter("nuc is not null and cyto is not null")
-        measured = fluorescence.fluor_rings(pairs, rings, image, width, height)
+        signal = stencil.rolling_ball(rings.select(*image, "x", "y", "v"), image, ball, span=span)
+        measured = fluorescence.fluor_rings(
+            pairs, signal.drop("background"), image, width, height
+        )
         flat = measured.groupBy(*image, F.col("roi_id").alias("label")).agg(
             *[
                 F.max(F.when(F.col("ring") == k, F.col(v))).alias(f"{v}-{k}")

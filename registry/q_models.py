@@ -59,20 +59,18 @@ def _(spark, sf):
 
 @query("stage1_matrix", with_ctes(SCORED_SQL, body=f"""
 SELECT cell_id, image_key, ki67_label, round({SCORES[0]}, 6) AS {SCORES[0]}, """ + ", ".join(
-    f"round(coalesce(CAST(embedding[{i + 1}] AS DOUBLE), 0), 6) AS cnn_emb_{i:04d}" for i in range(4)) + """, 0.0::DOUBLE AS absent
-FROM sc LEFT JOIN (SELECT 'folder_' || (vec_id % 12) || '::img_' || vec_id AS image_key, embedding FROM embeddings WHERE label <> 3) USING (image_key)"""))
+    f"round(coalesce(CAST(embedding[{i + 1}] AS DOUBLE), 0), 6) AS cnn_emb_{i:04d}" for i in range(64)) + f""", 0.0::DOUBLE AS absent
+FROM sc LEFT JOIN (SELECT {s.VECTOR_KEY} AS image_key, embedding FROM embeddings) USING (image_key)"""))
 def _(spark, sf):
     cells = scored(spark, sf)
     config = models.Config("t", "t", True, True, "none", "S1", ("Texture",))
-    columns = [SCORES[0], *[f"cnn_emb_{i:04d}" for i in range(4)], "absent"]
+    columns = [SCORES[0], *[f"cnn_emb_{i:04d}" for i in range(64)], "absent"]
     out, _ = models.stage1_matrix(cells, config, cells.select("cell_id", *SCORES), vectors(spark, sf), None, columns, 64)
     return rounded(out)
 
 
 def vectors(spark, sf):
-    return table(spark, sf, "embeddings").filter("label <> 3").select(
-        F.expr("'folder_' || (vec_id % 12) || '::img_' || vec_id").alias("image_key"), "embedding"
-    )
+    return table(spark, sf, "embeddings").select(F.expr(s.VECTOR_KEY).alias("image_key"), "embedding")
 
 
 STAGE2 = models.stage2_columns("S4", [f"P{i}" for i in range(4)], [SCORES[0]])
@@ -249,7 +247,7 @@ def _(spark, sf):
         s.HEIGHT,
         ido=s.pixels(spark, sf, "ido").drop("dataset"),
         ki67_mask=s.pixels(spark, sf, "ki67").filter("v > 150").drop("dataset"),
-        rings=s.pixels(spark, sf, "ido").drop("dataset"),
+        rings=s.pixels(spark, sf, "ido").drop("dataset").withColumn("v", F.col("v") / 255),
         debris=DEBRIS,
     )
     return rounded(out)

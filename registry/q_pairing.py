@@ -359,14 +359,12 @@ def _(spark, sf):
     )
 
 
-@query("attach_embeddings", with_ctes(s.CELLS_SQL, body="""
+@query("attach_embeddings", with_ctes(s.CELLS_SQL, body=f"""
 SELECT cell_id, image_key, CAST(coalesce(len(embedding), 64) AS INT) AS size, round(coalesce(list_sum(list_transform(embedding, lambda e: CAST(e AS DOUBLE))), 0), 4) AS total,
   round(coalesce(CAST(embedding[1] AS DOUBLE), 0), 6) AS first
-FROM cells LEFT JOIN (SELECT 'folder_' || (vec_id % 12) || '::img_' || vec_id AS image_key, embedding FROM embeddings WHERE label <> 3) USING (image_key)"""))
+FROM cells LEFT JOIN (SELECT {s.VECTOR_KEY} AS image_key, embedding FROM embeddings) USING (image_key)"""))
 def _(spark, sf):
-    vectors = table(spark, sf, "embeddings").filter("label <> 3").select(
-        F.expr("'folder_' || (vec_id % 12) || '::img_' || vec_id").alias("image_key"), "embedding"
-    )
+    vectors = table(spark, sf, "embeddings").select(F.expr(s.VECTOR_KEY).alias("image_key"), "embedding")
     cells = s.cells(spark, sf).select("cell_id", "image_key")
     out = pairing.attach_embeddings(cells, vectors, 64)
     return out.select(

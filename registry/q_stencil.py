@@ -143,7 +143,9 @@ def _(spark, sf):
     return stencil.local_maxima(px(spark, sf), IMG, 2)
 
 
-def ball_sql(r):
+def ball_sql(r, span, source):
+    """Lowest touching position of a ball; offsets that raise it by more than ``span`` never win."""
+
     def at(name, k, w):
         return name if k == 0 else f"{'lag' if k < 0 else 'lead'}({name}, {abs(k)}) OVER {w}"
 
@@ -153,21 +155,24 @@ def ball_sql(r):
     def low(terms):
         return terms[0] if len(terms) == 1 else f"least({', '.join(terms)})"
 
+    reach = max(k for k in range(r + 1) if rise(k, 0) <= span)
+    steps = range(-reach, reach + 1)
     rows = ", ".join(
-        low([f"{at('v', dx, 'a')} + {rise(dx, dy)!r}" for dx in range(-r, r + 1) if dx * dx + dy * dy <= r * r]) + f" AS r{dy}"
-        for dy in range(r + 1)
+        low([f"{at('v', dx, 'a')} + {rise(dx, dy)!r}" for dx in steps if rise(dx, dy) <= span]) + f" AS r{dy}"
+        for dy in range(reach + 1)
     )
-    down = low([at(f"r{abs(dy)}", dy, "d") for dy in range(-r, r + 1)])
+    down = low([at(f"r{abs(dy)}", dy, "d") for dy in steps])
     return (
-        f"bh AS (SELECT image_id, x, y, v, {rows} FROM px WINDOW a AS (PARTITION BY image_id, y ORDER BY x)),\n"
+        f"bh AS (SELECT image_id, x, y, v, {rows} FROM {source} WINDOW a AS (PARTITION BY image_id, y ORDER BY x)),\n"
         f"bg AS (SELECT image_id, x, y, v, {down} AS b FROM bh WINDOW d AS (PARTITION BY image_id, x ORDER BY y))"
     )
 
 
-@query("rolling_ball", with_ctes(*PIXELS, ball_sql(3), body="""
+@query("rolling_ball", with_ctes(*PIXELS, "un AS (SELECT image_id, x, y, v / 255 AS v FROM px)", ball_sql(50, 1.0, "un"), body="""
 SELECT image_id, x, y, round(b, 6) AS background, round(greatest(v - b, 0), 6) AS v FROM bg"""))
 def _(spark, sf):
-    return rounded(stencil.rolling_ball(px(spark, sf), IMG, 3.0))
+    gray = px(spark, sf).withColumn("v", F.col("v") / 255)
+    return rounded(stencil.rolling_ball(gray, IMG, 50.0, span=1.0))
 
 
 def component_sql(mask, keys, steps, name="comp"):

@@ -16,6 +16,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WIDTH = HEIGHT = 32
+# image key of a vector; those with label 3 belong to no image, so that some images have none
+VECTOR_KEY = (
+    "'folder_' || (vec_id % 12) || '::img_' || vec_id || CASE WHEN label = 3 THEN '_other' ELSE '' END"
+)
 STATUS_BY_EVENT = {
     "view": "full_cell",
     "click": "nuc_only",
