@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -76,39 +76,50 @@ def explode_pixels(
     )
 
 
+# Sample types by their bytes, and the value that counts as 1 (floats stay).
+SAMPLES = {1: ("<u1", 255.0), 2: ("<u2", 65535.0), 4: ("<f4", 1.0)}
+PIXEL_ROWS = 1 << 16
+
+
 def decode_pixels(images: DataFrame) -> DataFrame:
     """Pixel rows ``path, x, y, v, b, g, r`` from decoded image bytes.
 
-    ``v`` is the gray value in [0, 1] (Rec. 601 weights for colour; alpha is dropped), the
-    other three are the raw channels. Rows leave in slices of one pixel line.
+    ``images(path, width, height, data)`` with samples of 8 or 16 bits or 32-bit floats, told by
+    the length of the data for the ``channels`` (a column; 1 if absent, or 3 or 4 for 8-bit data
+    of that length). ``v`` is the gray value in [0, 1] (Rec. 601 weights for colour; alpha is
+    dropped), the other three are the raw channels. Rows leave in batches of many lines.
     """
 
-    def lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def pixels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.itertuples(index=False):
-                flat = np.frombuffer(row.data, dtype=np.uint8).reshape(row.height, row.width, -1)
-                for y in range(row.height):
-                    line = flat[y].astype("float64")
-                    if line.shape[1] >= 3:
-                        b, g, r = line[:, 0], line[:, 1], line[:, 2]
-                        gray = 0.114 * b + 0.587 * g + 0.299 * r
-                    else:
-                        b = g = r = gray = line[:, 0]
-                    yield pd.DataFrame(
-                        {
-                            "path": row.path,
-                            "x": np.arange(row.width, dtype="int32"),
-                            "y": np.int32(y),
-                            "v": gray / 255.0,
-                            "b": b,
-                            "g": g,
-                            "r": r,
-                        }
+            for row in batch.to_pylist():
+                size = row["width"] * row["height"]
+                if not size or not row["data"]:
+                    continue
+                samples = len(row["data"]) // size
+                channels = row["channels"] or (samples if samples in (3, 4) else 1)
+                kind, full = SAMPLES[samples // channels]
+                flat = np.frombuffer(row["data"], kind).reshape(size, channels).astype("float64")
+                b, g, r = flat[:, :3].T if channels >= 3 else (flat[:, 0],) * 3
+                gray = 0.114 * b + 0.587 * g + 0.299 * r if channels >= 3 else flat[:, 0]
+                place = np.arange(size, dtype="int32")
+                for at in range(0, size, PIXEL_ROWS):
+                    part = slice(at, at + PIXEL_ROWS)
+                    n = place[part].size
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.repeat(pa.scalar(row["path"], pa.string()), n),
+                            pa.array(place[part] % row["width"]),
+                            pa.array(place[part] // row["width"]),
+                            *[pa.array(x[part]) for x in (gray / full, b, g, r)],
+                        ],
+                        names=["path", "x", "y", "v", "b", "g", "r"],
                     )
 
-    return images.select("path", "width", "height", "data").mapInPandas(
-        lines, "path string, x int, y int, v double, b double, g double, r double"
-    )
+    channels = F.col("channels") if "channels" in images.columns else F.lit(None)
+    return images.select(
+        "path", "width", "height", "data", channels.cast("int").alias("channels")
+    ).mapInArrow(pixels, "path string, x int, y int, v double, b double, g double, r double")
 
 
 def mask_pixels(pixels: DataFrame, value: Column | str = "v") -> DataFrame:

@@ -34,10 +34,26 @@ NATURAL = (
 )
 
 
-@query("scan_images")
+@query("scan_images", with_ctes(s.GEOMETRY_SQL, s.IMAGES_SQL, s.pixels_sql("phase"), body="""
+SELECT 'img_' || image_id AS path, x, y, round(v / 255, 6) AS v FROM px"""))
 def _(spark, sf):
-    files = images.scan_files(spark, sf, (".parquet",))
-    return files.select("stem", "extension", "length", "sort_key").orderBy("sort_key")
+    """Image rows with 8-bit samples, every third with 16 bits, decoded to pixels."""
+    px = s.pixels(spark, sf)
+    low = F.lpad(F.hex(F.col("v").cast("int")), 2, "0")
+    # a 16-bit sample of the same brightness has the byte twice
+    wide = F.when(F.col("image_id") % 3 == 0, F.concat(low, low)).otherwise(low)
+    rows = px.groupBy("image_id").agg(
+        F.array_sort(F.collect_list(F.struct("y", "x", wide.alias("hex")))).alias("samples")
+    )
+    data = F.unhex(F.array_join(F.transform("samples", lambda p: p["hex"]), ""))
+    scans = rows.select(
+        F.concat(F.lit("img_"), F.col("image_id")).alias("path"),
+        F.lit(s.WIDTH).alias("width"),
+        F.lit(s.HEIGHT).alias("height"),
+        F.lit(1).alias("channels"),
+        data.alias("data"),
+    )
+    return images.decode_pixels(scans).select("path", "x", "y", nround("v", 6).alias("v"))
 
 
 @query("scan_filter_channel", f"""
