@@ -36,7 +36,10 @@ def words(text: Column) -> Column:
 
 
 def lexicon(docs: DataFrame) -> DataFrame:
-    """(word, levels): words in the band, and to which density each draw keeps them (0: to none)."""
+    """(word, levels): words in the band, and to which density each draw keeps them.
+
+    levels has four bits for each draw; 0 there means that it keeps the word at no density.
+    """
     counts = (
         docs.select(F.explode(words(F.coalesce("text", F.lit("")))).alias("word"))
         .groupBy("word")
@@ -51,30 +54,47 @@ def lexicon(docs: DataFrame) -> DataFrame:
         level = F.lit(0)
         for below in range(1, LEVELS + 1):
             level = F.when(spot < f"{65536 >> below:04x}", below).otherwise(level)
-        draws.append(level)
-    return shared.materialise(kept.select("word", F.array(*draws).alias("levels")))
+        draws.append(F.shiftleft(level, 4 * r))
+    return shared.materialise(kept.select("word", sum(draws[1:], draws[0]).alias("levels")))
 
 
-def _with_fingerprints(rows: DataFrame, keys: list[str], sets: list[str], lex: DataFrame) -> DataFrame:
-    """Replace columns `sets` (arrays of distinct words) by the fingerprints of these words.
+def _with_fingerprints(
+    rows: DataFrame, keys: list[str], info: list[str], sets: list[str], lex: DataFrame
+) -> DataFrame:
+    """Replace the columns `sets` (one or two arrays of distinct words) by their fingerprints.
 
-    Rows are told apart by `keys`. Words are looked up one by one and gathered again where the
-    rows already are, so nothing but the keys should be in `rows` besides the sets.
+    Rows are told apart by `keys`; the columns in `info` are kept. Words are looked up one by one
+    and gathered again where the rows already are: nothing is shuffled if these are dealt by a key.
     """
-    named = lambda i: lambda x: F.struct(F.lit(i).alias("set"), x.alias("word"))
-    kept = lambda r, n: lambda x: x["levels"][r] >= n
-    lists = [F.transform(c, named(i)) for i, c in enumerate(sets)]
-    # one more element keeps rows without words
-    mark = F.array(F.struct(F.lit(-1).alias("set"), F.lit("").alias("word")))
-    each = rows.select(*keys, F.explode(F.concat(mark, *lists)).alias("x")).select(*keys, "x.*")
+    element = lambda mask: lambda x: F.struct(F.lit(mask).alias("sets"), x.alias("word"))
+    if len(sets) == 1:
+        lists = [F.transform(sets[0], element(1))]
+    else:  # a word of both sets is looked up once
+        a, b = sets
+        lists = [
+            F.transform(F.array_intersect(a, b), element(3)),
+            F.transform(F.array_except(a, b), element(1)),
+            F.transform(F.array_except(b, a), element(2)),
+        ]
+    # one more element keeps the other columns, and rows without words
+    mark = F.array(F.struct(F.lit(0).alias("sets"), F.lit("").alias("word")))
+    own = F.struct(*info) if info else F.struct(F.lit(0).alias("_none"))
+    each = rows.select(*keys, own.alias("info"), F.explode(F.concat(mark, *lists)).alias("x"))
+    each = each.select(*keys, F.when(F.col("x.sets") == 0, F.col("info")).alias("info"), "x.*")
     sent = F.broadcast(lex) if lex.count() <= SENT else lex
-    each = each.join(sent, "word", "left").filter("levels is not null or set < 0")
+    each = each.join(sent, "word", "left").filter("levels is not null or sets = 0")
     found = each.groupBy(*keys).agg(
+        F.max("info").alias("info"),
         *[
-            F.array_sort(F.collect_list(F.when(F.col("set") == i, F.struct("word", "levels")))).alias(c)
+            F.array_sort(
+                F.collect_list(
+                    F.when(F.col("sets").bitwiseAND(1 << i) > 0, F.struct("word", "levels"))
+                )
+            ).alias(c)
             for i, c in enumerate(sets)
-        ]
+        ],
     )
+    kept = lambda r, n: lambda x: F.shiftright(x["levels"], 4 * r).bitwiseAND(15) >= n
     for level in range(1, LEVELS + 1):
         # each density keeps a part of the words of the one before
         found = found.select(
@@ -89,6 +109,7 @@ def _with_fingerprints(rows: DataFrame, keys: list[str], sets: list[str], lex: D
         )
     return found.select(
         *keys,
+        *[F.col("info")[c].alias(c) for c in info],
         *[
             F.concat(
                 *[_part(F.col(f"{c}_{r}_{n}")) for r in range(REPEATS) for n in range(1, LEVELS + 1)]
@@ -141,7 +162,8 @@ def fingerprints(docs: DataFrame, lex: DataFrame | None = None) -> DataFrame:
         "doc_id", F.sha2("text", 256).alias("_digest"), words(F.coalesce("text", F.lit(""))).alias("fingerprint")
     )
     rows = rows.dropDuplicates(["doc_id", "_digest"])
-    return _with_fingerprints(rows, ["doc_id", "_digest"], ["fingerprint"], lex).drop("_digest")
+    keys = ["doc_id", "_digest"]
+    return _with_fingerprints(rows, keys, [], ["fingerprint"], lex).drop("_digest")
 
 
 def _by_neighbours(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -159,10 +181,12 @@ def _by_neighbours(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     bucketed = Bucketizer(splits=splits, inputCol="place", outputCol="bucket").transform(
         docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), place.alias("place"))
     )
+    # a whole number, as a double would be rewritten, and dealt anew, as a key of groups
+    bucketed = bucketed.withColumn("bucket", F.col("bucket").cast("int"))
     least = bucketed.groupBy("bucket").agg(F.min("place").alias("place"))
     order = sorted(r["bucket"] for r in least.select("bucket").collect())
     before = dict(zip(order, [order[-1], *order[:-1]])) if order else {}
-    pairs = spark.createDataFrame(list(before.items()) or [(0.0, 0.0)], "bucket double, to double")
+    pairs = spark.createDataFrame(list(before.items()) or [(0, 0)], "bucket int, to int")
     # one row per bucket
     firsts = (
         bucketed.join(F.broadcast(least), ["bucket", "place"])
@@ -188,6 +212,7 @@ def edited_likeness(docs: DataFrame) -> DataFrame:
     own = _with_fingerprints(
         firsts.select("bucket", words(F.col("first_text")).alias("first_print")),
         ["bucket"],
+        [],
         ["first_print"],
         lex,
     )
@@ -213,14 +238,22 @@ def edited_likeness(docs: DataFrame) -> DataFrame:
             F.substring(F.coalesce("next_text", "first_text"), F.lit(1), quarter),
         ).alias("edited"),
     )
-    keys = ["bucket", "place", "doc_id", "n_chars", "edited_sha256"]
     rows = rows.select(
-        *keys[:4],
+        "bucket",
+        "place",
+        "doc_id",
+        "n_chars",
         F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
         words(F.col("text")).alias("fingerprint"),
         words(F.col("edited")).alias("edited_fingerprint"),
     )
-    found = _with_fingerprints(rows, keys, ["fingerprint", "edited_fingerprint"], lex)
+    found = _with_fingerprints(
+        rows,
+        ["bucket", "place"],
+        ["doc_id", "n_chars", "edited_sha256"],
+        ["fingerprint", "edited_fingerprint"],
+        lex,
+    )
     following = F.lead("fingerprint").over(Window.partitionBy("bucket").orderBy("place"))
     return (
         found.withColumn("following", following)
