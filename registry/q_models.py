@@ -194,22 +194,12 @@ def _(spark, sf):
     )
 
 
-SMALL_GRID = {
-    "outer_splits": 3,
-    "inner_splits": 2,
-    "seeds": (42,),
-    "ridge_alphas": (0.1, 10.0),
-    "elasticnet_alphas": (0.1,),
-    "elasticnet_l1_ratios": (0.5,),
-}
-
-
 @query("repeated_cv")
 def _(spark, sf):
     images = summary.image_median_iqr(s.study_cells(spark, sf), FEATURES)
     predictors = [c for c in images.columns if c.endswith(("__median", "__iqr"))]
-    outer = splits.stratified_kfold(images, 3, (42,))
-    predictions, _ = models.cross_validate(outer, predictors, "repeated_cv", SMALL_GRID)
+    outer = splits.stratified_kfold(images, 5, models.STUDY_GRID["seeds"])
+    predictions, _ = models.cross_validate(outer, predictors, "repeated_cv", None)
     return rounded(predictions)
 
 
@@ -217,12 +207,12 @@ def _(spark, sf):
 def _(spark, sf):
     images = summary.image_median_iqr(s.study_cells(spark, sf), FEATURES)
     predictors = [c for c in images.columns if c.endswith(("__median", "__iqr"))]
-    return rounded(models.final_models(images, predictors, SMALL_GRID))
+    return rounded(models.final_models(images, predictors, None))
 
 
 @query("study_job")
 def _(spark, sf):
-    tables = study.study_job(s.study_cells(spark, sf), FEATURES, grid=SMALL_GRID)
+    tables = study.study_job(s.study_cells(spark, sf), FEATURES, grid=None)
     return rounded(tables["cv_metrics_summary"])
 
 
