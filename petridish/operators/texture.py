@@ -189,28 +189,44 @@ def glcm(rows: DataFrame, keys: Sequence[str], levels: int = GRAY_LEVELS, masked
 
 
 def glcm_props(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Six properties of the symmetric normalised matrix, averaged over the directions."""
+    """Six properties of the symmetric normalised matrix, averaged over the directions.
+
+    All sums are over counts and are divided by their total N afterwards (by N² for the second
+    moment; the entropy is log N less a sum), so the pairs are read once.
+    """
     keys = list(keys)
+    n = F.col("n").cast("double")
     same = F.col("i") == F.col("j")
-    total = with_group_stats(pairs, [*keys, "angle"], _t=F.sum("n"))
-    # share of one unordered pair, and of each of its cells in the symmetric matrix
-    share = F.col("n") / F.col("_t")
-    cell = F.when(same, share).otherwise(share / 2.0)
-    cells = F.when(same, 1.0).otherwise(2.0)
     d = (F.col("j") - F.col("i")).cast("double")
     i, j = F.col("i").cast("double"), F.col("j").cast("double")
-    per_angle = total.groupBy(*keys, "angle").agg(
-        F.sum(cells * cell * cell).alias("asm"),
-        F.sum(share * d * d).alias("contrast"),
-        F.sum(share / (1.0 + d * d)).alias("homogeneity"),
-        F.abs(F.sum(cells * cell * F.log(cell))).alias("entropy"),
-        F.sum(share * d).alias("_md"),
-        F.sum(share * (i + j) / 2.0).alias("_mu"),
-        F.sum(share * (i * i + j * j) / 2.0).alias("_sq"),
-        F.sum(share * i * j).alias("_ij"),
+    total = F.col("_total")
+    sums = pairs.groupBy(*keys, "angle").agg(
+        F.sum(n).alias("_total"),
+        # an unordered pair of different levels is two cells of n / 2
+        F.sum(F.when(same, n * n).otherwise(n * n / 2.0)).alias("_squares"),
+        F.sum(n * F.log(F.when(same, n).otherwise(n / 2.0))).alias("_logs"),
+        F.sum(n * d * d).alias("_dd"),
+        F.sum(n / (1.0 + d * d)).alias("_near"),
+        F.sum(n * d).alias("_d"),
+        F.sum(n * (i + j) / 2.0).alias("_level"),
+        F.sum(n * (i * i + j * j) / 2.0).alias("_level2"),
+        F.sum(n * i * j).alias("_product"),
         F.count(F.lit(1)).alias("_kinds"),
         F.max(same.cast("int")).alias("_diag"),
     )
+    per_angle = sums.select(
+        *keys,
+        (F.col("_squares") / (total * total)).alias("asm"),
+        (F.col("_dd") / total).alias("contrast"),
+        (F.col("_near") / total).alias("homogeneity"),
+        F.abs(F.log(total) - F.col("_logs") / total).alias("entropy"),
+        (F.col("_d") / total).alias("_md"),
+        (F.col("_level") / total).alias("_mu"),
+        (F.col("_level2") / total).alias("_sq"),
+        (F.col("_product") / total).alias("_ij"),
+        "_kinds",
+        "_diag",
+    )
     variance = F.col("_sq") - F.col("_mu") * F.col("_mu")
     flat = (F.col("_kinds") == 1) & (F.col("_diag") == 1)
     per_angle = per_angle.select(
@@ -258,21 +274,28 @@ def lbp8(crop: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Code mean, deviation, entropy (bits), share of uniform codes, 16-bin histogram."""
     keys = list(keys)
     counts = lbp_codes(crop, keys).groupBy(*keys, "code").agg(F.count(F.lit(1)).alias("_c"))
-    counts = with_group_stats(counts, keys, _n=F.sum("_c"))
-    p = F.col("_c") / F.col("_n")
-    code = F.col("code").cast("double")
-    out = counts.groupBy(*keys).agg(
-        F.sum(p * code).alias("lbp_mean"),
-        F.sum(p * code * code).alias("_sq"),
-        F.abs(F.sum(p * F.log2(p))).alias("lbp_entropy"),
-        F.sum(F.when(transitions(F.col("code")) <= 2, p).otherwise(0.0)).alias("lbp_uniform_ratio"),
+    n, code = F.col("_c").cast("double"), F.col("code").cast("double")
+    total = F.col("_n")
+    sums = counts.groupBy(*keys).agg(
+        F.sum(n).alias("_n"),
+        F.sum(n * code).alias("_codes"),
+        F.sum(n * code * code).alias("_squares"),
+        F.sum(n * F.log2(n)).alias("_logs"),
+        F.sum(F.when(transitions(F.col("code")) <= 2, n).otherwise(0.0)).alias("_uniform"),
         *[
-            F.sum(F.when(F.floor(F.col("code") / 16) == b, p).otherwise(0.0)).alias(f"lbp_bin_{b:02d}")
+            F.sum(F.when(F.floor(F.col("code") / 16) == b, n).otherwise(0.0)).alias(f"_bin_{b:02d}")
             for b in range(16)
         ],
     )
-    spread = F.greatest(F.col("_sq") - F.col("lbp_mean") * F.col("lbp_mean"), F.lit(0.0))
-    return out.withColumn("lbp_std", F.sqrt(spread)).drop("_sq")
+    mean = F.col("_codes") / total
+    return sums.select(
+        *keys,
+        mean.alias("lbp_mean"),
+        F.abs(F.log2(total) - F.col("_logs") / total).alias("lbp_entropy"),
+        (F.col("_uniform") / total).alias("lbp_uniform_ratio"),
+        *[(F.col(f"_bin_{b:02d}") / total).alias(f"lbp_bin_{b:02d}") for b in range(16)],
+        F.sqrt(F.greatest(F.col("_squares") / total - mean * mean, F.lit(0.0))).alias("lbp_std"),
+    )
 
 
 def ring_samples(radius: int, snap: int = st.SNAP) -> list[list[tuple[int, int, float]]]:
@@ -331,9 +354,8 @@ def lbp_multiradius(
     )
     uniform = F.when(transitions(F.col("code")) <= 2, F.bit_count("code")).otherwise(9)
     counts = codes.groupBy(*keys, "radius", uniform.alias("bin")).agg(F.count(F.lit(1)).alias("_c"))
-    return with_group_stats(counts, [*keys, "radius"], _n=F.sum("_c")).select(
-        *keys, "radius", "bin", (F.col("_c") / F.col("_n")).alias("share")
-    )
+    ten = Window.partitionBy(*keys, "radius")  # ten rows at most
+    return counts.select(*keys, "radius", "bin", (F.col("_c") / F.sum("_c").over(ten)).alias("share"))
 
 
 # --- coarseness -------------------------------------------------------------------------
