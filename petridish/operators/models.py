@@ -575,7 +575,7 @@ def cross_validate(
     # training rows of a fold: all images of the other folds (one copy per fold)
     train = (
         base.withColumnRenamed("fold", "_own")
-        .join(F.broadcast(folds), ["repeat", "seed"])
+        .join(folds, ["repeat", "seed"])
         .filter("_own <> fold")
     )
     ranked = rank_within(
@@ -711,7 +711,7 @@ def dummy_median(outer: DataFrame, target: str = "IDO_score") -> DataFrame:
     folds = outer.select("repeat", "fold").distinct()
     train = (
         outer.select("repeat", F.col("fold").alias("_own"), target)
-        .join(F.broadcast(folds), "repeat")  # a few folds per repeat
+        .join(folds, "repeat")
         .filter("_own <> fold")
     )
     medians = summarise(train, ["repeat", "fold"], {}, {"predicted": (target, 0.5)})

@@ -46,7 +46,7 @@ def rank_within(
     )
     blocks = blocks.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
     return (
-        placed.join(blocks.drop("_n"), [*keys, "_pid"])
+        _same_group(placed, blocks.drop("_n"), [*keys, "_pid"], "inner")
         .withColumn(out, F.col("_before") + F.col("_pos") - F.col("_first") + 1)
         .drop("_pid", "_pos", "_first", "_before")
     )
@@ -177,7 +177,7 @@ def running_total(
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     return (
-        placed.join(blocks.drop("_s"), [*keys, "_pid"])
+        _same_group(placed, blocks.drop("_s"), [*keys, "_pid"], "inner")
         .withColumn(out, F.col("_before") + F.sum(amount).over(inside))
         .drop("_pid", "_before")
     )
