@@ -442,10 +442,10 @@ def _(spark, sf):
     return rounded(fluorescence.ido_measure(s.label_pixels(spark, sf), px(spark, sf, "ido"), IMG))
 
 
-@query("brightest_channel", with_ctes(s.GEOMETRY_SQL, s.IMAGES_SQL, s.pixels_sql("phase"), s.pixels_sql("ido", "pi"), s.pixels_sql("ki67", "pk"), body="""
-, m AS (SELECT image_id, avg(px.v) AS b, avg(pi.v) AS g, avg(pk.v) AS r FROM px JOIN pi USING (image_id, x, y) JOIN pk USING (image_id, x, y) GROUP BY 1)
-SELECT image_id, x, y, CASE WHEN b >= g AND b >= r THEN px.v WHEN g >= r THEN pi.v ELSE pk.v END AS v
-FROM px JOIN pi USING (image_id, x, y) JOIN pk USING (image_id, x, y) JOIN m USING (image_id)"""))
+@query("brightest_channel", with_ctes(s.GEOMETRY_SQL, s.IMAGES_SQL, s.pixels_sql("phase"), s.pixels_sql("ido", "pi"), s.pixels_sql("ki67", "pk"), """
+every AS (SELECT image_id, x, y, v, 'b' AS c FROM px UNION ALL SELECT image_id, x, y, v, 'g' FROM pi UNION ALL SELECT image_id, x, y, v, 'r' FROM pk),
+top AS (SELECT image_id, arg_min(c, (-m, c)) AS c FROM (SELECT image_id, c, avg(v) AS m FROM every GROUP BY ALL) GROUP BY 1)""", body="""
+SELECT image_id, x, y, v FROM every JOIN top USING (image_id, c)"""))
 def _(spark, sf):
     p = [px(spark, sf, c).withColumnRenamed("v", n) for c, n in (("phase", "b"), ("ido", "g"), ("ki67", "r"))]
     xy = ["image_id", "x", "y"]
