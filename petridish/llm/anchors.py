@@ -24,9 +24,12 @@ from pyspark.sql import functions as F
 from petridish.llm import shared
 from petridish.llm.textblocks import blocks, prefix_sums, sliding_min, span_hash
 
-#: Different contexts of an owner beyond which it is split, and expected bytes in a shard.
-KINDS, SHARD_BYTES = 96, 192 * 1024
+#: Bytes of an owner's different contexts beyond which it is split, and expected bytes in a shard.
+OWNER_BYTES, SHARD_BYTES = 384 * 1024, 192 * 1024
 SPAN = "struct<a: bigint, b: bigint>"
+#: Common grams are looked for in about so many texts; a gram is common if it stands in one of
+#: OFTEN of them, and at most MOST grams are sent to the tasks.
+SAMPLE, OFTEN, MOST = 4000, 250, 1 << 16
 
 Units = Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]
 Local = Callable[[list[np.ndarray], list[int]], list[list[tuple[int, int]]]]
@@ -38,7 +41,9 @@ class Rule:
 
     units gives the units of a block of texts and where each text's begin. weigh is "count" (a
     window is repeated if it starts twice) or "first" (if it starts at a lower weight). local
-    decides the windows of a shard's contexts: spans of repeated window starts for each.
+    decides the windows of a shard's contexts: spans of repeated window starts for each. With
+    demote, grams that a sample of texts shows to be common only own windows without any other, so
+    that no common phrase owns a large share of all windows. This moves work and changes no result.
     """
 
     window: int
@@ -47,9 +52,10 @@ class Rule:
     kind: str
     weigh: str
     local: Local
+    demote: bool = False
 
-    def total(self, w: Column) -> Column:
-        return F.sum(w) if self.weigh == "count" else F.min(w)
+    def total(self, w: Column, times: Column) -> Column:
+        return F.sum(w * times) if self.weigh == "count" else F.min(w)
 
     def whole(self, total: Column, own: Column) -> Column:
         """Whether all windows of an occurrence are repeated as its context occurs elsewhere."""
@@ -57,7 +63,7 @@ class Rule:
         return F.coalesce(found, F.lit(False))
 
 
-def contexts(units: np.ndarray, bounds: np.ndarray, window: int, gram: int):
+def contexts(units: np.ndarray, bounds: np.ndarray, window: int, gram: int, common=None):
     """(text, lo, n, owner, digest, many) of the contexts of a block: n window starts from lo on.
 
     many: the owner's gram stands at several places of the context, so it may repeat itself.
@@ -68,16 +74,21 @@ def contexts(units: np.ndarray, bounds: np.ndarray, window: int, gram: int):
     sums, width = prefix_sums(units), window - gram + 1
     at = np.arange(units.size - gram + 1)
     hashes = span_hash(sums, at, at + gram)
+    if common is not None:  # sorted hashes of grams that rank behind all others
+        near = np.minimum(np.searchsorted(common, hashes), max(common.size - 1, 0))
+        behind = common[near] == hashes if common.size else np.zeros(hashes.size, bool)
+        hashes = (hashes >> np.uint64(1)) | (behind.astype(np.uint64) << np.uint64(63))
     owner = sliding_min(hashes, width)
     text = np.repeat(np.arange(bounds.size - 1), np.diff(bounds))[: owner.size]
     valid = np.arange(owner.size) + window <= bounds[1:][text]
     new = np.ones(owner.size, bool)
-    if gram < window:  # else each window is a context of its own
-        new[1:] = (owner[1:] != owner[:-1]) | (text[1:] != text[:-1]) | (valid[1:] != valid[:-1])
+    new[1:] = (owner[1:] != owner[:-1]) | (text[1:] != text[:-1]) | (valid[1:] != valid[:-1])
     lo = np.flatnonzero(new)
     hi = np.append(lo[1:], owner.size)
     good = valid[lo]
     lo, hi = lo[good], hi[good]
+    if gram == window:  # a run of equal windows is one window several times
+        return text[lo], lo, hi - lo, owner[lo], owner[lo], hi - lo > 1
     # places of the gram before the last window's start begin a window; the rest are in that window
     begins = np.concatenate([[0], np.cumsum(hashes[: owner.size] == owner)])
     places = begins[hi - 1] - begins[lo]
@@ -92,25 +103,53 @@ def _numbers(*arrays) -> list[pa.Array]:
     return [pa.array(a.view(np.int64) if a.dtype == np.uint64 else a) for a in arrays]
 
 
-def occurrences(docs: DataFrame, rule: Rule, weight: Column) -> DataFrame:
-    """Contexts of all texts: doc_id, tag (of repeated ids), lo, n, owner f, digest c, weight w."""
+def occurrences(docs: DataFrame, rule: Rule) -> DataFrame:
+    """Contexts of all texts: doc_id, tag (of repeated ids), lo, n, owner f, digest c[, many]."""
+    counted = rule.weigh == "count"
+    common = _common_grams(docs, rule) if rule.demote else None
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches):
             units, bounds = rule.units(batch.column("text"))
-            text, lo, n, f, c, many = contexts(units, bounds, rule.window, rule.grams[0])
-            own = [batch.column(x).take(pa.array(text)) for x in ("doc_id", "tag", "w")]
+            text, lo, n, f, c, many = contexts(
+                units, bounds, rule.window, rule.grams[0], common.value if common else None
+            )
+            own = [batch.column(x).take(pa.array(text)) for x in ("doc_id", "tag")]
+            place = [(lo - bounds[text]).astype(np.int32), n.astype(np.int32)]
             yield pa.RecordBatch.from_arrays(
-                own + _numbers(lo - bounds[text], n, f, c, many),
-                names=["doc_id", "tag", "w", "lo", "n", "f", "c", "many"],
+                own + _numbers(*place, f, c, *([many] if counted else [])),
+                names=["doc_id", "tag", "lo", "n", "f", "c", *(["many"] if counted else [])],
             )
 
-    given = docs.select("doc_id", tag().alias("tag"), weight.cast("long").alias("w"), "text")
-    return given.mapInArrow(
-        run,
-        f"doc_id {kind}, tag int, w bigint, lo bigint, n bigint, f bigint, c bigint, many boolean",
-    )
+    given = docs.select("doc_id", tag().alias("tag"), "text")
+    schema = f"doc_id {kind}, tag int, lo int, n int, f bigint, c bigint"
+    return given.mapInArrow(run, schema + ", many boolean" * counted)
+
+
+def _common_grams(docs: DataFrame, rule: Rule):
+    """Broadcast sorted hashes of the most common grams in a sample of texts, MOST at most."""
+    rate = max(1, docs.count() // SAMPLE)
+    picked = docs.filter(F.pmod(F.xxhash64("doc_id", F.lit(23)), F.lit(rate)) == 0).select("text")
+    gram = rule.grams[0]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in blocks(batches):
+            units, bounds = rule.units(batch.column("text"))
+            at = np.arange(max(0, units.size - gram + 1))
+            text = np.repeat(np.arange(bounds.size - 1), np.diff(bounds))[: at.size]
+            found = span_hash(prefix_sums(units), at, at + gram)
+            each = np.unique(np.stack([text.astype(np.uint64), found]), axis=1)[1]
+            hashes, number = np.unique(each, return_counts=True)
+            some = number > 1  # what is common stands in several texts of a block
+            yield pa.RecordBatch.from_arrays(
+                _numbers(hashes[some], number[some]), names=["gram", "n"]
+            )
+
+    counts = picked.mapInArrow(run, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
+    most = counts.filter(F.col("n") * OFTEN >= SAMPLE).orderBy(F.col("n").desc(), "gram").limit(MOST)
+    found = np.array([r["gram"] for r in most.collect()], np.int64).view(np.uint64)
+    return docs.sparkSession.sparkContext.broadcast(np.sort(found))
 
 
 def tag() -> Column:
@@ -205,47 +244,60 @@ def repeated(docs: DataFrame, rule: Rule, weight: Column) -> DataFrame:
     """(doc_id, tag, a, b): spans of window starts whose windows are repeated, by the rule."""
     refs = ["doc_id", "tag"]
     found = _decide(
-        occurrences(docs, rule, weight), refs, rule, 0, lambda wanted: _bodies_of_texts(docs, wanted, rule)
+        occurrences(docs, rule), refs, rule, 0, lambda wanted: _bodies_of_texts(docs, wanted, rule), weight
     )
     return found.select(*refs, "a", "b")
 
 
-def _decide(occ: DataFrame, refs: list[str], rule: Rule, level: int, fetch) -> DataFrame:
-    """Spans of repeated window starts (refs, a, b) of occurrences (refs, lo, n, w, f, c)."""
+def _decide(
+    occ: DataFrame, refs: list[str], rule: Rule, level: int, fetch, weight: Column
+) -> DataFrame:
+    """Spans of repeated window starts (refs, a, b) of occurrences (refs, lo, n, f, c[, many])."""
     if rule.weigh == "count":
         owners = occ.groupBy("f").agg(F.count("*").alias("k"), F.max("many").alias("many"))
         again = (F.col("k") >= 2) | F.col("many")
     else:
-        owners = occ.groupBy("f").agg(F.min("w").alias("least"), F.max("w").alias("most"))
+        owners = occ.groupBy("f").agg(F.min(weight).alias("least"), F.max(weight).alias("most"))
         again = F.col("least") < F.col("most")
     kept = shared.written(occ.join(owners.filter(again).select("f"), "f"))
+    many = F.col("many") if rule.weigh == "count" else F.lit(False)
+    kept = kept.withColumn("w", weight.cast("long")).withColumn("many", many)
     last = rule.grams[level] == rule.window
     rep = F.min(F.struct(*refs, "lo")).alias("rep")
     body = [F.first("body").alias("body")] if level else []
     groups = kept.groupBy("f", "c").agg(
-        rule.total(F.col("w")).alias("total"), F.max("n").alias("n"), F.max("many").alias("many"), rep, *body
+        rule.total(F.col("w"), F.col("n") if last else F.lit(1)).alias("total"),
+        F.max("n").alias("n"),
+        F.max("many").alias("many"),
+        rep,
+        *body,
     )
     if last:  # equal windows are one context
         decided = groups.select("f", "c", "total", F.lit(None).cast(f"array<{SPAN}>").alias("spans"))
     else:
         groups = shared.written(groups)
-        kinds = groups.groupBy("f").agg(F.count("*").alias("kinds"), F.max("many").alias("many"))
+        width = np.dtype(rule.kind).itemsize
+        kinds = groups.groupBy("f").agg(
+            F.count("*").alias("kinds"),
+            F.max("many").alias("many"),
+            (F.sum(F.col("n") + (rule.window - 1)) * width).alias("bytes"),
+        )
         # contexts of one kind can only repeat themselves, which matters if starts are counted
-        kinds = kinds.filter(f"kinds > 1 or many and '{rule.weigh}' = 'count'").drop("many")
+        kinds = kinds.filter(f"kinds > 1 or many and '{rule.weigh}' = 'count'").select("f", "bytes")
         wanted = groups.join(kinds, "f")
         bodies = shared.written(
             (fetch(wanted) if not level else wanted.select("f", "c", "total", "body")).join(kinds, "f")
         )
-        calm, hot = bodies.filter(F.col("kinds") <= KINDS), bodies.filter(F.col("kinds") > KINDS)
+        calm, hot = bodies.filter(F.col("bytes") <= OWNER_BYTES), bodies.filter(F.col("bytes") > OWNER_BYTES)
         size = calm.agg(F.sum(F.length("body"))).first()[0] or 0
-        spans = _shards(calm.drop("kinds"), rule, size)
+        spans = _shards(calm.drop("bytes"), rule, size)
         if not hot.isEmpty():
             inner = _inner_occurrences(hot, rule, rule.grams[level + 1])
-            more = _decide(inner, ["pf", "pc"], rule, level + 1, fetch)
+            more = _decide(inner, ["pf", "pc"], rule, level + 1, fetch, F.col("w"))
             more = more.groupBy("pf", "pc").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
-            spans = spans.union(more)
+            spans = spans.union(more.select("pf", "pc", _merged(F.array_sort("spans"))))
         decided = groups.select("f", "c", "total").join(shared.written(spans), ["f", "c"], "left")
-    lo, n = F.col("lo"), F.col("n")
+    lo, n = F.col("lo").cast("long"), F.col("n").cast("long")
     all_of = F.array(F.struct(lo.alias("a"), (lo + n).alias("b")))
     moved = F.transform("spans", lambda x: F.struct((x["a"] + lo).alias("a"), (x["b"] + lo).alias("b")))
     return (
@@ -255,6 +307,20 @@ def _decide(occ: DataFrame, refs: list[str], rule: Rule, level: int, fetch) -> D
     )
 
 
+def _merged(spans: Column) -> Column:
+    """Spans that touch or overlap made one; they must be sorted."""
+
+    def add(have: Column, x: Column) -> Column:
+        last = F.try_element_at(have, F.lit(-1))
+        longer = F.struct(last["a"].alias("a"), F.greatest(last["b"], x["b"]).alias("b"))
+        return F.when(
+            (F.size(have) > 0) & (last["b"] >= x["a"]),
+            F.concat(F.slice(have, F.lit(1), F.size(have) - 1), F.array(longer)),
+        ).otherwise(F.concat(have, F.array(x)))
+
+    return F.aggregate(spans, F.array().cast(f"array<{SPAN}>"), add)
+
+
 def with_spans(docs: DataFrame, spans: DataFrame, carry: list[str]) -> DataFrame:
     """(row, doc_id, text, spans): each document with its spans of repeated window starts."""
     lists = spans.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("a", "b")).alias("spans"))

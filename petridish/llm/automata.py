@@ -131,7 +131,7 @@ def word_units(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return span_hash(prefix_sums(data), starts, ends), first
 
 
-RULE = anchors.Rule(LENGTH, GRAMS, word_units, "u8", "first", earlier_starts)
+RULE = anchors.Rule(LENGTH, GRAMS, word_units, "u8", "first", earlier_starts, demote=True)
 
 
 def remove_repeats(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
