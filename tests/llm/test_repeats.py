@@ -169,3 +169,21 @@ def test_automaton_statistics():
                 for i in range(len(body) - 3)
                 if first is not None and least[tuple(body[i : i + 4])] < first
             }
+
+
+@pytest.mark.parametrize("gram", [4, 13])
+def test_equal_windows_have_equal_owners(gram):
+    random = np.random.default_rng(6)
+    units = random.integers(0, 4, 4000).astype(np.uint64)
+    units[2000:2300] = units[100:400]
+    bounds = np.array([0, 700, 700, 1500, 4000])
+    plain = anchors.contexts(units, bounds, 13, gram)
+    common = np.unique(plain[3])[::7]
+    for found in (plain, anchors.contexts(units, bounds, 13, gram, common)):
+        owners, windows = {}, 0
+        for text, lo, n, owner, _, _ in zip(*found):
+            assert bounds[text] <= lo and lo + n - 1 + 13 <= bounds[text + 1]
+            for at in range(lo, lo + n):
+                assert owners.setdefault(units[at : at + 13].tobytes(), owner) == owner
+                windows += 1
+        assert windows == 688 + 788 + 2488
