@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from petridish.functions import polygons as poly
-from petridish.functions.numeric import compute_once
 from petridish.functions.text import ring_cell_id, ring_number
 from petridish.operators import stencil as st
 from petridish.operators.scale import summarise, with_group_stats

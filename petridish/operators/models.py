@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from petridish.functions.numeric import clip, number, safe_divide
+from petridish.functions.numeric import clip, number
 from petridish.functions.text import score_name
 from petridish.operators.pairing import attach_embeddings
 from petridish.operators.scale import rank_within, summarise, with_group_stats

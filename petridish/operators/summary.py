@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from petridish.functions.numeric import clip, log_base, number, safe_divide, weighted_mean
+from petridish.functions.numeric import log_base, number, weighted_mean
 from petridish.operators.scale import average_ranks, summarise, with_group_stats
 
 # The three dose curves (filter, dose axis, expected doses).

@@ -6,7 +6,6 @@ from collections.abc import Mapping, Sequence
 from itertools import combinations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from petridish.functions.catalog import SINGLE_GROUPS, feature_groups
 from petridish.functions.text import combo_label, score_name
