@@ -6,9 +6,11 @@ cell begins within a margin of it, measured to the plane between the two centres
 distances to the codes come from a table of the query's distances to all codewords. What passes
 the threshold plus the code's own error, which loses nothing, is compared by exact cosine.
 
-The margin is MARGIN standard deviations of a step of threshold length in a random direction. A
-margin of the full step would find every pair for certain, but visits most lists; tests measure the
-recall against brute force.
+The margin between two lists is MARGIN standard deviations of a step of threshold length towards the
+other centre, if steps spread as the sampled vectors of that length do; it is widened by what the
+links of some probes, compared with all vectors, need. It is never above the full step, which finds
+every pair for certain, but visits most lists where vectors spread in many dimensions. Lengths with
+few sampled vectors get the full step. Tests measure the recall against brute force.
 """
 
 from __future__ import annotations
@@ -28,6 +30,10 @@ LEAST = 0.95
 SAMPLE, LIST, MAX_LISTS = 16384, 256, 4096
 SUBSPACES, CODEWORDS, ROUNDS = 8, 64, 8
 MARGIN = 3.3
+#: Vector lengths with a spread of their own; sampled vectors that this takes for each component.
+SPREADS, ENOUGH = 8, 2
+#: Vectors compared with all others to widen the margin, and the share of them whose links it covers.
+PROBES, COVERED = 256, 0.99
 #: Largest side of one comparison; longer lists are cut into blocks.
 BLOCK = 1024
 
@@ -81,16 +87,87 @@ def encode(model: dict, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return own, np.stack(codes, axis=1), np.sqrt(error)
 
 
-def visits(model: dict, x: np.ndarray, own: np.ndarray, margin: float):
-    """(row, list): lists above the own one whose cell begins within `margin` of the vector."""
+def fit_spreads(model: dict, x: np.ndarray, dims: np.ndarray) -> dict:
+    """Per vector length, centres scaled so that their distances are spreads of a random step."""
+    out = {}
+    lengths, number = np.unique(dims, return_counts=True)
+    for i in np.argsort(-number, kind="stable")[:SPREADS]:
+        if number[i] >= ENOUGH * lengths[i]:
+            values, axes = np.linalg.eigh(np.cov(x[dims == lengths[i]].T))
+            values = np.maximum(values, 0)
+            if values.sum() > 1e-12:
+                scaled = axes * np.sqrt(values / values.sum())
+                out[int(lengths[i])] = model["centres"] @ scaled
+    return out
+
+
+def margins(model: dict, own: np.ndarray, dims: np.ndarray, reach: float) -> np.ndarray:
+    """(row, list): the margin of vectors of a list and a length towards each other list."""
+    out = np.full((len(own), len(model["centres"])), reach)
+    for length in np.unique(dims):
+        scaled = model["spreads"].get(int(length))
+        if scaled is not None:
+            rows = np.flatnonzero(dims == length)
+            square = (scaled**2).sum(axis=1)
+            apart = square[own[rows], None] + square - 2 * (scaled[own[rows]] @ scaled.T)
+            share = np.sqrt(np.maximum(apart, 0)) / np.maximum(model["apart"][own[rows]], 1e-9)
+            out[rows] = reach * np.minimum(1, MARGIN * model["wider"] * share)
+    return out
+
+
+def ahead(model: dict, x: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """(row, list): how far before the cell of each list a vector is, measured to the plane."""
     centres = model["centres"]
     square = (centres**2).sum(axis=1) - 2 * (x @ centres.T)
-    ahead = square - square[np.arange(len(x)), own][:, None]
-    near = ahead <= 2 * margin * np.maximum(model["apart"][own], 1e-9)
-    near &= np.arange(len(centres)) > own[:, None]
+    gap = square - square[np.arange(len(x)), own][:, None]
+    return gap / (2 * np.maximum(model["apart"][own], 1e-9))
+
+
+def visits(model: dict, x: np.ndarray, own: np.ndarray, dims: np.ndarray, reach: float):
+    """(row, list): lists above the own one whose cell begins within the margin of the vector."""
+    near = ahead(model, x, own) <= margins(model, own, dims, reach) + 1e-9
+    near &= np.arange(len(model["centres"])) > own[:, None]
     return np.nonzero(near)
 
 
+def widening(classes: DataFrame, model: dict, raw: list[bytes], width: int, least: float) -> float:
+    """By how much margins must grow for the links of the probes `raw`, compared with all vectors."""
+    reach = float(np.sqrt(2 - 2 * least))
+    probes = unit(raw, width)
+    lengths = np.array([len(r) // 8 for r in raw])
+    sent = classes.sparkSession.sparkContext.broadcast((model, probes, lengths))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, probes, lengths = sent.value
+        lists = nearest(probes, model["centres"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1024):
+                batch = whole.slice(at, 1024)
+                x = unit([np.array(v, np.float64).tobytes() for v in batch.column("vec").to_pylist()], width)
+                dims = batch.column("dims").to_numpy(zero_copy_only=False)
+                row, probe = np.nonzero((x @ probes.T >= least) & (dims[:, None] == lengths))
+                own = nearest(x[row], model["centres"])
+                # the vector of the lower list visits the other's
+                up = (own < lists[probe])[:, None]
+                low = np.where(up, x[row], probes[probe])
+                of, to = np.minimum(own, lists[probe]), np.maximum(own, lists[probe])
+                each, worst = np.arange(row.size), np.zeros(len(probes))
+                for a in range(0, row.size, 1024):
+                    p = slice(a, a + 1024)
+                    gap = ahead(model, low[p], of[p])[each[p] - a, to[p]]
+                    have = margins(model, of[p], lengths[probe[p]], reach)[each[p] - a, to[p]]
+                    need = np.where((of[p] == to[p]) | (have >= reach), 0, gap / np.maximum(have, 1e-9))
+                    np.maximum.at(worst, probe[p], need)
+                linked = np.unique(probe)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(linked.astype(np.int32)), pa.array(worst[linked])], names=["probe", "need"]
+                )
+
+    found = classes.select("dims", "vec").mapInArrow(compare, "probe int, need double")
+    need = [r["need"] for r in found.groupBy("probe").agg(F.max("need").alias("need")).collect()]
+    return max(1.0, float(np.quantile(need, COVERED, method="higher"))) if need else 1.0
+
+
 def table_distances(model: dict, own: int, x: np.ndarray, codes: np.ndarray) -> np.ndarray:
     """Distances of unit vectors to the coded vectors of a list, by table look-up."""
     rest = x - model["centres"][own]
@@ -139,9 +216,15 @@ def near_links(classes: DataFrame, least: float = LEAST) -> DataFrame:
         return classes.select("cid", F.lit(0).cast("long").alias("links"), F.col("cid").alias("root"))
     raw = [np.array(r["vec"], np.float64).tobytes() for r in sorted(sample, key=lambda r: r["cid"])]
     lists = min(MAX_LISTS, shared.shard_count(total, LIST))
-    sent = spark.sparkContext.broadcast(fit(unit(raw, width), lists))
+    x = unit(raw, width)
+    model = fit(x, lists)
+    model["spreads"] = fit_spreads(model, x, np.array([len(r) // 8 for r in raw]))
+    model["wider"] = 1.0
+    if lists > 1 and model["spreads"]:
+        step = max(1, len(raw) // PROBES)
+        model["wider"] = widening(classes, model, raw[::step][:PROBES], width, least)
+    sent = spark.sparkContext.broadcast(model)
     reach = float(np.sqrt(2 - 2 * least))
-    margin = MARGIN * reach / np.sqrt(dims)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
@@ -151,7 +234,7 @@ def near_links(classes: DataFrame, least: float = LEAST) -> DataFrame:
                 raw = [np.array(v, np.float64).tobytes() for v in batch.column("vec").to_pylist()]
                 x = unit(raw, width)
                 own, codes, error = encode(model, x)
-                row, to = visits(model, x, own, margin)
+                row, to = visits(model, x, own, batch.column("dims").to_numpy(zero_copy_only=False), reach)
                 rows = np.concatenate([np.arange(len(x)), row])
                 home = np.arange(rows.size) < len(x)
                 named = [batch.column(c).take(pa.array(rows)) for c in ("cid", "n", "dims")]
