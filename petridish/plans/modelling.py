@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Mapping, Sequence
 from itertools import combinations
 
@@ -150,6 +151,9 @@ def train_job(
     if "selected" in kinds:
         best = models.select_k_best(train, features, min(top_k, len(features)))
         transforms["selected"] = models.fit_table_transform(train, best)
+    left_out = [c.key for c in configs if c.embedding and embeddings is None]
+    if left_out:
+        warnings.warn(f"not run without image vectors: {', '.join(left_out)}", stacklevel=2)
     rows, bundles = [], {}
     for config in configs:
         if config.embedding and embeddings is None:

@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from petridish.functions.catalog import SINGLE_GROUPS, feature_groups
 from petridish.operators import models, splits
 from petridish.plans import measure, modelling, study
 from petridish.session import checkpoint_dir, materialize
@@ -114,8 +115,11 @@ def _(spark, sf):
     return rounded(models.dummy_median(outer))
 
 
-# model inputs: a few columns of two feature groups, with a signal in them
-MODEL_FEATURES = ("GLCM ASM_cyto", "GLCM Contrast_cyto", "Area_cyto", "Perimeter_cyto", "Solidity_cyto")
+# model inputs: columns of each feature group, with a signal in some
+MODEL_FEATURES = (
+    "GLCM ASM_cyto", "GLCM Contrast_cyto", "Area_cyto", "Perimeter_cyto", "Solidity_cyto", "Mean_nuc", "Halo Outer Mean",
+    "Local Neighbor Count", "Mitotic Score", "Area_nuc", "Debris Count", "Image Confluency",
+)
 
 
 def model_cells(spark, sf):
@@ -133,16 +137,22 @@ def model_cells(spark, sf):
         (F.col("area") - F.col("ki67_label") * 15).alias(MODEL_FEATURES[2]),
         F.sqrt("area").alias(MODEL_FEATURES[3]),
         noise.alias(MODEL_FEATURES[4]),
+        (F.col("k") + noise * 40).alias(MODEL_FEATURES[5]),
+        (F.col("k") * 0.5 + F.expr("cell_id * 104729 % 100")).alias(MODEL_FEATURES[6]),
+        F.expr("CAST(cell_id * 31 % 7 AS DOUBLE)").alias(MODEL_FEATURES[7]),
+        (F.col("ki67_label") * 0.2 + F.expr("(cell_id * 15485863 % 100) / 100D")).alias(MODEL_FEATURES[8]),
+        F.col("nuc_area").cast("double").alias(MODEL_FEATURES[9]),
+        F.expr("CAST(cell_id * 13 % 5 AS DOUBLE)").alias(MODEL_FEATURES[10]),
+        (F.col("area") * 0.01 + noise).alias(MODEL_FEATURES[11]),
     )
 
 
-S1 = models.Config("texture_attachment_s1", "Texture + Attachment / S1 no embedding", True, False, "none", "S1", ("Texture", "Attachment / spreading"))
-S0 = models.Config("texture_s0", "Texture / S0", True, False, "none", "S0", ("Texture",))
+MODEL_GROUPS = {g: c for g, c in feature_groups(MODEL_FEATURES).items() if g in SINGLE_GROUPS}
 
 
 @query("evidence_model")
 def _(spark, sf):
-    _, scores = models.fit_feature_groups(model_cells(spark, sf), {"Texture": MODEL_FEATURES[:2]}, 3)
+    _, scores = models.fit_feature_groups(model_cells(spark, sf), MODEL_GROUPS)
     return rounded(scores, 3)
 
 
@@ -151,7 +161,7 @@ def _(spark, sf):
     cells = model_cells(spark, sf)
     t = models.fit_table_transform(cells, MODEL_FEATURES)
     matrix, columns = models.stage1_matrix(cells, models.Config("p", "p", False, False, "all", "S1"), None, None, t)
-    _, oof = models.stage1_with_oof(materialize(matrix), columns, 3)
+    _, oof = models.stage1_with_oof(materialize(matrix), columns)
     return rounded(oof, 3)
 
 
@@ -160,13 +170,13 @@ def _(spark, sf):
     data = modelling.prepare(model_cells(spark, sf))
     t = models.fit_table_transform(data.filter("split = 'train'"), MODEL_FEATURES)
     config = models.Config("parameters_only_s1", "Feature parameters only / S1", False, False, "all", "S1")
-    row, _ = modelling.evaluate_config(data, config, None, None, t, 0, 2)
+    row, _ = modelling.evaluate_config(data, config, None, None, t)
     return modelling._metric_frame(spark, [row])
 
 
 @query("train_job")
 def _(spark, sf):
-    metrics, _ = modelling.train_job(model_cells(spark, sf), MODEL_FEATURES, configs=(S1, S0), folds=2)
+    metrics, _ = modelling.train_job(model_cells(spark, sf), MODEL_FEATURES, vectors(spark, sf), 64)
     return metrics
 
 
@@ -174,7 +184,7 @@ def _(spark, sf):
 def _(spark, sf):
     path = f"{checkpoint_dir(spark)}/model-{uuid.uuid4().hex}"
     cells = model_cells(spark, sf)
-    _, bundle = modelling.train_job(cells, MODEL_FEATURES, configs=(S0,), folds=2, path=path)
+    _, bundle = modelling.train_job(cells, MODEL_FEATURES, vectors(spark, sf), 64, path=path)
     before = modelling.predict_job(cells, bundle)[1].select("image_key", F.col("pred_ratio").alias("before"))
     after = modelling.predict_job(cells, models.load_model(spark, path))[1].select("image_key", F.col("pred_ratio").alias("after"))
     same = F.abs(F.col("before") - F.col("after")) < 1e-12
@@ -184,15 +194,13 @@ def _(spark, sf):
 @query("predict_job")
 def _(spark, sf):
     cells = model_cells(spark, sf)
-    _, bundle = modelling.train_job(cells, MODEL_FEATURES, configs=(S1,), folds=2)
+    _, bundle = modelling.train_job(cells, MODEL_FEATURES, vectors(spark, sf), 64)
     return rounded(modelling.predict_job(cells, bundle)[2], 3)
 
 
 @query("ablation_job")
 def _(spark, sf):
-    return modelling.ablation_job(
-        model_cells(spark, sf), MODEL_FEATURES, None, 0, [("Texture",)], [("Texture", "Attachment / spreading")], 2
-    )
+    return modelling.ablation_job(model_cells(spark, sf), MODEL_FEATURES, vectors(spark, sf), 64)
 
 
 @query("repeated_cv")
