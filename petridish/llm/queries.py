@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from petridish.llm import automata, fingerprints, language, licences, packing, pieces, quality, quantised, simhash, suffixes
+from petridish.llm import alignment, automata, fingerprints, language, licences, packing, pieces, quality, quantised, simhash, suffixes
 
 QUERIES = {
     "op1_fingerprints": fingerprints.op1_fingerprints,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_quantised": quantised.op8_quantised,
     "op9_automata": automata.op9_automata,
     "op10_simhash": simhash.op10_simhash,
+    "op12_alignment": alignment.op12_alignment,
 }
 
 ORACLES: dict[str, str] = {
