@@ -2,7 +2,21 @@
 
 from __future__ import annotations
 
-from petridish.llm import alignment, automata, fingerprints, language, licences, packing, pieces, quality, quantised, simhash, suffixes
+from petridish.llm import (
+    alignment,
+    automata,
+    fingerprints,
+    kneser,
+    language,
+    licences,
+    negatives,
+    packing,
+    pieces,
+    quality,
+    quantised,
+    simhash,
+    suffixes,
+)
 
 QUERIES = {
     "op1_fingerprints": fingerprints.op1_fingerprints,
@@ -15,11 +29,14 @@ QUERIES = {
     "op8_quantised": quantised.op8_quantised,
     "op9_automata": automata.op9_automata,
     "op10_simhash": simhash.op10_simhash,
+    "op11_kneser": kneser.op11_kneser,
     "op12_alignment": alignment.op12_alignment,
+    "op13_negatives": negatives.op13_negatives,
 }
 
 ORACLES: dict[str, str] = {
     "op1_fingerprints": fingerprints.SQL,
     "op8_quantised": quantised.SQL,
     "op9_automata": automata.SQL,
+    "op13_negatives": negatives.SQL,
 }
