@@ -11,6 +11,7 @@ from __future__ import annotations
 import hashlib
 import os
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +21,10 @@ from pyspark.sql import functions as F
 from petridish.llm import cells, shared
 from petridish.llm.textblocks import blocks, text_buffer
 
-BLOCK = 8 << 20
+#: Bytes of text that are aligned at once, and documents' bytes that look up their pairs together.
+PIECE, BLOCK = 1 << 20, 16 << 20
+#: Segments that a worker remembers, and those it encodes at once.
+MEMORY, CHUNK = 200_000, 1024
 _codecs: dict[int, Codec] = {}
 
 
@@ -67,14 +71,66 @@ class Codec:
         written = [f"{i}{end}" for ids, ends in ((self.a_bytes, ",|"), (self.b_bytes, ",;")) for end in ends for i in range(len(ids))]
         self.decimal = pa.array(written, pa.large_string())
 
-    def encode(self, segments: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
-        """For each side the ids of all segments and the number of ids of each."""
-        a = [x.ids for x in self.a.encode_batch(segments, add_special_tokens=False)]
-        b = self.b.encode([s[1:] for s in segments], num_threads=1)
-        return [
-            (np.fromiter((i for x in ids for i in x), np.int64), np.array([len(x) for x in ids], np.int64))
-            for ids in (a, b)
-        ]
+        self._forget()
+
+    def _forget(self) -> None:
+        self.places: dict[str, int] = {}
+        self.good = np.zeros(0, bool)
+        self.ids = [np.zeros(0, np.int32)] * 2
+        self.ends = [np.zeros(1, np.int64)] * 2
+
+    def look_up(self, segments: pa.Array) -> np.ndarray:
+        """Place of each of the different segments among those whose ids are known from here on."""
+        if len(self.places) > MEMORY:
+            self._forget()
+        names = segments.to_pylist()
+        new = np.fromiter((n not in self.places for n in names), bool, len(names))
+        # segments that follow each other in a text as cuts leave them are encoded as one text
+        plain = np.fromiter((len(n) > 1 and "!" <= n[1] <= "~" and "!" <= n[-1] <= "~" for n in names), bool, len(names))
+        for some, encode in ((new & plain, self._joined), (new & ~plain, self._each)):
+            rows = np.flatnonzero(some)
+            for at in range(0, rows.size, CHUNK):
+                own = segments.take(pa.array(rows[at : at + CHUNK]))
+                encode(own.to_pylist(), own)
+        return np.fromiter(map(self.places.__getitem__, names), np.int64, len(names))
+
+    def _joined(self, names: list[str], segments: pa.Array) -> None:
+        """Encode the segments as one text; one by one if the tokens don't give that text back."""
+        text = "".join(names)
+        byte = np.frombuffer(text.encode(), np.uint8)
+        stops = np.cumsum(np.diff(np.frombuffer(segments.buffers()[1], np.int64)[: len(segments) + 1]))
+        found = []
+        for side, ids in enumerate((self.a.encode(text, add_special_tokens=False).ids, self.b.encode(text[1:]))):
+            ids = np.array(ids, np.int32)
+            ends = np.cumsum(self.lengths[side][ids])
+            at = np.searchsorted(ends, stops)
+            if ends[-1] != byte.size or (ends[at] != stops).any() or (self.spelled(side, ids) != byte).any():
+                return self._each(names, segments)
+            found.append((ids, np.diff(at + 1, prepend=0)))
+        self._remember(names, found, np.ones(len(names), bool))
+
+    def _each(self, names: list[str], segments: pa.Array) -> None:
+        a = [x.ids for x in self.a.encode_batch(names, add_special_tokens=False)]
+        b = self.b.encode([n[1:] for n in names], num_threads=1)
+        good, found = np.ones(len(names), bool), []
+        for side, lists in enumerate((a, b)):
+            sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+            ids = np.fromiter(chain.from_iterable(lists), np.int32, int(sizes.sum()))
+            good &= self.faithful(side, ids, sizes, segments)
+            found.append((ids, sizes))
+        self._remember(names, found, good)
+
+    def _remember(self, names: list[str], found: list[tuple[np.ndarray, np.ndarray]], good: np.ndarray) -> None:
+        for side, (ids, sizes) in enumerate(found):
+            self.ids[side] = np.concatenate([self.ids[side], ids])
+            self.ends[side] = np.concatenate([self.ends[side], self.ends[side][-1] + np.cumsum(sizes)])
+        self.good = np.concatenate([self.good, good])
+        self.places.update(zip(names, range(len(self.places), len(self.places) + len(names))))
+
+    def spelled(self, side: int, ids: np.ndarray) -> np.ndarray:
+        """Bytes of ids, one after the other."""
+        joined = self.tables[side].take(pa.array(ids))
+        return np.frombuffer(joined.buffers()[2] or b"", np.uint8)[: int(self.lengths[side][ids].sum())]
 
     def faithful(self, side: int, ids: np.ndarray, sizes: np.ndarray, segments: pa.Array) -> np.ndarray:
         """Which segments are the joined bytes of their ids."""
@@ -84,8 +140,7 @@ class Codec:
         upto = np.concatenate([[0], np.cumsum(sizes)])
         good = np.diff(total[upto]) == np.diff(ends)
         keep = np.repeat(good, sizes)
-        joined = self.tables[side].take(pa.array(ids[keep]))
-        have = np.frombuffer(joined.buffers()[2] or b"", np.uint8)[: int(self.lengths[side][ids[keep]].sum())]
+        have = self.spelled(side, ids[keep])
         lengths = np.diff(ends)
         own = np.frombuffer(data, np.uint8)[cells.ragged(ends[:-1][good], lengths[good])]
         starts = np.concatenate([[0], np.cumsum(lengths[good])])
@@ -113,11 +168,8 @@ class Aligned:
         ends = np.append(starts, byte.size).astype(np.int64)
         coded = pa.LargeStringArray.from_buffers(starts.size, pa.py_buffer(ends), pa.py_buffer(joined)).dictionary_encode()
         which = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        both = codec.encode(coded.dictionary.to_pylist())
-        good = np.ones(len(coded.dictionary), bool)
-        for side, (ids, sizes) in enumerate(both):
-            if sizes.size:
-                good &= codec.faithful(side, ids, sizes, coded.dictionary)
+        known = codec.look_up(coded.dictionary)
+        good, which = codec.good, known[which]
         of = np.searchsorted(begin, starts, side="right") - 1
         # texts with an unfaithful segment take no part
         keep = np.ones(some.size, bool)
@@ -127,12 +179,12 @@ class Aligned:
         number = np.cumsum(keep) - 1
         doc, which = number[of[taken]], which[taken]
         self.ids, self.ends, self.sizes = [], [], []
-        for side, (ids, sizes) in enumerate(both):
-            first = np.cumsum(sizes) - sizes
-            all_ids = ids[cells.ragged(first[which], sizes[which])]
+        for side, (ids, upto) in enumerate(zip(codec.ids, codec.ends)):
+            sizes = np.diff(upto)[which]
+            all_ids = ids[cells.ragged(upto[which], sizes)].astype(np.int64)
             self.ids.append(all_ids)
             self.ends.append(np.cumsum(codec.lengths[side][all_ids]))
-            self.sizes.append(cells.sums(doc, sizes[which], len(self.rows_with)))
+            self.sizes.append(cells.sums(doc, sizes, len(self.rows_with)))
         self.codec = codec
         self._coalesce()
         self._link()
@@ -227,7 +279,7 @@ def groups(docs: DataFrame, tokenizer: str, pieces: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = sent.codec()
-        for batch in blocks(batches, limit=BLOCK):
+        for batch in blocks(batches, limit=PIECE):
             found = Aligned(codec, batch.column("text"))
             columns = [batch.column("doc_id")]
             ends = []
@@ -246,6 +298,52 @@ def groups(docs: DataFrame, tokenizer: str, pieces: str) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
+NAMES = ["n_a", "n_b", "n_groups", "n_links"]
+
+
+class _Gathered:
+    """What is kept of the documents of a block; links of one document with one pair are one entry."""
+
+    def __init__(self):
+        self.rows = self.bytes = 0
+        self.ids, self.digests = [], []
+        self.counts = [[] for _ in NAMES]
+        self.docs, self.pairs, self.often = [], [], []
+
+    def add(self, batch: pa.RecordBatch, found: Aligned) -> None:
+        pairs = found.pairs()
+        distinct, at = np.unique(pairs, return_inverse=True)
+        doc = found.rows_with[found.token_docs(0)[found.a_at]]
+        entry, often = np.unique(doc * max(distinct.size, 1) + at, return_counts=True)
+        doc, at = np.divmod(entry, max(distinct.size, 1))
+        self.docs.append(self.rows + doc)
+        self.pairs.append(distinct[at])
+        self.often.append(often)
+        per_group = np.bincount(found.group_docs(), minlength=len(found.rows_with))
+        for own, values in zip(self.counts, (found.sizes[0], found.sizes[1], per_group, found.link_counts())):
+            own.append(found.per_row(values))
+        self.ids.append(batch.column("doc_id"))
+        self.digests.append(pa.array(found.texts(), pa.string()))
+        self.rows += batch.num_rows
+        self.bytes += int(text_buffer(batch.column("text"))[1][-1])
+
+    def row(self, block: int) -> pa.RecordBatch:
+        doc, often = np.concatenate(self.docs), np.concatenate(self.often)
+        distinct, at = np.unique(np.concatenate(self.pairs), return_inverse=True)
+        # documents come in order, and so do the pairs of each
+        entry = doc * max(distinct.size, 1) + at
+        listed = lambda x: pa.ListArray.from_arrays(pa.array([0, self.rows], pa.int32()), x)
+        packed = cells.pack(distinct, True), cells.pack(cells.sums(at, often, distinct.size)), cells.pack(entry, True), cells.pack(often)
+        return pa.RecordBatch.from_arrays(
+            [pa.array([block]), listed(pa.concat_arrays(self.ids))]
+            + [listed(pa.array(np.concatenate(x))) for x in self.counts]
+            + [listed(pa.concat_arrays(self.digests))]
+            + [pa.array([x], pa.binary()) for x in packed]
+            + [pa.array([distinct.size])],
+            names=["block", "doc_id", *NAMES, "digest", "pairs", "times", "entries", "often", "size"],
+        )
+
+
 def align(docs: DataFrame, tokenizer: str, pieces: str) -> DataFrame:
     """Counts of tokens, groups and links of each document, and how usual its links are.
 
@@ -256,32 +354,18 @@ def align(docs: DataFrame, tokenizer: str, pieces: str) -> DataFrame:
     """
     sent = _Sent(docs.sparkSession, tokenizer, pieces)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    names = ["n_a", "n_b", "n_groups", "n_links"]
+    names = NAMES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec, number = sent.codec(), cells.numbers()
-        for batch in blocks(batches, limit=BLOCK):
-            found = Aligned(codec, batch.column("text"))
-            distinct, at, times = np.unique(found.pairs(), return_inverse=True, return_counts=True)
-            # links of a document with one pair are one entry
-            doc = found.rows_with[found.token_docs(0)[found.a_at]]
-            entry, often = np.unique(doc * max(distinct.size, 1) + at, return_counts=True)
-            per_doc = [
-                found.per_row(found.sizes[0]), found.per_row(found.sizes[1]),
-                found.per_row(np.bincount(found.group_docs(), minlength=len(found.rows_with))),
-                found.per_row(found.link_counts()),
-            ]
-            listed = lambda x: pa.ListArray.from_arrays(pa.array([0, batch.num_rows], pa.int32()), x)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([next(number)]), listed(batch.column("doc_id"))]
-                + [listed(pa.array(x)) for x in per_doc]
-                + [listed(pa.array(found.texts(), pa.string()))]
-                + [pa.array([x], pa.binary()) for x in (
-                    cells.pack(distinct, True), cells.pack(times), cells.pack(entry, True), cells.pack(often)
-                )]
-                + [pa.array([distinct.size])],
-                names=["block", "doc_id", *names, "digest", "pairs", "times", "entries", "often", "size"],
-            )
+        gathered = _Gathered()
+        for batch in blocks(batches, limit=PIECE):
+            gathered.add(batch, Aligned(codec, batch.column("text")))
+            if gathered.bytes >= BLOCK:
+                yield gathered.row(next(number))
+                gathered = _Gathered()
+        if gathered.rows:
+            yield gathered.row(next(number))
 
     schema = f"block bigint, doc_id array<{kind}>, " + ", ".join(f"{n} array<bigint>" for n in names)
     schema += ", digest array<string>, pairs binary, times binary, entries binary, often binary, size bigint"

@@ -77,11 +77,13 @@ def expected(texts):
     return out
 
 
-@pytest.mark.parametrize("limits", [(8 << 20, 4_000_000), (3000, 500)])
+@pytest.mark.parametrize("limits", [(1 << 20, 16 << 20, 4_000_000), (2000, 9000, 500)])
 def test_align_as_plain(spark, monkeypatch, limits):
     """Large and small blocks and shards give the plain version's rows."""
-    monkeypatch.setattr(alignment, "BLOCK", limits[0])
-    monkeypatch.setattr(alignment.cells, "PER_SHARD", limits[1])
+    monkeypatch.setattr(alignment, "PIECE", limits[0])
+    monkeypatch.setattr(alignment, "BLOCK", limits[1])
+    monkeypatch.setattr(alignment.cells, "PER_SHARD", limits[2])
+    monkeypatch.setattr(alignment, "MEMORY", 50)
     rows = cases.rows() + [(1000 + i, t, *[None] * 9) for i, t in enumerate(MORE)]
     docs = spark.createDataFrame(rows, cases.SCHEMA).repartition(3)
     got = alignment.align(docs, *PATHS).collect()
