@@ -1,7 +1,7 @@
 """Iterative and spatial engines shared by pairing, population and structure operators.
 
-Every loop writes its state to the checkpoint folder once per round and stops when
-nothing changes; no group is gathered into one task.
+Every loop writes its state to the shared folder in each round and stops when nothing
+changes; no group is gathered into one task.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from petridish.session import materialize
+from petridish.session import materialize, written
 
 
 def greedy_matching(
@@ -29,19 +29,19 @@ def greedy_matching(
     together; the last round finds no edge left.
     """
     keys = list(keys)
-    rest = materialize(edges.withColumn("_p", F.struct(*priority)))
+    rest = written(edges.withColumn("_p", F.struct(*priority)))
     taken = rest.limit(0).select(*edges.columns)
     while not rest.isEmpty():
         best_left = rest.groupBy(*keys, left).agg(F.min("_p").alias("_bl"))
         best_right = rest.groupBy(*keys, right).agg(F.min("_p").alias("_br"))
-        chosen = materialize(
+        chosen = written(
             rest.join(best_left, [*keys, left])
             .join(best_right, [*keys, right])
             .filter((F.col("_p") == F.col("_bl")) & (F.col("_p") == F.col("_br")))
             .select(*rest.columns)
         )
         taken = taken.unionByName(chosen.drop("_p"))
-        rest = materialize(
+        rest = written(
             rest.join(chosen.select(*keys, left), [*keys, left], "left_anti").join(
                 chosen.select(*keys, right), [*keys, right], "left_anti"
             )
@@ -64,7 +64,7 @@ def connected_components(
     minima and equi-joins; no neighbourhood is collected, and the end is exact.
     """
     keys = list(keys)
-    left = materialize(edges.filter("a <> b").select(*keys, "a", "b").distinct())
+    left = written(edges.filter("a <> b").select(*keys, "a", "b").distinct())
     ends = left.select(*keys, F.col("a").alias("_at")).union(left.select(*keys, "b")).distinct()
     places = ends.withColumn("_to", F.col("_at"))  # where each node has moved so far
     turn = 0
@@ -81,7 +81,7 @@ def connected_components(
             .select(*keys, "a", F.least("_m", order(F.col("a")))["x"].alias("_new"))
             .filter("_new <> a")
         )
-        moves = materialize(moves)
+        moves = written(moves)
 
         def moved(frame, name):
             step = moves.withColumnRenamed("a", name)  # noqa: B023
@@ -89,8 +89,8 @@ def connected_components(
                 name, F.coalesce("_new", name)
             ).drop("_new")
 
-        places = materialize(moved(places, "_to").select(*keys, "_at", "_to"))
-        left = materialize(
+        places = written(moved(places, "_to").select(*keys, "_at", "_to"))
+        left = written(
             moved(moved(left, "a"), "b").select(*keys, "a", "b").filter("a <> b").distinct()
         )
         turn += 1

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -56,3 +57,16 @@ def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` to the checkpoint folder once and continue from there."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """Write ``df`` as a Parquet table to the shared folder and read it.
+
+    For the state of a loop: what is read starts from a plain scan, while the plan of a
+    checkpointed frame keeps properties that grow from round to round.
+    """
+    spark = df.sparkSession
+    checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/state-{uuid.uuid4()}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
