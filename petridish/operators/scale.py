@@ -59,13 +59,112 @@ def _same_group(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str
     same = F.lit(True)
     for k, other in names.items():
         same = same & F.col(k).eqNullSafe(F.col(other))
-    return left.join(right, same, how).drop(*names.values())
+    joined = left.join(right, same, how)
+    return joined if how == "left_semi" else joined.drop(*names.values())
+
+
+#: A percentile lies between the approximate ones this far below and above, and the sketch behind
+#: those errs by one rank in so many. A group of up to WHOLE rows is its own bracket.
+MARGIN, ACCURACY, WHOLE = 3e-4, 20_000, 10_000
+#: Values between brackets that a group may gather; beyond, all values are sorted by range.
+GATHERED = 1 << 20
 
 
 def _percentiles(
     df: DataFrame, keys: Sequence[str], specs: Mapping[str, tuple[str, float]]
 ) -> DataFrame:
-    """One row per group with the percentiles in ``specs``, linearly interpolated.
+    """One row per group with the percentiles in ``specs``, linearly interpolated and exact.
+
+    Selection by brackets: a mergeable sketch gives a lower and an upper bound of each percentile,
+    one more aggregate counts the values below and keeps the few between, and the rank inside
+    gives the value. No sort, and a group of any size leaves only its brackets to one task.
+    """
+    keys = list(keys)
+    columns = list(dict.fromkeys(c for c, _ in specs.values()))
+    wanted = {c: sorted({float(p) for o, p in specs.values() if o == c}) for c in columns}
+    plain = df.select(*keys, *[F.col(f"`{c}`").cast("double").alias(f"_v{i}") for i, c in enumerate(columns)])
+    sizes = plain.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+    largest = sizes.agg(F.max("_rows")).first()[0] or 0
+    most = max(len(ps) for ps in wanted.values())
+    if largest > WHOLE and largest * (3 * MARGIN + 2 / ACCURACY) * most > GATHERED:
+        return _sorted_percentiles(df, keys, specs)
+    bounds: dict[tuple[int, float], list[Column | None]] = {
+        (i, p): [None, None] for i, c in enumerate(columns) for p in wanted[c]
+    }
+    if largest > WHOLE:
+        plain = _with_bounds(plain, keys, sizes, [wanted[c] for c in columns], bounds)
+    aggs = []
+    for i, c in enumerate(columns):
+        v, inside = F.col(f"_v{i}"), None
+        for j, p in enumerate(wanted[c]):
+            low, high = bounds[i, p]
+            if low is not None:
+                aggs += [F.count_if(v < low).alias(f"_b{i}_{j}"), F.min(low).alias(f"_l{i}_{j}")]
+            # bounds are null in groups that are their own bracket, and where they are open
+            own = F.lit(True)
+            own = own if low is None else own & F.coalesce(v >= low, F.lit(True))
+            own = own if high is None else own & F.coalesce(v <= high, F.lit(True))
+            inside = own if inside is None else inside | own
+        aggs += [F.count(v).alias(f"_n{i}"), F.array_sort(F.collect_list(F.when(inside, v))).alias(f"_s{i}")]
+    found = plain.groupBy(*keys).agg(*aggs)
+    out = []
+    for name, (c, p) in specs.items():
+        i, j = columns.index(c), wanted[c].index(float(p))
+        values, at = F.col(f"_s{i}"), F.lit(float(p)) * (F.col(f"_n{i}") - 1)
+        low = F.floor(at)
+        place = low
+        if bounds[i, float(p)][0] is not None:
+            bound = F.col(f"_l{i}_{j}")
+            skipped = F.coalesce(F.size(F.filter(values, lambda x: x < bound)), F.lit(0))
+            place = low - F.col(f"_b{i}_{j}") + skipped
+        first = F.get(values, place.cast("int"))
+        second = F.get(values, (place + 1).cast("int"))
+        # the value itself where no share falls to the next one
+        value = F.when(at > low, first * (1 - (at - low)) + second * (at - low)).otherwise(first)
+        out.append(F.when(F.col(f"_n{i}") > 0, value).alias(name))
+    return found.select(*keys, *out)
+
+
+def _with_bounds(
+    plain: DataFrame, keys: list[str], sizes: DataFrame, wanted: list[list[float]], bounds: dict
+) -> DataFrame:
+    """``plain`` with the brackets of large groups, null in the others; fills in ``bounds``."""
+    sketches = []
+    for i, ps in enumerate(wanted):
+        ends = [(j, side, p + sign * MARGIN) for j, p in enumerate(ps) for side, sign in ((0, -1), (1, 1))]
+        # within the margin of an end the bracket is open there
+        ends = [(j, side, f) for j, side, f in ends if (f > MARGIN if side == 0 else f < 1 - MARGIN)]
+        if ends:
+            sketches.append((i, ends))
+    rows = plain
+    if keys:
+        rows = _same_group(plain, sizes.filter(F.col("_rows") > WHOLE).select(*keys), keys, "left_semi")
+    found = materialize(
+        rows.groupBy(*keys).agg(
+            *[
+                F.percentile_approx(f"_v{i}", [f for _, _, f in ends], ACCURACY).alias(f"_q{i}")
+                for i, ends in sketches
+            ]
+        )
+    )
+    if keys:
+        plain = _same_group(plain, found, keys, "left")
+    else:
+        row = found.first()
+        kinds = dict(found.dtypes)
+        plain = plain.withColumns(
+            {f"_q{i}": F.array(*[F.lit(x).cast("double") for x in row[f"_q{i}"] or []]).cast(kinds[f"_q{i}"]) for i, _ in sketches}
+        )
+    for i, ends in sketches:
+        for at, (j, side, _) in enumerate(ends):
+            bounds[i, wanted[i][j]][side] = F.get(F.col(f"_q{i}"), at)
+    return plain
+
+
+def _sorted_percentiles(
+    df: DataFrame, keys: Sequence[str], specs: Mapping[str, tuple[str, float]]
+) -> DataFrame:
+    """One row per group with the percentiles in ``specs``, by a range-partitioned sort.
 
     Equal values are combined first; the running count of the distinct values, sorted by
     range, gives each value the ranks that it holds, and the values that hold the two ranks
@@ -128,7 +227,7 @@ def summarise(
 ) -> DataFrame:
     """Group aggregates plus exact, linearly interpolated percentiles.
 
-    ``percentiles`` maps an output name to ``(column, p)``; all of them share one sort.
+    ``percentiles`` maps an output name to ``(column, p)``; all of them share their passes.
     """
     keys, specs = list(keys), dict(percentiles or {})
     plain = [c.alias(n) for n, c in (aggs or {}).items()]

@@ -5,6 +5,7 @@ import math
 import random
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from petridish.operators import engines, scale
@@ -47,6 +48,37 @@ def test_percentiles_of_hot_groups_are_exact(spark):
     assert math.isclose(whole.a50, np.median(every), abs_tol=1e-12) and whole.n == len(every)
 
 
+def test_percentiles_of_large_groups_are_selected_exactly(spark, monkeypatch):
+    """Groups beyond a bracket's size: sketch and count, and the sort where brackets hold too many."""
+    rng = np.random.default_rng(8)
+    values = {"hot": np.round(rng.normal(size=23_001), 3), "even": np.arange(12_000.0), "cold": rng.normal(size=5)}
+    frame = pd.DataFrame([(g, v, -v) for g, vs in values.items() for v in vs], columns=["g", "a", "b"])
+    df = spark.createDataFrame(frame).repartition(5)
+    shares = (0.0, 1e-4, 0.25, 0.5, 0.9, 1.0)
+    specs = {f"{c}{i}": (c, p) for c in "ab" for i, p in enumerate(shares)}
+
+    def check():
+        for r in scale.summarise(df, ["g"], {}, specs).collect():
+            for i, p in enumerate(shares):
+                assert math.isclose(r[f"a{i}"], np.quantile(values[r.g], p), abs_tol=1e-12), (r.g, p)
+                assert math.isclose(r[f"b{i}"], np.quantile(-values[r.g], p), abs_tol=1e-12), (r.g, p)
+        whole = scale.summarise(df, [], {}, {"a2": ("a", 0.25)}).first()
+        assert math.isclose(whole.a2, np.quantile(np.concatenate(list(values.values())), 0.25), abs_tol=1e-12)
+
+    check()
+    monkeypatch.setattr(scale, "GATHERED", 10)
+    check()
+
+
+def test_components_of_long_chains_end(spark):
+    """Rounds stay flat in time: a chain of 20,000 links, its ids in no order along it."""
+    order = np.random.default_rng(2).permutation(20_001).tolist()
+    links = spark.createDataFrame([("g", a, b) for a, b in zip(order, order[1:])], "g string, a long, b long")
+    nodes = spark.createDataFrame([("g", i) for i in range(20_003)], "g string, id long")
+    got = engines.connected_components(nodes, links, ["g"])
+    assert {(r.component, r["count"]) for r in got.groupBy("component").count().collect()} == {(0, 20_001), (20_001, 1), (20_002, 1)}
+
+
 def test_greedy_matching_is_the_same_in_rounds(spark):
     rng = random.Random(5)
     edges = [("g", l, r, rng.random()) for l in range(25) for r in range(25) if rng.random() < 0.2]
