@@ -1,8 +1,8 @@
 """Two-stage Ki67 models and the dose-study regressions, fitted as Spark jobs.
 
-Classifiers are MLlib logistic regressions. Linear regressions are solved from sums of
-squares and products that Spark adds up over all rows; only those small sums and the
-coefficients reach the driver.
+Classifiers are logistic regressions, all folds and set-ups of a job in the same passes (see
+`logistic`). Linear regressions are solved from sums of squares and products that Spark adds up
+over all rows; only those small sums and the coefficients reach the driver.
 """
 
 from __future__ import annotations
@@ -13,8 +13,6 @@ from dataclasses import asdict, dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,6 +20,7 @@ from pyspark.sql import types as T
 
 from petridish.functions.numeric import clip, number
 from petridish.functions.text import score_name
+from petridish.operators.logistic import Fit, Logistic, fit_all, predict_all
 from petridish.operators.pairing import attach_embeddings
 from petridish.operators.scale import rank_within, summarise, with_group_stats
 from petridish.operators.splits import draw, group_kfold, image_balanced_weight
@@ -77,6 +76,13 @@ class TableTransform:
     mean: dict[str, float] = field(default_factory=dict)
     std: dict[str, float] = field(default_factory=dict)
 
+    def scaling(self) -> dict[str, tuple[float, float, float]]:
+        return {f: (self.median[f], self.mean[f], self.std[f]) for f in self.features}
+
+    def fill(self, feature: str) -> float:
+        """What an absent value becomes."""
+        return (self.median[feature] - self.mean[feature]) / self.std[feature]
+
     def expr(self, feature: str) -> Column:
         value = F.coalesce(number(f"`{feature}`"), F.lit(self.median[feature]))
         return (value - F.lit(self.mean[feature])) / F.lit(self.std[feature])
@@ -112,6 +118,49 @@ def fit_table_transform(
     )
 
 
+def fold_transforms(
+    df: DataFrame, features: Sequence[str], fold: str = "fold"
+) -> dict[int | None, TableTransform]:
+    """Transform of every training set that leaves one fold out, and of all rows (None).
+
+    Medians of a training set skip the held-out rows inside one pass; means and deviations come
+    from sums per fold, each set being the total without its fold.
+    """
+    features = list(features)
+    clean = df.select(F.col(fold).cast("int").alias("_fold"), *[number(f"`{f}`").alias(f"_{i}") for i, f in enumerate(features)])
+    sets = [r[0] for r in clean.select("_fold").distinct().collect()]
+    sets = [*sorted(k for k in sets if k is not None), None]
+    columns = {
+        f"{i}/{k}": F.col(f"_{i}") if k is None else F.when(F.coalesce(F.col("_fold"), F.lit(-1)) != k, F.col(f"_{i}"))
+        for k in sets
+        for i in range(len(features))
+    }
+    row = summarise(clean.select(*[c.alias(n) for n, c in columns.items()]), [], {}, {n: (n, 0.5) for n in columns}).first()
+    middle = {n: 0.0 if row[n] is None else float(row[n]) for n in columns}
+    values = [F.col(f"_{i}") for i in range(len(features))]
+    sums = clean.groupBy("_fold").agg(
+        F.count(F.lit(1)).alias("n"),
+        *[F.count(v).alias(f"c{i}") for i, v in enumerate(values)],
+        *[F.coalesce(F.avg(v), F.lit(0.0)).alias(f"m{i}") for i, v in enumerate(values)],
+        *[F.coalesce(F.var_pop(v), F.lit(0.0)).alias(f"v{i}") for i, v in enumerate(values)],
+    ).collect()
+    out = {}
+    for k in sets:
+        own = [r for r in sums if k is None or r["_fold"] != k]
+        n = sum(r["n"] for r in own)
+        median = {f: middle[f"{i}/{k}"] for i, f in enumerate(features)}
+        mean, std = {}, {}
+        for i, f in enumerate(features):
+            # nulls count as the median
+            parts = [(r[f"c{i}"], r[f"m{i}"], r[f"v{i}"]) for r in own]
+            parts.append((n - sum(c for c, _, _ in parts), median[f], 0.0))
+            mean[f] = sum(c * m for c, m, _ in parts) / n if n else 0.0
+            spread = sum(c * (v + (m - mean[f]) ** 2) for c, m, v in parts) / n if n else 0.0
+            std[f] = float(np.sqrt(spread)) or 1.0
+        out[k] = TableTransform(features, median, mean, std)
+    return out
+
+
 def anova_f(df: DataFrame, features: Sequence[str], label: str = "ki67_label") -> DataFrame:
     """One-way ANOVA F of every feature against the label, from group sums."""
     features = list(features)
@@ -152,10 +201,6 @@ def select_k_best(df: DataFrame, features: Sequence[str], k: int = 40) -> list[s
 # --- classifiers ------------------------------------------------------------------------
 
 
-def _assembled(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    return VectorAssembler(inputCols=list(columns), outputCol="features", handleInvalid="error").transform(df)
-
-
 def positive_probability(vector: Column | str = "probability") -> Column:
     return vector_to_array(F.col(vector) if isinstance(vector, str) else vector)[1]
 
@@ -165,13 +210,33 @@ def sigmoid(margin: Column | str) -> Column:
     return 1.0 / (1.0 + F.exp(-m))
 
 
-def evidence_model(df: DataFrame, columns: Sequence[str]) -> LogisticRegressionModel:
+def evidence_fit(columns: Sequence[str], transform: TableTransform, fold: int | None = None) -> Fit:
     """Image-balanced elastic-net logistic regression on standardised columns."""
-    weighted = image_balanced_weight(df)
-    return LogisticRegression(
-        labelCol="ki67_label", weightCol="weight", regParam=1e-4, elasticNetParam=0.15,
-        standardization=False, maxIter=100, tol=1e-6,
-    ).fit(_assembled(weighted, columns))
+    return Fit(tuple(columns), fold, transform.scaling(), l1=1e-4 * 0.15, l2=1e-4 * 0.85)
+
+
+def fit_evidence(folded: DataFrame, groups: Mapping[str, Sequence[str]]) -> dict[tuple[str, int | None], Logistic]:
+    """Evidence models of every feature group, for each training set without a fold and for all rows.
+
+    ``folded`` has image_key, ki67_label, fold and the features; groups without a present column are
+    left out.
+    """
+    groups = {g: [c for c in columns if c in folded.columns] for g, columns in groups.items()}
+    groups = {g: columns for g, columns in groups.items() if columns}
+    features = list(dict.fromkeys(c for columns in groups.values() for c in columns))
+    transforms = fold_transforms(folded, features)
+    fits = {(g, k): evidence_fit(columns, t, k) for k, t in transforms.items() for g, columns in groups.items()}
+    weighted = image_balanced_weight(folded.select("image_key", "ki67_label", "fold", *[f"`{c}`" for c in features]))
+    return fit_all(materialize(weighted.drop("image_key")), fits, "ki67_label", "weight")
+
+
+def evidence_scores(
+    df: DataFrame, models: Mapping[tuple[str, int | None], Logistic], row: str = "cell_id", fold: str | None = "fold"
+) -> DataFrame:
+    """``row`` and one score column per group; rows with a fold are scored by the model without it."""
+    groups = [g for g, k in models if k is None]
+    found = predict_all(df, [row], models, groups, fold)
+    return found.select(row, *[F.col("probability")[i].alias(score_name(g)) for i, g in enumerate(groups)])
 
 
 def fit_feature_groups(
@@ -179,41 +244,18 @@ def fit_feature_groups(
 ) -> tuple[dict, DataFrame]:
     """Evidence models per feature group and out-of-fold scores of the training cells.
 
-    Folds hold whole images. Returns ``{group: (transform, model)}`` and ``row, scores…``.
+    Folds hold whole images. Returns ``{group: model}`` and ``row, scores…``.
     """
     folded = materialize(group_kfold(train, "image_key", folds))
-    used = [r[0] for r in folded.select("fold").distinct().orderBy("fold").collect()]
-    models, scores = {}, folded.select(row)
-    for group, columns in groups.items():
-        columns = [c for c in columns if c in train.columns]
-        if not columns:
-            continue
-        name = score_name(group)
-        keep = [row, "image_key", "ki67_label"]
-        parts = None
-        for k in used:
-            fit_rows, rest = folded.filter(F.col("fold") != k), folded.filter(F.col("fold") == k)
-            t = fit_table_transform(fit_rows, columns)
-            model = evidence_model(t.apply(fit_rows, keep), columns)
-            scored = model.transform(_assembled(t.apply(rest, keep), columns)).select(
-                row, positive_probability().alias(name)
-            )
-            parts = scored if parts is None else parts.unionByName(scored)
-        t = fit_table_transform(folded, columns)
-        models[group] = (t, evidence_model(t.apply(folded, keep), columns))
-        scores = scores.join(parts, row, "left")
-    return models, materialize(scores)
-
-
-def score_feature_groups(df: DataFrame, models: Mapping, row: str = "cell_id") -> DataFrame:
+    models = fit_evidence(folded, groups)
+    return {g: m for (g, k), m in models.items() if k is None}, evidence_scores(folded, models, row)
+
+
+def score_feature_groups(df: DataFrame, models: Mapping[str, Logistic], row: str = "cell_id") -> DataFrame:
     """Evidence scores of new cells: one column per group."""
-    out = df.select(row)
-    for group, (t, model) in models.items():
-        scored = model.transform(_assembled(t.apply(df, [row]), t.features)).select(
-            row, positive_probability().alias(score_name(group))
-        )
-        out = out.join(scored, row)
-    return out
+    missing = {c for m in models.values() for c in m.columns} - set(df.columns)
+    df = df.withColumns({c: F.lit(None).cast("double") for c in missing})
+    return evidence_scores(df, {(g, None): m for g, m in models.items()}, row, None)
 
 
 def stage1_matrix(
@@ -231,8 +273,13 @@ def stage1_matrix(
     With ``columns`` from training the matrix is aligned to them, 0 where absent.
     """
     keep = [row, "image_key", *(["ki67_label"] if "ki67_label" in cells.columns else [])]
-    out = cells.select(*keep)
     names: list[str] = []
+    table = {f"param_{i:03d}": f for i, f in enumerate(transform.features)} if config.parameters != "none" else {}
+    given = set(cells.columns)
+    out = cells.select(
+        *keep,
+        *[(transform.expr(f) if f in given else F.lit(transform.fill(f))).alias(p) for p, f in table.items()],
+    )
     if config.scores:
         wanted = [score_name(g) for g in config.groups] if config.groups else [c for c in scores.columns if c != row]
         present = [c for c in wanted if c in scores.columns]
@@ -246,11 +293,7 @@ def stage1_matrix(
             *[F.col("embedding")[i].cast("double").alias(v) for i, v in enumerate(vector)],
         )
         names += vector
-    if config.parameters != "none":
-        table = transform.apply(cells, [row])
-        renamed = {f: f"param_{i:03d}" for i, f in enumerate(transform.features)}
-        out = out.join(table.withColumnsRenamed(renamed), row)
-        names += list(renamed.values())
+    names += list(table)
     if not names:
         raise ValueError(f"set-up {config.key} has no first-stage input")
     target = list(columns) if columns is not None else names
@@ -266,35 +309,81 @@ def stage1_matrix(
     )
 
 
-def fit_stage1(matrix: DataFrame, columns: Sequence[str]) -> LogisticRegressionModel:
+def stage1_columns(
+    config: Config, scores: Sequence[str], transforms: Mapping[str, TableTransform | None], embedding_size: int
+) -> list[str]:
+    """Names of a set-up's first-stage inputs, as `stage1_matrix` gives them."""
+    names: list[str] = []
+    if config.scores:
+        names += [score_name(g) for g in config.groups if score_name(g) in scores] if config.groups else list(scores)
+    if config.embedding:
+        names += [f"cnn_emb_{i:04d}" for i in range(embedding_size)]
+    if config.parameters != "none":
+        names += [f"param_{i:03d}" for i in range(len(transforms[config.parameters].features))]
+    if not names:
+        raise ValueError(f"set-up {config.key} has no first-stage input")
+    return names
+
+
+def stage1_inputs(
+    data: DataFrame,
+    configs: Sequence[Config],
+    scores: Sequence[str],
+    embeddings: DataFrame | None,
+    transforms: Mapping[str, TableTransform | None],
+    embedding_size: int = 0,
+    row: str = "cell_id",
+) -> tuple[DataFrame, list[list[str]]]:
+    """First-stage inputs of all set-ups in one table, each once, and the columns of each set-up.
+
+    ``data`` has the score columns, split and fold. The vectors are the only join.
+    """
+    given, exprs, columns = set(data.columns), {}, []
+    for config in configs:
+        own = []
+        for name in stage1_columns(config, scores, transforms, embedding_size):
+            if name.startswith("param_"):
+                t = transforms[config.parameters]
+                feature = t.features[int(name[6:])]
+                place = f"{config.parameters}_{name}"
+                exprs[place] = F.coalesce(t.expr(feature) if feature in given else F.lit(t.fill(feature)), F.lit(0.0))
+            elif name.startswith("cnn_emb_"):
+                place = name
+                exprs[place] = F.coalesce(number(F.col("embedding")[int(name[8:])].cast("double")), F.lit(0.0))
+            else:
+                place = name
+                exprs[place] = F.coalesce(number(f"`{name}`"), F.lit(0.0))
+            own.append(place)
+        columns.append(own)
+    if any(c.embedding for c in configs):
+        data = attach_embeddings(data, embeddings, embedding_size)
+    return data.select(row, "image_key", "split", "fold", "ki67_label", *[e.alias(n) for n, e in exprs.items()]), columns
+
+
+def stage1_fit(columns: Sequence[str], fold: int | None = None) -> Fit:
     """Class-balanced ridge logistic regression (penalty 1/2·|w|² against the summed loss)."""
-    counts = {r["ki67_label"]: r["n"] for r in matrix.groupBy("ki67_label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    total = sum(counts.values())
-    weight = F.lit(0.0)
-    for y, n in counts.items():
-        weight = F.when(F.col("ki67_label") == y, total / (len(counts) * n)).otherwise(weight)
-    return LogisticRegression(
-        labelCol="ki67_label", weightCol="_w", regParam=1.0 / total, elasticNetParam=0.0,
-        standardization=False, maxIter=100, tol=1e-6,
-    ).fit(_assembled(matrix.withColumn("_w", weight), columns))
+    return Fit(tuple(columns), fold, ridge=1.0, balanced=True)
 
 
-def predict_stage1(model: LogisticRegressionModel, matrix: DataFrame, columns: Sequence[str], row: str = "cell_id") -> DataFrame:
-    return model.transform(_assembled(matrix, columns)).select(row, positive_probability().alias("cell_prob"))
+def fit_stage1(matrix: DataFrame, columns: Sequence[str]) -> Logistic:
+    rows = matrix.withColumn("fold", F.lit(None).cast("int"))
+    return fit_all(rows, {0: stage1_fit(columns)}, "ki67_label")[0]
+
+
+def predict_stage1(model: Logistic, matrix: DataFrame, columns: Sequence[str], row: str = "cell_id") -> DataFrame:
+    found = predict_all(matrix, [row], {(0, None): model}, [0], None)
+    return found.select(row, F.col("probability")[0].alias("cell_prob"))
 
 
 def stage1_with_oof(
     matrix: DataFrame, columns: Sequence[str], folds: int = 5, row: str = "cell_id"
-) -> tuple[LogisticRegressionModel, DataFrame]:
+) -> tuple[Logistic, DataFrame]:
     """Final classifier and out-of-fold probabilities, folds by whole images."""
     folded = materialize(group_kfold(matrix, "image_key", folds))
-    used = [r[0] for r in folded.select("fold").distinct().orderBy("fold").collect()]
-    parts = None
-    for k in used:
-        model = fit_stage1(folded.filter(F.col("fold") != k), columns)
-        scored = predict_stage1(model, folded.filter(F.col("fold") == k), columns, row)
-        parts = scored if parts is None else parts.unionByName(scored)
-    return fit_stage1(folded, columns), materialize(parts)
+    used = [r[0] for r in folded.select("fold").distinct().collect()]
+    fitted = fit_all(folded, {(0, k): stage1_fit(columns, k) for k in [*sorted(used), None]}, "ki67_label")
+    found = predict_all(folded, [row], fitted, [0])
+    return fitted[0, None], found.select(row, F.col("probability")[0].alias("cell_prob"))
 
 
 # --- second stage -----------------------------------------------------------------------
@@ -314,68 +403,109 @@ def stage2_columns(mode: str, passages: Sequence[str], scores: Sequence[str]) ->
 
 def stage2_matrix(images: DataFrame, columns: Sequence[str], keep: Sequence[str]) -> DataFrame:
     """Second-stage design columns; passage dummies and absent columns are 0."""
-    exprs = []
+    return images.select(*keep, *[e.alias(c) for c, e in zip(columns, _design_columns(images, columns))])
+
+
+def _design_columns(images: DataFrame, columns: Sequence[str]) -> list[Column]:
+    exprs, given = [], set(images.columns)
     for c in columns:
         if c.startswith("passage_"):
-            e = F.coalesce((F.col("passage") == c[len("passage_"):]).cast("double"), F.lit(0.0))
-        elif c in images.columns:
-            e = F.coalesce(number(f"`{c}`"), F.lit(0.0))
+            exprs.append(F.coalesce((F.col("passage") == c[len("passage_"):]).cast("double"), F.lit(0.0)))
+        elif c in given:
+            exprs.append(F.coalesce(number(f"`{c}`"), F.lit(0.0)))
         else:
-            e = F.lit(0.0)
-        exprs.append(e.alias(c))
-    return images.select(*keep, *exprs)
+            exprs.append(F.lit(0.0))
+    return exprs
 
 
-def fit_ridge(df: DataFrame, columns: Sequence[str], target: str, alpha: float = 1.0) -> dict[str, float]:
-    """Ridge with intercept from centred sums of products; ``{column: weight, _intercept}``."""
+def grouped_moments(df: DataFrame, key: str, columns: Sequence[str]) -> dict:
+    """Per key: rows, means and centred sums of products of ``columns``, merged where the rows are."""
     columns = list(columns)
-    means = df.agg(*[F.avg(f"`{c}`").alias(f"c{i}") for i, c in enumerate([*columns, target])]).first()
-    centred = [F.col(f"`{c}`") - F.lit(float(means[f"c{i}"])) for i, c in enumerate([*columns, target])]
-    p = len(columns)
-    pairs = [(i, j) for i in range(p) for j in range(i, p + 1)]
-    sums = df.agg(*[F.sum(centred[i] * centred[j]).alias(f"s{i}_{j}") for i, j in pairs]).first()
-    gram, cross = np.zeros((p, p)), np.zeros(p)
-    for i, j in pairs:
-        if j == p:
-            cross[i] = sums[f"s{i}_{j}"]
-        else:
-            gram[i, j] = gram[j, i] = sums[f"s{i}_{j}"]
-    w = np.linalg.solve(gram + alpha * np.eye(p), cross)
-    intercept = float(means[f"c{p}"]) - float(sum(w[i] * means[f"c{i}"] for i in range(p)))
-    return {**{c: float(w[i]) for i, c in enumerate(columns)}, "_intercept": intercept}
+
+    def merge(a, b):
+        n = a[0] + b[0]
+        gap = b[1] - a[1]
+        return n, a[1] + gap * (b[0] / n), a[2] + b[2] + np.outer(gap, gap) * (a[0] * b[0] / n)
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict = {}
+        for batch in batches:
+            for k, part in batch.groupby("_key"):
+                x = part[names].to_numpy(dtype="float64")
+                mean = x.mean(axis=0)
+                own = (float(len(x)), mean, (x - mean).T @ (x - mean))
+                sums[k] = merge(sums[k], own) if k in sums else own
+        yield pd.DataFrame({"_key": list(sums), "s": [np.concatenate([[n], m, g.ravel()]) for n, m, g in sums.values()]})
+
+    def read(s):
+        p = len(names)
+        s = np.asarray(s)
+        return float(s[0]), s[1 : p + 1], s[p + 1 :].reshape(p, p)
+
+    def add(group: pd.DataFrame) -> pd.DataFrame:
+        total = None
+        for s in group["s"]:
+            total = read(s) if total is None else merge(total, read(s))
+        n, mean, gram = total
+        return pd.DataFrame({"_key": group["_key"].iloc[:1], "s": [np.concatenate([[n], mean, gram.ravel()])]})
+
+    names = [f"_{i}" for i in range(len(columns))]
+    kind = df.schema[key].dataType.simpleString()
+    parts = df.select(F.col(key).alias("_key"), *[F.col(f"`{c}`").cast("double").alias(n) for c, n in zip(columns, names)])
+    schema = f"_key {kind}, s array<double>"
+    parts = parts.mapInPandas(partial, schema).withColumn("_branch", F.pmod(F.spark_partition_id(), F.lit(64)))
+    near = parts.groupBy("_key", "_branch").applyInPandas(lambda g: add(g), schema)
+    return {r["_key"]: read(r["s"]) for r in near.groupBy("_key").applyInPandas(add, schema).collect()}
+
+
+def solve_ridge(moments: tuple, order: Sequence[str], columns: Sequence[str], target: str, alpha: float = 1.0) -> dict[str, float]:
+    """Ridge with intercept from moments over ``order``; ``{column: weight, _intercept}``."""
+    _, mean, gram = moments
+    at, y = [order.index(c) for c in columns], order.index(target)
+    w = np.linalg.solve(gram[np.ix_(at, at)] + alpha * np.eye(len(at)), gram[at, y])
+    return {**{c: float(v) for c, v in zip(columns, w)}, "_intercept": float(mean[y] - w @ mean[at])}
+
+
+def fit_ridge(df: DataFrame, columns: Sequence[str], target: str, alpha: float = 1.0) -> dict[str, float]:
+    order = [*columns, target]
+    moments = grouped_moments(df.withColumn("_one", F.lit(0)), "_one", order)
+    return solve_ridge(moments[0], order, list(columns), target, alpha)
 
 
 def predict_ratio(images: DataFrame, mode: str, weights: Mapping[str, float] | None) -> DataFrame:
     """``pred_ratio`` in [0, 1]: the linear model, or the mean probability for S0."""
-    if mode.upper() == "S0":
-        return images.withColumn("pred_ratio", clip("mean_cell_prob", 0.0, 1.0))
-    columns = [c for c in weights if c != "_intercept"]
-    design = stage2_matrix(images, columns, ["image_key"])
-    value = F.lit(weights["_intercept"])
-    for c in columns:
-        value = value + F.col(f"`{c}`") * F.lit(weights[c])
-    predicted = design.select("image_key", clip(value, 0.0, 1.0).alias("pred_ratio"))
-    return images.join(predicted, "image_key")
+    return predict_ratios(images.withColumn("_slot", F.lit(0)), "_slot", [weights if mode.upper() != "S0" else None]).drop("_slot")
+
+
+def predict_ratios(images: DataFrame, slot: str, weights: Sequence[Mapping[str, float] | None]) -> DataFrame:
+    """``pred_ratio`` by the linear model of the row's slot; the mean probability where it has none."""
+    columns = list(dict.fromkeys(c for w in weights if w for c in w if c != "_intercept"))
+    design = F.array(*[c.cast("double") for c in _design_columns(images, columns)], F.lit(1.0))
+    each = [
+        F.array(*[F.lit(float((w or {}).get(c, 0.0))) for c in columns], F.lit(float((w or {}).get("_intercept", 0.0))))
+        for w in weights
+    ]
+    product = F.zip_with(design, F.get(F.array(*each), F.col(slot)), lambda x, w: x * w)
+    value = F.aggregate(product, F.lit(0.0), lambda total, x: total + x)
+    plain = F.get(F.array(*[F.lit(w is None) for w in weights]), F.col(slot))
+    return images.withColumn("pred_ratio", clip(F.when(plain, F.col("mean_cell_prob")).otherwise(value), 0.0, 1.0))
 
 
 # --- persistence ------------------------------------------------------------------------
 
 
 def save_model(spark: SparkSession, path: str, bundle: Mapping) -> None:
-    """Model bundle as MLlib folders plus one JSON document."""
+    """Model bundle as one JSON document."""
     document = {
         "config": asdict(bundle["config"]),
         "stage1_columns": list(bundle["stage1_columns"]),
         "stage2_weights": bundle["stage2_weights"],
         "threshold": bundle.get("threshold", 0.5),
         "embedding_size": bundle.get("embedding_size", 0),
-        "groups": [],
+        "groups": {g: asdict(m) for g, m in bundle.get("groups", {}).items()},
+        "stage1": asdict(bundle["stage1"]),
         "transform": asdict(bundle["transform"]) if bundle.get("transform") else None,
     }
-    for i, (group, (t, model)) in enumerate(bundle.get("groups", {}).items()):
-        document["groups"].append({"name": group, "transform": asdict(t)})
-        model.write().overwrite().save(f"{path}/group-{i}")
-    bundle["stage1"].write().overwrite().save(f"{path}/stage1")
     save_json(spark, document, f"{path}/bundle")
 
 
@@ -390,11 +520,8 @@ def load_model(spark: SparkSession, path: str) -> dict:
         "threshold": d["threshold"],
         "embedding_size": d["embedding_size"],
         "transform": TableTransform(**d["transform"]) if d["transform"] else None,
-        "groups": {
-            g["name"]: (TableTransform(**g["transform"]), LogisticRegressionModel.load(f"{path}/group-{i}"))
-            for i, g in enumerate(d["groups"])
-        },
-        "stage1": LogisticRegressionModel.load(f"{path}/stage1"),
+        "groups": {g: Logistic(**m) for g, m in d["groups"].items()},
+        "stage1": Logistic(**d["stage1"]),
     }
 
 

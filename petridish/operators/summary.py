@@ -25,8 +25,9 @@ def cell_to_image(
     cells: DataFrame,
     scores: Sequence[str] = (),
     probability: str = "cell_prob",
+    by: Sequence[str] = (),
 ) -> DataFrame:
-    """Probability summary per image, with true ratio and score means where present."""
+    """Probability summary per image (and ``by``), with true ratio and score means where present."""
     def above(t):
         return F.avg(F.coalesce(F.col(probability) > t, F.lit(False)).cast("double"))
 
@@ -50,7 +51,14 @@ def cell_to_image(
         if s in cells.columns:
             aggs[f"{s}_mean"] = F.avg(s)
             percentiles[f"{s}_median"] = (s, 0.5)
-    return summarise(cells, ["image_key"], aggs, percentiles)
+    return summarise(cells, [*by, "image_key"], aggs, percentiles)
+
+
+def image_scores(cells: DataFrame, scores: Sequence[str]) -> DataFrame:
+    """Mean and median of score columns per image."""
+    return summarise(
+        cells, ["image_key"], {f"{s}_mean": F.avg(s) for s in scores}, {f"{s}_median": (s, 0.5) for s in scores}
+    )
 
 
 def image_to_folder(images: DataFrame) -> DataFrame:
@@ -167,14 +175,21 @@ def area_histogram(
 # --- prediction metrics -----------------------------------------------------------------
 
 
-def cell_metrics(cells: DataFrame, threshold: float = 0.5) -> DataFrame:
+def _by_split(df: DataFrame, by: Sequence[str], aggs: Sequence[Column]) -> DataFrame:
+    """Aggregates per split and, as ``overall``, over all splits, each for every ``by``."""
+    sets = df.groupingSets([[*by, "split"], list(by)], *by, "split") if by else df.rollup("split")
+    out = sets.agg(*aggs, F.grouping("split").alias("_all"))
+    return out.withColumn("split", F.when(F.col("_all") == 1, "overall").otherwise(F.col("split"))).drop("_all")
+
+
+def cell_metrics(cells: DataFrame, threshold: float = 0.5, by: Sequence[str] = ()) -> DataFrame:
     """Accuracy, confusion counts and probability error, per split and ``overall``."""
     p, y = number("cell_prob"), number("ki67_label")
-    rows = cells.select("split", p.alias("p"), y.cast("int").alias("y")).filter(
+    rows = cells.select(*by, "split", p.alias("p"), y.cast("int").alias("y")).filter(
         "p is not null and y is not null"
     )
     pred = (F.col("p") >= threshold).cast("int")
-    return rows.rollup("split").agg(
+    return _by_split(rows, by, [
         F.count(F.lit(1)).alias("cell_num"),
         F.avg("y").alias("positive_ratio"),
         F.avg((pred == F.col("y")).cast("double")).alias("accuracy"),
@@ -183,13 +198,13 @@ def cell_metrics(cells: DataFrame, threshold: float = 0.5) -> DataFrame:
         F.count_if((pred == 1) & (F.col("y") == 0)).alias("fp"),
         F.count_if((pred == 0) & (F.col("y") == 1)).alias("fn"),
         F.count_if((pred == 1) & (F.col("y") == 1)).alias("tp"),
-        F.grouping("split").alias("_all"),
-    ).withColumn("split", F.when(F.col("_all") == 1, "overall").otherwise(F.col("split"))).drop("_all")
+    ])
 
 
-def image_metrics(images: DataFrame) -> DataFrame:
+def image_metrics(images: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Ratio errors, plain and weighted by cell count, per split and ``overall``."""
     df = images.select(
+        *by,
         "split",
         "image_key",
         number("pred_ratio").alias("p"),
@@ -202,7 +217,7 @@ def image_metrics(images: DataFrame) -> DataFrame:
     def valid(c):
         return F.when(both, F.col(c))
 
-    out = df.rollup("split").agg(
+    out = _by_split(df, by, [
         F.countDistinct("image_key").alias("image_num"),
         F.sum(F.coalesce("w", F.lit(0.0))).cast("bigint").alias("cell_num"),
         F.avg("p").alias("pred_ratio"),
@@ -217,12 +232,9 @@ def image_metrics(images: DataFrame) -> DataFrame:
         F.abs(weighted_mean(valid("p"), "w") - weighted_mean(valid("t"), "w")).alias(
             "abs_error_weighted"
         ),
-        F.grouping("split").alias("_all"),
-    )
+    ])
     return (
-        out.withColumn("split", F.when(F.col("_all") == 1, "overall").otherwise(F.col("split")))
-        .drop("_all")
-        .withColumn("ratio_accuracy", 1.0 - F.col("abs_error"))
+        out.withColumn("ratio_accuracy", 1.0 - F.col("abs_error"))
         .withColumn("ratio_accuracy_weighted", 1.0 - F.col("abs_error_weighted"))
     )
 

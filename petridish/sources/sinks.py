@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from petridish.functions.catalog import GROUP_SHEETS, SINGLE_GROUPS, UNKNOWN, describe
 from petridish.functions.text import path_component
+from petridish.operators.summary import cell_metrics, feature_mean_median, image_metrics
 
 
 def write_table(
@@ -76,6 +77,88 @@ def prediction_sheets(
     )
 
 
+def image_prediction_sheets(
+    cells: DataFrame, images: DataFrame, groups: Mapping[str, Sequence[str]]
+) -> DataFrame:
+    """Mean and median of every feature of the nine single groups, per image, in long form.
+
+    Images without a value keep a row with NULL.
+    """
+    spark = cells.sparkSession
+    member = [
+        (f"{feature}_{stat}", GROUP_SHEETS[g])
+        for g in SINGLE_GROUPS
+        for feature in groups.get(g, ())
+        if feature in cells.columns
+        for stat in ("mean", "median")
+    ]
+    features = list(dict.fromkeys(f for g in SINGLE_GROUPS for f in groups.get(g, ()) if f in cells.columns))
+    names = [f"{f}_{stat}" for f in features for stat in ("mean", "median")]
+    ids = images.select("source_folder", "image_name", "image_key").dropDuplicates(["image_key"])
+    wide = ids.join(feature_mean_median(cells, features), "image_key", "left").drop("image_key")
+    lookup = spark.createDataFrame(member, "feature string, feature_group string")
+    return (
+        feature_rows(wide, ["source_folder", "image_name"], names)
+        .join(F.broadcast(lookup), "feature")  # two rows per known feature name and group
+        .withColumn("folder", path_component("source_folder"))
+    )
+
+
+def prediction_summary(cells: DataFrame, images: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """Metrics of every source folder, cell and image level, as rows ``level, metric, value``.
+
+    Cells without a label table give the mean probability and the share of positive predictions.
+    """
+    by = ["source_folder"]
+    if "ki67_label" in cells.columns:
+        own = cell_metrics(cells.withColumn("split", F.lit("all")), threshold, by)
+        own = own.filter("split = 'overall'").drop("split")
+    else:
+        p = F.expr("try_cast(cell_prob AS DOUBLE)")
+        own = cells.groupBy(*by).agg(
+            F.count(p).alias("cell_num"),
+            F.avg(p).alias("mean_cell_prob"),
+            F.avg((p >= threshold).cast("double")).alias("predicted_positive_ratio"),
+            F.lit(float(threshold)).alias("threshold"),
+        )
+    if "true_ratio" not in images.columns:
+        images = images.withColumn("true_ratio", F.lit(None).cast("double"))
+    whole = image_metrics(images.withColumn("split", F.lit("all")), by)
+    whole = whole.filter("split = 'overall'").drop("split")
+
+    def long(df: DataFrame, level: str) -> DataFrame:
+        names = [c for c in df.columns if c not in by]
+        rows = df.select(*by, *[F.col(c).cast("double").alias(c) for c in names])
+        return rows.unpivot(by, names, "metric", "value").withColumn("level", F.lit(level))
+
+    return (
+        long(own, "cell")
+        .unionByName(long(whole, "image"))
+        .withColumn("folder", path_component("source_folder"))
+    )
+
+
+def write_prediction_sheets(
+    cells: DataFrame,
+    images: DataFrame,
+    groups: Mapping[str, Sequence[str]],
+    path: str,
+    threshold: float = 0.5,
+) -> None:
+    """The sheets of every source folder: features and predictions of cells and images, metrics.
+
+    Feature tables are partitioned by folder and sheet, the others by folder.
+    """
+    root = path.rstrip("/")
+    write_table(prediction_sheets(cells, ["source_folder", "Image", "Cell_ID"], groups), f"{root}/cell_features", ["folder", "feature_group"])
+    write_table(image_prediction_sheets(cells, images, groups), f"{root}/image_features", ["folder", "feature_group"])
+    write_table(prediction_summary(cells, images, threshold), f"{root}/metrics", ["folder"])
+    known = {f for columns in groups.values() for f in columns}
+    for name, df in (("cells", cells), ("images", images)):
+        kept = df.select(*[f"`{c}`" for c in df.columns if c not in known])
+        write_table(kept.withColumn("folder", path_component("source_folder")), f"{root}/{name}", ["folder"])
+
+
 def save_json(spark: SparkSession, value: Mapping, path: str) -> None:
     """A small document as one text file."""
     text = json.dumps(value, sort_keys=True)

@@ -460,3 +460,47 @@ def _(spark, sf):
     wide = wide_cells(spark, sf)
     out = sinks.prediction_sheets(wide, ["source_folder", "Cell_ID"], feature_groups(WIDE))
     return out.withColumn("value", nround("value", 6))
+
+
+IMAGE_SHEETS_SQL = "img AS (SELECT image_key, min(source_folder) AS source_folder, min(\"Image\") AS image_name FROM cells GROUP BY 1)"
+
+
+def _sheet_images(spark, sf):
+    return s.cells(spark, sf).groupBy("image_key").agg(
+        F.min("source_folder").alias("source_folder"), F.min("Image").alias("image_name")
+    )
+
+
+@query("image_prediction_sheets", with_ctes(s.CELLS_SQL, WIDE_LONG_SQL, IMAGE_SHEETS_SQL, body="""
+, st AS (SELECT image_key, feature, avg(value) AS mean, median(value) AS median FROM long GROUP BY ALL)
+SELECT i.source_folder, i.source_folder AS folder, i.image_name, st.feature || '_' || k.stat AS feature, feature_group,
+  round(CASE k.stat WHEN 'mean' THEN mean ELSE median END, 6) AS value
+FROM img i JOIN st USING (image_key) CROSS JOIN (VALUES ('mean'), ('median')) k(stat) JOIN (""" + " UNION ALL ".join(
+    f"SELECT '{f}' AS feature, '{g}' AS feature_group" for g, fs in _PRED.items() for f in fs
+) + ") m ON m.feature = st.feature"))
+def _(spark, sf):
+    from petridish.functions.catalog import feature_groups
+
+    out = sinks.image_prediction_sheets(wide_cells(spark, sf), _sheet_images(spark, sf), feature_groups(WIDE))
+    return out.withColumn("value", nround("value", 6))
+
+
+@query("prediction_summary", with_ctes(s.CELLS_SQL, body="""
+, ip AS (SELECT image_key, source_folder, count(*) AS w, avg(cell_prob) AS p, CASE WHEN max(image_id) % 9 <> 0 THEN avg(ki67_label) END AS t FROM cells GROUP BY ALL),
+v AS (SELECT *, p - t AS e, CASE WHEN t IS NOT NULL THEN p END AS pv, CASE WHEN t IS NOT NULL THEN w END AS wv FROM ip),
+c AS (SELECT source_folder, cell_prob AS p, ki67_label AS y, CASE WHEN cell_prob >= 0.3 THEN 1 ELSE 0 END AS c FROM cells WHERE cell_prob IS NOT NULL),
+cm AS (SELECT source_folder, CAST(count(*) AS DOUBLE) AS cell_num, avg(y) AS positive_ratio, avg(CASE WHEN c = y THEN 1.0 ELSE 0.0 END) AS accuracy, avg(abs(p - y)) AS probability_mae,
+  CAST(count(*) FILTER (c = 0 AND y = 0) AS DOUBLE) AS tn, CAST(count(*) FILTER (c = 1 AND y = 0) AS DOUBLE) AS fp,
+  CAST(count(*) FILTER (c = 0 AND y = 1) AS DOUBLE) AS fn, CAST(count(*) FILTER (c = 1 AND y = 1) AS DOUBLE) AS tp FROM c GROUP BY 1),
+im AS (SELECT source_folder, CAST(count(DISTINCT image_key) AS DOUBLE) AS image_num, CAST(sum(w) AS DOUBLE) AS cell_num, avg(p) AS pred_ratio, sum(p * w) / sum(w) AS pred_ratio_weighted,
+  avg(t) AS true_ratio, sum(t * w) / sum(wv) AS true_ratio_weighted, avg(abs(e)) AS image_mae, avg(e) AS image_bias, sqrt(avg(e * e)) AS image_rmse,
+  avg(CASE WHEN e IS NOT NULL THEN CASE WHEN abs(e) <= 0.1 THEN 1.0 ELSE 0.0 END END) AS within_10pp, abs(avg(pv) - avg(t)) AS abs_error,
+  abs(sum(pv * w) / sum(wv) - sum(t * w) / sum(wv)) AS abs_error_weighted, 1 - abs(avg(pv) - avg(t)) AS ratio_accuracy,
+  1 - abs(sum(pv * w) / sum(wv) - sum(t * w) / sum(wv)) AS ratio_accuracy_weighted FROM v GROUP BY 1)
+SELECT source_folder, source_folder AS folder, 'cell' AS level, metric, round(value, 6) AS value FROM (UNPIVOT INCLUDE NULLS cm ON * EXCLUDE source_folder INTO NAME metric VALUE value)
+UNION ALL SELECT source_folder, source_folder, 'image', metric, round(value, 6) FROM (UNPIVOT INCLUDE NULLS im ON * EXCLUDE source_folder INTO NAME metric VALUE value)"""))
+def _(spark, sf):
+    from registry.q_quality import image_predictions
+
+    out = sinks.prediction_summary(s.cells(spark, sf), image_predictions(spark, sf), 0.3)
+    return out.withColumn("value", nround("value", 6))
