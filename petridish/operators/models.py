@@ -16,7 +16,6 @@ import pandas as pd
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from petridish.functions.numeric import clip, number
 from petridish.functions.text import score_name
@@ -613,56 +612,107 @@ class _Moments:
     y_median: float
 
 
-def training_moments(rows: DataFrame, features: Sequence[str], target: str) -> dict[str, _Moments]:
-    """Per training set ``task``: medians, scales and sums of products.
+Task = tuple[int, int, int]  # repeat, number of the fold left out, inner fold left out (-1: none)
 
-    Rows are summed where they lie; one small vector per task and partition is shuffled.
+
+def _added(parts: DataFrame, key: str, schema: str) -> DataFrame:
+    """Element-wise sums of ``s`` per key, in two rounds."""
+
+    def add(group: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({key: group[key].iloc[:1], "s": [np.sum(np.stack(group["s"]), axis=0)]})
+
+    parts = parts.withColumn("_branch", F.pmod(F.spark_partition_id(), F.lit(64)))
+    near = parts.groupBy(key, "_branch").applyInPandas(lambda g: add(g), schema)
+    return near.groupBy(key).applyInPandas(add, schema)
+
+
+def _task_medians(rows: DataFrame, wanted: Mapping[str, Sequence[Task]]) -> dict[tuple[str, Task], float]:
+    """Median of a column over the rows of each training set, without copying a row per set."""
+    inner = lambda i: F.get("_inner", i)
+    member = {
+        t: (F.col("repeat") == t[0]) & (inner(t[1]) >= 0) & (inner(t[1]) != t[2])
+        for t in dict.fromkeys(t for tasks in wanted.values() for t in tasks)
+    }
+    work = [(c, t) for c, tasks in wanted.items() for t in tasks]
+    found: dict[tuple[str, Task], float] = {}
+    for at in range(0, len(work), 200):
+        part = {f"m{i}": (c, t) for i, (c, t) in enumerate(work[at : at + 200])}
+        columns = [F.when(member[t], F.col(f"`{c}`")).alias(n) for n, (c, t) in part.items()]
+        row = summarise(rows.select(*columns), [], {}, {n: (n, 0.5) for n in part}).first()
+        found.update({ct: 0.0 if row[n] is None else float(row[n]) for n, ct in part.items()})
+    return found
+
+
+def training_moments(rows: DataFrame, features: Sequence[str], target: str, sets: Mapping[tuple[int, int], int]) -> dict[Task, _Moments]:
+    """Medians, scales and sums of products of every training set.
+
+    ``rows`` has repeat and ``_inner``: for each fold the inner fold of the row, -1 where the row is
+    held out. ``sets`` gives the number of inner folds. Every row is read once; sums are kept per
+    (repeat, fold, inner fold), and a training set is the total without its held-out part. Nulls are
+    summed as indicators, so a set's medians are put in afterwards.
     """
     features = list(features)
     p = len(features)
-    med = summarise(
-        rows, ["task"], {}, {**{f"_{i}": (f, 0.5) for i, f in enumerate(features)}, "_y": (target, 0.5)}
-    ).collect()
-    medians = {
-        r["task"]: np.array([0.0 if r[f"_{i}"] is None else r[f"_{i}"] for i in range(p)]) for r in med
-    }
-    y_medians = {r["task"]: float(r["_y"]) for r in med}
+    known = rows.agg(
+        F.count(F.lit(1)).alias("n"),
+        *[F.count(f"`{f}`").alias(f"c{i}") for i, f in enumerate(features)],
+        *[F.avg(f"`{f}`").alias(f"a{i}") for i, f in enumerate([*features, target])],
+    ).first()
+    centre = np.array([known[f"a{i}"] or 0.0 for i in range(p + 1)])
+    holes = [i for i in range(p) if known[f"c{i}"] < known["n"]]
+    q = p + len(holes) + 2
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
-            for task, part in batch.groupby("task"):
-                x = part[features].to_numpy(dtype="float64")
-                # centred on the medians, which keeps the sums of squares accurate
-                x = np.where(np.isnan(x), 0.0, x - medians[task])
-                z = np.column_stack([np.ones(len(x)), x, part[target].to_numpy(dtype="float64") - y_medians[task]])
-                sums[task] = sums.get(task, 0.0) + z.T @ z
+            x = batch[[*features, target]].to_numpy(dtype="float64") - centre
+            empty = np.isnan(x[:, holes]).astype("float64")
+            z = np.column_stack([np.ones(len(x)), np.nan_to_num(x[:, :p]), empty, x[:, p]])
+            inner, repeat = np.stack(batch["_inner"].to_numpy()), batch["repeat"].to_numpy()
+            for (r, f), g in sets.items():
+                for k in range(g):
+                    own = z[(repeat == r) & (inner[:, f] == k)]
+                    if len(own):
+                        name = f"{r}|{f}|{k}"
+                        sums[name] = sums.get(name, 0.0) + own.T @ own
         yield pd.DataFrame({"task": list(sums), "s": [m.ravel() for m in sums.values()]})
 
-    def add(group: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"task": [group["task"].iloc[0]], "s": [np.sum(np.stack(group["s"]), axis=0)]})
-
-    schema = T.StructType(
-        [T.StructField("task", T.StringType()), T.StructField("s", T.ArrayType(T.DoubleType()))]
+    schema = "task string, s array<double>"
+    parts = rows.select("repeat", "_inner", *[f"`{f}`" for f in features], target).mapInPandas(partial, schema)
+    blocks = {r["task"]: np.array(r["s"]).reshape(q, q) for r in _added(parts, "task", schema).collect()}
+    tasks = [(r, f, k) for (r, f), g in sets.items() for k in range(-1, g)]
+    medians = _task_medians(
+        rows, {target: [t for t in tasks if t[2] == -1], **{features[i]: tasks for i in holes}}
     )
-    parts = rows.select("task", *features, target).mapInPandas(partial, schema)
     out = {}
-    for r in parts.groupBy("task").applyInPandas(add, schema).collect():
-        m = np.array(r["s"]).reshape(p + 2, p + 2)
+    for r, f, k in tasks:
+        own = [blocks.get(f"{r}|{f}|{i}", np.zeros((q, q))) for i in range(sets[r, f])]
+        total = np.sum(own, axis=0) - (own[k] if k >= 0 else 0.0)
+        # imputed columns: a null moves from the centre to the median
+        turn = np.zeros((p + 2, q))
+        turn[: p + 1, : p + 1] = np.eye(p + 1)
+        turn[p + 1, q - 1] = 1.0
+        median = centre[:p].copy()
+        for j, i in enumerate(holes):
+            median[i] = medians[features[i], (r, f, k)]
+            turn[1 + i, p + 1 + j] = median[i] - centre[i]
+        m = turn @ total @ turn.T
         n = m[0, 0]
+        if n < 0.5:
+            continue
         mean = m[0, 1:] / n
         centred = m[1:, 1:] - n * np.outer(mean, mean)
         std = np.sqrt(np.maximum(np.diag(centred)[:p] / n, 0.0))
         std[std < 1e-12] = 1.0
-        out[r["task"]] = _Moments(
+        out[r, f, k] = _Moments(
             n,
-            medians[r["task"]],
-            medians[r["task"]] + mean[:p],
+            median,
+            centre[:p] + mean[:p],
             std,
             centred[:p, :p] / np.outer(std, std),
             centred[:p, p] / std,
-            float(mean[p]) + y_medians[r["task"]],
-            y_medians[r["task"]],
+            float(mean[p] + centre[p]),
+            medians.get((target, (r, f, -1)), 0.0),
         )
     return out
 
@@ -697,37 +747,36 @@ def cross_validate(
     )
     folds = base.select("repeat", "seed", "fold").distinct()
     if fold_names is not None:
-        names = F.explode(F.array(*[F.lit(n) for n in fold_names]))
-        folds = folds.select("repeat", "seed").distinct().withColumn("fold", names)
-    # training rows of a fold: all images of the other folds (one copy per fold)
-    train = (
-        base.withColumnRenamed("fold", "_own")
+        listed = F.explode(F.array(*[F.lit(n) for n in fold_names]))
+        folds = folds.select("repeat", "seed").distinct().withColumn("fold", listed)
+    # keys only: the inner fold of an image in the training set of each other fold
+    members = (
+        base.select("image_key", "condition", "repeat", "seed", F.col("fold").alias("_own"))
         .join(folds, ["repeat", "seed"])
         .filter("_own <> fold")
     )
     ranked = rank_within(
-        train.withColumn("_draw", draw("image_key", F.concat_ws("/", "seed", "fold"))),
+        members.withColumn("_draw", draw("image_key", F.concat_ws("/", "seed", "fold"))),
         ["repeat", "fold", "condition"],
         ["_draw", "image_key"],
         "_r",
     )
     sizes = ranked.groupBy("repeat", "fold", "condition").agg(F.max("_r").alias("_c"))
-    inner = sizes.groupBy("repeat", "fold").agg(
-        F.least(F.lit(int(grid["inner_splits"])), F.min("_c")).alias("_g")
+    inner = materialize(
+        sizes.groupBy("repeat", "fold").agg(F.least(F.lit(int(grid["inner_splits"])), F.min("_c")).cast("int").alias("_g"))
     )
-    ranked = materialize(
+    counts = {(r["repeat"], r["fold"]): r["_g"] for r in inner.collect()}
+    names = sorted({f for _, f in counts} | {r[0] for r in folds.select("fold").distinct().collect()})
+    number = {f: i for i, f in enumerate(names)}
+    sets = {(r, number[f]): g for (r, f), g in counts.items()}
+    placed = (
         ranked.join(inner, ["repeat", "fold"])
-        .withColumn("inner", F.pmod(F.col("_r") - 1, F.col("_g")).cast("int"))
-        .drop("_r", "_draw", "_own")
-    )
-    task = F.concat_ws("|", F.col("repeat").cast("string"), "fold")
-    member = F.explode(F.sequence(F.lit(-1), F.col("_g").cast("int") - 1))
-    sets = (
-        ranked.withColumn("_set", member)
-        .filter("_set = -1 or _set <> inner")
-        .withColumn("task", F.concat_ws("|", task, F.col("_set").cast("string")))
+        .groupBy("repeat", "image_key")
+        .agg(F.map_from_entries(F.collect_list(F.struct("fold", F.pmod(F.col("_r") - 1, F.col("_g")).cast("int")))).alias("_in"))
     )
-    moments = training_moments(sets, features, target)
+    place = F.array(*[F.coalesce(F.try_element_at("_in", F.lit(f)), F.lit(-1)) for f in names])
+    rows = materialize(base.join(placed, ["repeat", "image_key"], "left").withColumn("_inner", place).drop("_in"))
+    moments = training_moments(rows, features, target, sets)
     index = {f: i for i, f in enumerate(features)}
     columns = {m: [index[f] for f in _model_features(m, morphology)] for m in STUDY_MODELS}
     grids = {m: _grid(m, grid) for m in STUDY_MODELS}
@@ -744,54 +793,49 @@ def cross_validate(
     candidates = {
         t: np.column_stack([weights(mo, m, g) for m in tuned for g in grids[m]])
         for t, mo in moments.items()
-        if not t.endswith("|-1")
+        if t[2] >= 0
     }
 
     def errors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums: dict[str, np.ndarray] = {}
+        sums: dict[Task, np.ndarray] = {}
         for batch in batches:
-            for t, part in batch.groupby("task"):
-                mo = moments[t]
-                y = part[target].to_numpy(dtype="float64")
-                predicted = _design(part, features, mo) @ candidates[t] + mo.y_mean
-                e = np.abs(predicted - y[:, None]).sum(axis=0)
-                sums[t] = sums.get(t, 0.0) + np.append(e, len(y))
-        yield pd.DataFrame({"task": list(sums), "s": list(sums.values())})
-
-    schema = T.StructType(
-        [T.StructField("task", T.StringType()), T.StructField("s", T.ArrayType(T.DoubleType()))]
-    )
-    held = ranked.withColumn("task", F.concat_ws("|", task, F.col("inner").cast("string")))
-    partials = held.select("task", *features, target).mapInPandas(errors, schema)
-    position = F.posexplode("s").alias("i", "v")
-    summed = partials.select("task", position).groupBy("task", "i").agg(F.sum("v").alias("v")).collect()
-    table: dict[str, dict[int, float]] = {}
-    for r in summed:
-        table.setdefault(r["task"], {})[r["i"]] = r["v"]
+            inner, repeat = np.stack(batch["_inner"].to_numpy()), batch["repeat"].to_numpy()
+            for (r, f, k), weight in candidates.items():
+                part = batch[(repeat == r) & (inner[:, f] == k)]
+                if len(part):
+                    mo = moments[r, f, k]
+                    y = part[target].to_numpy(dtype="float64")
+                    e = np.abs(_design(part, features, mo) @ weight + mo.y_mean - y[:, None]).sum(axis=0)
+                    sums[r, f, k] = sums.get((r, f, k), 0.0) + np.append(e, len(y))
+        yield pd.DataFrame({"task": ["|".join(map(str, t)) for t in sums], "s": list(sums.values())})
+
+    schema = "task string, s array<double>"
+    partials = rows.select("repeat", "_inner", *[f"`{f}`" for f in features], target).mapInPandas(errors, schema)
+    table = {tuple(map(int, r["task"].split("|"))): np.array(r["s"]) for r in _added(partials, "task", schema).collect()}
     count = sum(len(grids[m]) for m in tuned)
-    by_fold: dict[str, list[np.ndarray]] = {}
-    for t, sums in table.items():
-        by_fold.setdefault(t.rsplit("|", 1)[0], []).append(
-            np.array([sums[i] for i in range(count)]) / sums[count]
-        )
+    by_fold: dict[tuple[int, int], list[np.ndarray]] = {}
+    for t, sums in sorted(table.items()):
+        by_fold.setdefault(t[:2], []).append(sums[:count] / sums[count])
     final: dict[str, dict[str, tuple[np.ndarray, dict]]] = {}
-    for f, maes in by_fold.items():
+    whole: dict[str, _Moments] = {}
+    for (r, f), maes in by_fold.items():
         mean = np.mean(maes, axis=0)
-        mo = moments[f"{f}|-1"]
-        start = 0
-        final[f] = {"dummy_median": (np.zeros(len(features)), {})}
+        name, mo = f"{r}|{names[f]}", moments[r, f, -1]
+        start, whole[name] = 0, mo
+        final[name] = {"dummy_median": (np.zeros(len(features)), {})}
         for m in tuned:
             own = mean[start : start + len(grids[m])]
             best = grids[m][int(own.argmin())]
-            final[f][m] = (weights(mo, m, best), best)
+            final[name][m] = (weights(mo, m, best), best)
             start += len(grids[m])
+    task = F.concat_ws("|", F.col("repeat").cast("string"), "fold")
 
     def predict(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for t, part in batch.groupby("task"):
                 if t not in final:
                     continue
-                mo = moments[f"{t}|-1"]
+                mo = whole[t]
                 x = _design(part, features, mo)
                 for m in STUDY_MODELS:
                     w, params = final[t][m]

@@ -1,5 +1,7 @@
 """Dose curves, cross-validation and model contracts on small fixtures."""
 
+import hashlib
+import json
 import math
 
 import numpy as np
@@ -80,6 +82,70 @@ def test_one_prediction_per_image_and_model(spark):
     assert math.isclose(one.predicted_IDO_score, y.mean() + own @ w, rel_tol=1e-9)
 
 
+def test_cross_validation_as_plain(spark):
+    """Choice of parameters and predictions of every fold against nested loops over arrays."""
+    rng = np.random.default_rng(5)
+    features = [*models.DOSE, "a__median", "b__iqr"]
+    data = []
+    for i in range(45):
+        ifn, tnf = float(i % 3), float(i % 2)
+        a, b = rng.normal(), None if i % 7 == 0 else float(rng.normal() * 3 + 50)
+        data.append((f"img{i:02d}", f"c{i % 4}", ifn, tnf, float(a), b, float(2 * a + 0.1 * (b or 40) + ifn + rng.normal())))
+    frame = spark.createDataFrame(data, "image_key string, condition string, IFN_dose double, TNF_dose double, a__median double, b__iqr double, IDO_score double")
+    outer = splits.stratified_kfold(frame, 3, (42, 7))
+    got, coefficients = models.cross_validate(outer, ["a__median", "b__iqr"], "v", GRID)
+    rows = {(r.repeat, r.image_key): r for r in outer.collect()}
+    table = {r[0]: [r[2], r[3], r[2] * r[3], r[4], np.nan if r[5] is None else r[5]] for r in data}
+    target, condition = {r[0]: r[6] for r in data}, {r[0]: r[1] for r in data}
+    pick = {"dose_ridge": [0, 1, 2], "morphology_ridge": [3, 4], "morphology_elasticnet": [3, 4], "dose_plus_morphology_ridge": [0, 1, 2, 3, 4]}
+    grids = {m: models._grid(m, {**models.STUDY_GRID, **GRID}) for m in pick}
+
+    def fit(keys, columns, params):
+        x = np.array([table[k] for k in keys])[:, columns]
+        median = np.nanmedian(x, axis=0)
+        x = np.where(np.isnan(x), median, x)
+        mean, std = x.mean(axis=0), x.std(axis=0)
+        std[std < 1e-12] = 1.0
+        z, y = (x - mean) / std, np.array([target[k] for k in keys])
+        w = models.solve_linear(z.T @ z, z.T @ (y - y.mean()), len(y), params)
+
+        def predict(k):
+            v = np.array(table[k])[columns]
+            return float((np.where(np.isnan(v), median, v) - mean) / std @ w + y.mean())
+
+        return predict
+
+    seen = 0
+    found = {(r.repeat, r.model, r.image_key): r for r in got.collect()}
+    for repeat, seed in ((0, 42), (1, 7)):
+        for fold in (1, 2, 3):
+            train = [k for k in table if rows[repeat, k].fold != fold]
+            groups = {}
+            for k in sorted(train, key=lambda k: (hashlib.md5(f"{k}#{seed}/{fold}".encode()).hexdigest(), k)):
+                groups.setdefault(condition[k], []).append(k)
+            g = min(GRID["inner_splits"], min(map(len, groups.values())))
+            inner = {k: i % g for own in groups.values() for i, k in enumerate(own)}
+            for m, columns in pick.items():
+                errors = []
+                for params in grids[m]:
+                    per = []
+                    for j in range(g):
+                        predict = fit([k for k in train if inner[k] != j], columns, params)
+                        per.append(np.mean([abs(predict(k) - target[k]) for k in train if inner[k] == j]))
+                    errors.append(np.mean(per))
+                best = grids[m][int(np.argmin(errors))]
+                predict = fit(train, columns, best)
+                for k in table:
+                    if rows[repeat, k].fold == fold:
+                        r = found[repeat, m, k]
+                        assert json.loads(r.best_params) == best
+                        assert math.isclose(r.predicted_IDO_score, predict(k), rel_tol=1e-9, abs_tol=1e-9)
+                        seen += 1
+            middle = np.median([target[k] for k in train])
+            assert all(math.isclose(found[repeat, "dummy_median", k].predicted_IDO_score, middle) for k in table if rows[repeat, k].fold == fold)
+    assert seen == 2 * 45 * 4 and len(found) == 2 * 45 * 5
+
+
 def test_leave_one_condition_out_and_final(spark):
     images = cv_images(spark)
     loco = splits.leave_one_condition_out(images).withColumns({"repeat": F.lit(0), "seed": F.lit(42)})
