@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from petridish.functions import polygons as poly
 from petridish.functions.numeric import compute_once, number, sides
 from petridish.functions.text import cell_index, file_stem, last_number, natural_sort_key
+from petridish.operators.assignment import best_assignment, tile_candidates
 from petridish.operators.engines import greedy_matching
 from petridish.operators.scale import rank_within, summarise
 from petridish.session import materialize
@@ -483,26 +484,56 @@ def score_mask_pairs(
     )
 
 
+def nucleus_candidates(
+    label_pixels: DataFrame, tile: float, keys: Sequence[str] = ("dataset",), **index
+) -> DataFrame:
+    """Image pairs whose cell centres and nucleus centres lie in similar tiles, with the given names."""
+    keys = list(keys)
+
+    def centres(region: str, name: str) -> DataFrame:
+        found = label_centres(label_pixels.filter(F.col("region") == region), [*keys, "image_id"])
+        return found.select(*keys, F.col("image_id").alias(name), F.col("cx").alias("x"), F.col("cy").alias("y"))
+
+    return tile_candidates(centres("cyto", "row_image"), centres("nuc", "col_image"), keys, tile, **index)
+
+
+def mask_candidates(
+    label_pixels: DataFrame, mask: DataFrame, tile: float, keys: Sequence[str] = ("dataset",), **index
+) -> DataFrame:
+    """Image pairs whose nucleus centres and lit mask pixels lie in similar tiles, with the given names."""
+    keys = list(keys)
+    nuclei = label_centres(label_pixels.filter("region = 'nuc'"), [*keys, "image_id"])
+    nuclei = nuclei.select(*keys, F.col("image_id").alias("row_image"), F.col("cx").alias("x"), F.col("cy").alias("y"))
+    lit = mask.select(*keys, F.col("image_id").alias("col_image"), "x", "y")
+    return tile_candidates(nuclei, lit, keys, tile, **index)
+
+
 def remap_batch(
     scores: DataFrame,
     keys: Sequence[str] = ("dataset",),
     rule: str = "score",
     min_gain: float = 0.05,
     count: str = "positive",
+    method: str = "best",
 ) -> DataFrame:
     """Accept a shifted pairing of a whole dataset when it clearly beats the given names.
 
-    ``scores(keys, row_image, col_image, score[, count])``. Pairs are taken greedily by
-    falling score, ties by row and column. ``rule="score"`` needs a total score above the
+    ``scores(keys, row_image, col_image, score[, count])``. The pairs have the largest total score
+    (``method="best"``), or are taken greedily by falling score, ties by row and column.
+    ``rule="score"`` needs a total score above the
     same-name total by ``max(1, min_gain * |total|)``; ``rule="count"`` needs at least three
     times and ``max(20, 2 * rows)`` more positives. Returns every row image with its
     ``source`` (its own image when the remap is refused) and the decision.
     """
     keys = list(keys)
-    edges = scores.withColumn("_neg", -F.col("score"))
-    chosen = greedy_matching(
-        edges, keys, "row_image", "col_image", ["_neg", "row_image", "col_image"]
-    )
+    if method == "best":
+        pairs = best_assignment(scores, keys).select(*keys, "row_image", "col_image")
+        chosen = scores.join(pairs, [*keys, "row_image", "col_image"], "left_semi")
+    else:
+        edges = scores.withColumn("_neg", -F.col("score"))
+        chosen = greedy_matching(
+            edges, keys, "row_image", "col_image", ["_neg", "row_image", "col_image"]
+        )
     amount = F.col("score") if rule == "score" else F.col(count).cast("double")
     assigned = chosen.groupBy(*keys).agg(
         F.sum(amount).alias("assigned"),

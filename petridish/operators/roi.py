@@ -8,6 +8,8 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -249,24 +251,78 @@ def boundary_pixels(label_pixels: DataFrame, keys: Sequence[str]) -> DataFrame:
     return marks.filter(F.col("_self") & (F.col("_n") < 5)).select(*keys, "x", "y")
 
 
-def mask_to_outline(label_pixels: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Outline of each object: its boundary pixels ordered by angle around their centre.
+def mask_to_loops(label_pixels: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Closed boundaries of each object: ``loop, hole, points``, in the order along the boundary.
 
-    One object's boundary is one row, as in an outline file.
+    The sides of the boundary pixels that face outwards are linked end to start, which closes each
+    piece's outer boundary and each hole to a loop of its own (pieces that touch by a corner are
+    one). Points are the pixels along the loop, the first one being the first in row order; parts
+    one pixel wide are passed twice. The loops of an object, each a row, are traced in one task.
     """
-    edge = with_group_stats(boundary_pixels(label_pixels, keys), keys, _cx=F.avg("x"), _cy=F.avg("y"))
-    angle = F.atan2(F.col("y") - F.col("_cy"), F.col("x") - F.col("_cx"))
-    far = (F.col("x") - F.col("_cx")) * (F.col("x") - F.col("_cx")) + (F.col("y") - F.col("_cy")) * (
-        F.col("y") - F.col("_cy")
+    keys = list(keys)
+    edge = boundary_pixels(label_pixels, keys)
+    sides = ((0, -1), (1, 0), (0, 1), (-1, 0))
+    inside = label_pixels.select(*keys, "x", "y").distinct()
+    # of every boundary pixel the sides whose neighbour is not of the object
+    steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for i, (dx, dy) in enumerate(sides)])
+    asked = edge.select(*keys, F.col("x").alias("px"), F.col("y").alias("py"), F.explode(steps).alias("_s")).select(
+        *keys, "px", "py", F.col("_s.i").alias("side"), (F.col("px") + F.col("_s.dx")).alias("x"), (F.col("py") + F.col("_s.dy")).alias("y")
     )
-    return edge.groupBy(*keys).agg(
-        F.transform(
-            F.sort_array(F.collect_list(F.struct(angle.alias("a"), far.alias("f"), "x", "y"))),
-            lambda s: F.struct(s.x.alias("x"), s.y.alias("y")),
-        ).alias("points")
+    open_sides = asked.join(inside, [*keys, "x", "y"], "left_anti").select(*keys, "px", "py", "side")
+    first = ", ".join(f"`{k}` {open_sides.schema[k].dataType.simpleString()}" for k in keys)
+
+    def trace(part: pd.DataFrame) -> pd.DataFrame:
+        loops = boundary_loops(part["px"].to_numpy(np.int64), part["py"].to_numpy(np.int64), part["side"].to_numpy())
+        same = {k: [part[k].iloc[0]] * len(loops) for k in keys}
+        return pd.DataFrame({
+            **same,
+            "loop": range(len(loops)),
+            "hole": [hole for hole, _ in loops],
+            "points": [[{"x": int(a), "y": int(b)} for a, b in line] for _, line in loops],
+        })
+
+    return open_sides.groupBy(*keys).applyInPandas(
+        trace, f"{first}, loop int, hole boolean, points array<struct<x: int, y: int>>"
     )
 
 
+def boundary_loops(x: np.ndarray, y: np.ndarray, side: np.ndarray) -> list[tuple[bool, list[tuple[int, int]]]]:
+    """(is a hole, pixels in order) of each loop of open pixel sides; 0 to 3: up, right, down, left."""
+    # clockwise on screen: the corner where a side starts, and where it ends
+    corner = [((0, 0), (1, 0)), ((1, 0), (1, 1)), ((1, 1), (0, 1)), ((0, 1), (0, 0))]
+    order = np.lexsort((side, x, y))
+    x, y, side = x[order].tolist(), y[order].tolist(), side[order].tolist()
+    starts: dict[tuple[int, int], list[int]] = {}
+    for i, (a, b, s) in enumerate(zip(x, y, side)):
+        starts.setdefault((a + corner[s][0][0], b + corner[s][0][1]), []).append(i)
+    used, loops = [False] * len(x), []
+    for first in range(len(x)):
+        if used[first]:
+            continue
+        at, line, turn = first, [], 0
+        while not used[at]:
+            used[at] = True
+            pixel = (x[at], y[at])
+            if not line or line[-1] != pixel:
+                line.append(pixel)
+            (a0, b0), (a1, b1) = corner[side[at]]
+            turn += (pixel[0] + a0) * (pixel[1] + b1) - (pixel[0] + a1) * (pixel[1] + b0)
+            onward = starts[pixel[0] + a1, pixel[1] + b1]
+            # where two pixels touch by a corner the loop crosses over to the other one
+            at = onward[0] if len(onward) == 1 else next(i for i in onward if (x[i], y[i]) != pixel)
+        if len(line) > 1 and line[-1] == line[0]:
+            line.pop()
+        loops.append((turn < 0, line))
+    return loops
+
+
+def mask_to_outline(label_pixels: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Outline of each object: its longest outer boundary, points in order along it."""
+    loops = mask_to_loops(label_pixels, keys).filter("not hole")
+    longest = F.max(F.struct(F.size("points").alias("n"), (-F.col("loop")).alias("l"), "points")).alias("_m")
+    return loops.groupBy(*keys).agg(longest).select(*keys, F.col("_m.points").alias("points"))
+
+
 def region_algebra(pixels: DataFrame, label_pixels: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Every image pixel with ``in_cell``, ``in_nucleus``, ``in_cytoplasm``, ``background``.
 

@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 
 from petridish.functions.numeric import compute_once, sides
 from petridish.operators.engines import connected_components
+from petridish.operators.roi import distance_to_outside
 from petridish.operators.scale import with_group_stats
+from petridish.session import written
 
 # --- morphology -------------------------------------------------------------------------
 
@@ -355,34 +357,172 @@ def rolling_ball(
 ROW_ID = 1 << 20  # component ids are y * ROW_ID + x of the first pixel
 
 
+#: Side of the tiles that are labelled in one task each.
+TILE = 128
+
+
 def label_components(mask: DataFrame, keys: Sequence[str], connectivity: int = 8) -> DataFrame:
     """Mask pixels with ``component``, the id of the component's first pixel in row order.
 
-    Horizontal runs are joined first, so the component search sees one node per run.
+    Two levels: a task labels a tile of bounded size, and only pairs of labels that touch across
+    tile borders go through the distributed search, so its rounds follow the borders.
     """
     keys = list(keys)
-    line = Window.partitionBy(*keys, "y").orderBy("x")
-    px = mask.select(*keys, "x", "y").withColumn("_i", F.col("x") - F.row_number().over(line))
-    px = px.withColumn(
-        "run",
-        F.col("y").cast("long") * ROW_ID
-        + F.min("x").over(Window.partitionBy(*keys, "y", "_i")),
-    ).drop("_i")
-    steps = [0] if connectivity == 4 else [-1, 0, 1]
-    above = px.select(
-        *keys,
-        (F.col("y") + 1).alias("y"),
-        F.explode(F.array(*[F.col("x") + d for d in steps])).alias("x"),
-        F.col("run").alias("a"),
+    steps = [(1, 0), (0, 1)] if connectivity == 4 else [(1, 0), (0, 1), (1, 1), (-1, 1)]
+    schema = mask.select(*keys, F.col("x").cast("int"), F.col("y").cast("int"), F.lit(0).cast("long").alias("_first")).schema
+    tile = lambda c: F.floor(F.col(c) / TILE)
+
+    def label(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(["y", "x"])
+        x, y = part["x"].to_numpy(np.int64), part["y"].to_numpy(np.int64)
+        ids = y * ROW_ID + x
+        links = [(np.searchsorted(ids, ids + dy * ROW_ID + dx), dx, dy) for dx, dy in steps]
+        pairs = [
+            (np.flatnonzero(hit), at[hit])
+            for at, dx, dy in links
+            for hit in [(at < ids.size) & (ids[np.minimum(at, ids.size - 1)] == ids + dy * ROW_ID + dx)]
+        ]
+        roots = least_roots(*(np.concatenate(side) for side in zip(*pairs)), ids.size)
+        return part.assign(_first=ids[roots])[[*keys, "x", "y", "_first"]]
+
+    px = mask.select(*keys, F.col("x").cast("int").alias("x"), F.col("y").cast("int").alias("y")).distinct()
+    labelled = written(
+        px.withColumn("_tx", tile("x")).withColumn("_ty", tile("y")).groupBy(*keys, "_tx", "_ty").applyInPandas(label, schema)
     )
-    edges = (
-        above.join(px.withColumnRenamed("run", "b"), [*keys, "x", "y"])
+    edge = F.lit(TILE - 1)
+    at_border = lambda c: F.pmod(F.col(c), F.lit(TILE)).isin(0, TILE - 1)
+    border = labelled.filter(at_border("x") | at_border("y"))
+    moves = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in steps])
+    near = border.select(*keys, "x", "y", F.col("_first").alias("a"), F.explode(moves).alias("_m")).select(
+        *keys,
+        (F.col("x") + F.col("_m.dx")).alias("x"),
+        (F.col("y") + F.col("_m.dy")).alias("y"),
+        "a",
+        # only steps into another tile
+        ((F.pmod("x", F.lit(TILE)) == edge) & (F.col("_m.dx") == 1)
+         | (F.pmod("x", F.lit(TILE)) == 0) & (F.col("_m.dx") == -1)
+         | (F.pmod("y", F.lit(TILE)) == edge) & (F.col("_m.dy") == 1)).alias("_out"),
+    )
+    links = (
+        near.filter("_out")
+        .drop("_out")
+        .join(border.select(*keys, "x", "y", F.col("_first").alias("b")), [*keys, "x", "y"])
         .select(*keys, "a", "b")
         .distinct()
     )
-    runs = px.select(*keys, "run").distinct()
-    labelled = connected_components(runs, edges, keys, "run", "component")
-    return px.join(labelled, [*keys, "run"]).drop("run")
+    roots = border.select(*keys, "_first").distinct()
+    joined = connected_components(roots, links, keys, "_first", "component")
+    return (
+        labelled.join(joined, [*keys, "_first"], "left")
+        .withColumn("component", F.coalesce("component", "_first"))
+        .select(*keys, "x", "y", "component")
+    )
+
+
+def least_roots(a: np.ndarray, b: np.ndarray, size: int) -> np.ndarray:
+    """The smallest node that is linked with each of ``size`` nodes."""
+    top = np.arange(size)
+    while a.size:
+        a, b = top[a], top[b]
+        a, b = a[a != b], b[a != b]
+        np.minimum.at(top, np.maximum(a, b), np.minimum(a, b))
+        while not np.array_equal(top, top[top]):
+            top = top[top]
+    return top
+
+
+def watershed(heights: DataFrame, markers: DataFrame, keys: Sequence[str], height: str = "v") -> DataFrame:
+    """Pixels with ``component``, the marker whose basin holds them, on the 4-neighbour grid.
+
+    ``markers(keys, x, y, marker)`` are pixels of ``heights(keys, x, y, height)``. The basins are a minimum
+    spanning forest rooted in the markers, an edge being as high as the higher of its pixels; ties go
+    to the first pixels in row order. Boruvka rounds: every tree without a marker takes its
+    lowest edge, and trees that meet are joined, until no such tree has an edge. Pixels that no
+    marker reaches are left out.
+    """
+    keys = list(keys)
+    ident = F.col("y").cast("long") * ROW_ID + F.col("x")
+    px = written(heights.select(*keys, "x", "y", F.col(height).cast("double").alias("_h"), ident.alias("_id")))
+    steps = F.array(F.struct(F.lit(1).alias("dx"), F.lit(0).alias("dy")), F.struct(F.lit(0).alias("dx"), F.lit(1).alias("dy")))
+    moved = px.select(*keys, "_h", "_id", F.explode(steps).alias("_m"), "x", "y").select(
+        *keys, (F.col("x") + F.col("_m.dx")).alias("x"), (F.col("y") + F.col("_m.dy")).alias("y"), F.col("_h").alias("_h2"), F.col("_id").alias("_id2")
+    )
+    near = px.select(*keys, "x", "y", "_h", "_id").join(moved, [*keys, "x", "y"])
+    seeds = markers.select(*keys, ident.alias("_id"), F.col("marker").cast("long").alias("marker"))
+    # pixels of one marker are one tree from the start
+    first = seeds.groupBy(*keys, "marker").agg(F.min("_id").alias("_tree"))
+    own = seeds.join(first, [*keys, "marker"]).select(*keys, "_id", "_tree")
+    trees = written(px.select(*keys, "_id").join(own, [*keys, "_id"], "left").withColumn("_tree", F.coalesce("_tree", "_id")))
+    names = written(first.select(*keys, "_tree", "marker"))
+    known = names.select(*keys, "_tree", F.lit(True).alias("_rooted"))
+    edges = near.select(
+        *keys, F.col("_id").alias("a"), F.col("_id2").alias("b"),
+        F.struct(F.greatest("_h", "_h2").alias("h"), F.col("_id2").alias("p"), F.col("_id").alias("q")).alias("_w"),
+    )
+
+    def ends(frame: DataFrame, of: DataFrame) -> DataFrame:
+        """Edges between different trees, one of them at least without a marker."""
+        for end in ("a", "b"):
+            to = of.withColumnsRenamed({"_from": end, "_to": f"_{end}"})
+            frame = frame.join(to, [*keys, end], "left").withColumn(end, F.coalesce(f"_{end}", end)).drop(f"_{end}")
+        frame = frame.filter("a <> b")
+        for end in ("a", "b"):
+            frame = frame.join(known.withColumnsRenamed({"_tree": end, "_rooted": f"_r{end}"}), [*keys, end], "left")
+        frame = frame.filter("_ra IS NULL OR _rb IS NULL")
+        # of the edges between two trees the lowest is enough
+        low, high = F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
+        return written(frame.groupBy(*keys, low, high).agg(F.min("_w").alias("_w")))
+
+    edges = ends(edges, trees.select(*keys, F.col("_id").alias("_from"), F.col("_tree").alias("_to")))
+    while not edges.isEmpty():
+        both = edges.unionByName(edges.select(*keys, F.col("b").alias("a"), F.col("a").alias("b"), "_w"))
+        free = both.join(known.withColumnRenamed("_tree", "a"), [*keys, "a"], "left_anti")
+        picks = free.groupBy(*keys, "a").agg(F.min(F.struct("_w", "b")).alias("_p")).select(*keys, "a", F.col("_p.b").alias("b"))
+        picks = written(picks)
+        nodes = picks.select(*keys, F.col("a").alias("id")).union(picks.select(*keys, "b")).distinct()
+        groups = connected_components(nodes, picks, keys)
+        # a joined tree is named by its marker's tree, if it has one
+        lead = groups.join(known.withColumnRenamed("_tree", "id"), [*keys, "id"], "left")
+        lead = lead.groupBy(*keys, "component").agg(F.coalesce(F.max(F.when(F.col("_rooted"), F.col("id"))), F.min("id")).alias("_to"))
+        move = written(groups.join(lead, [*keys, "component"]).select(*keys, F.col("id").alias("_from"), "_to"))
+        trees = written(
+            trees.join(move.withColumnRenamed("_from", "_tree"), [*keys, "_tree"], "left").select(
+                *keys, "_id", F.coalesce("_to", "_tree").alias("_tree")
+            )
+        )
+        edges = ends(edges, move)
+    basins = trees.join(names, [*keys, "_tree"]).select(*keys, "_id", F.col("marker").alias("component"))
+    return px.join(basins, [*keys, "_id"]).select(*keys, "x", "y", "component")
+
+
+def split_touching(mask: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Components of a mask, touching particles cut between their centres by a watershed.
+
+    Markers are the 4-connected maxima of the distance to the outside, and the heights are that
+    distance turned over on 256 levels per image. Pixels beyond the image count as outside.
+    """
+    keys = list(keys)
+    depth = written(distance_to_outside(mask.select(*keys, "x", "y").distinct(), keys))
+    peaks = _box_maximum(depth, keys)
+    marked = label_components(peaks, keys, 4).withColumnRenamed("component", "marker")
+    deepest = depth.groupBy(*keys).agg(F.max("distance").alias("_deep"))
+    level = F.floor((F.col("_deep") - F.col("distance")) / F.col("_deep") * 255.0)
+    heights = depth.join(deepest, keys).select(*keys, "x", "y", level.cast("double").alias("v"))
+    return watershed(heights, marked, keys)
+
+
+def _box_maximum(depth: DataFrame, keys: list[str]) -> DataFrame:
+    """Pixels not lower than any of their eight neighbours; lines of a mask have gaps."""
+    around = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx in (-1, 0, 1) for dy in (-1, 0, 1)])
+    seen = depth.select(*keys, "x", "y", "distance", F.explode(around).alias("_m")).select(
+        *keys,
+        (F.col("x") + F.col("_m.dx")).alias("x"),
+        (F.col("y") + F.col("_m.dy")).alias("y"),
+        "distance",
+        F.when((F.col("_m.dx") == 0) & (F.col("_m.dy") == 0), F.col("distance")).alias("_own"),
+    )
+    top = seen.groupBy(*keys, "x", "y").agg(F.max("distance").alias("_top"), F.max("_own").alias("_own"))
+    return top.filter("_own >= _top").select(*keys, "x", "y")
 
 
 def component_stats(labelled: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -28,6 +28,9 @@ DEBRIS = {
     "min_size_px": 5,
     "max_size_fraction_of_median_nucleus_area": 0.08,
     "cell_dilate_px": 3,
+    "subtract_background": False,
+    "rolling_ball_radius": 50.0,
+    "watershed": False,
 }
 
 
@@ -408,6 +411,8 @@ def debris_particles(
 ) -> tuple[DataFrame, DataFrame]:
     """Bright background components of usable size, and the background area per image.
 
+    With ``subtract_background`` the signal above a rolling ball is measured, with ``watershed``
+    touching particles are cut between their centres.
     ``cells`` holds the union of all cell pixels, ``nucleus_area(image, median_nucleus_area)``
     sets the largest particle. Images whose size window is empty have no row.
     """
@@ -419,15 +424,18 @@ def debris_particles(
     limits = nucleus_area.select(
         *image, (F.col("median_nucleus_area") * float(c["max_size_fraction_of_median_nucleus_area"])).alias("_max")
     ).filter(F.col("_max") >= float(c["min_size_px"]))
+    signal = pixels.select(*image, "x", "y", "v")
+    if c["subtract_background"]:
+        signal = st.rolling_ball(signal, image, float(c["rolling_ball_radius"])).select(*image, "x", "y", "v")
     background = materialize(
-        pixels.select(*image, "x", "y", "v")
-        .join(limits.select(*image), image, "left_semi")
+        signal.join(limits.select(*image), image, "left_semi")
         .join(grown, [*image, "x", "y"], "left_anti")
     )
     levels = st.threshold_auto(background, image, c["threshold_method"])
     bright = background.join(levels, image).filter(F.col("v") >= F.col("threshold"))
+    parts = st.split_touching(bright, image) if c["watershed"] else st.label_components(bright, image, 4)
     particles = (
-        st.component_stats(st.label_components(bright, image, 4), image)
+        st.component_stats(parts, image)
         .join(limits, image)
         .filter((F.col("area") >= float(c["min_size_px"])) & (F.col("area") <= F.col("_max")))
         .drop("_max")

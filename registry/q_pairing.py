@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from petridish.operators import pairing
+from petridish.operators.assignment import best_assignment
 from petridish.operators.scale import with_group_stats
 from petridish.sources import tables
 from registry import standins as s
-from registry.rounding import nround, nudged_sql
+from registry.rounding import nround, nudged_sql, rounded
 from registry.q_quality import EDGE_SQL, statuses
 from registry.q_sources import NATURAL
 from registry.standins import table, with_ctes
@@ -297,10 +298,46 @@ SELECT r.dataset, r.row_image, accepted, round(assigned, 1) AS assigned, round(i
 FROM (SELECT DISTINCT dataset, row_image FROM scores) r JOIN dec USING (dataset) LEFT JOIN chosen c USING (dataset, row_image)""")
 def _(spark, sf):
     scores = pairing.score_nucleus_pairs(shift_candidates(spark, sf), s.label_pixels(spark, sf))
-    out = pairing.remap_batch(scores, min_gain=0.02)
+    out = pairing.remap_batch(scores, min_gain=0.02, method="greedy")
     return out.withColumn("assigned", nround("assigned", 1)).withColumn("identity", nround("identity", 1))
 
 
+# the largest total along a chain of images: which of this and the next column are in use
+BEST_SQL = """
+idx AS (SELECT dataset, image_id, row_number() OVER (PARTITION BY dataset ORDER BY image_id) AS i FROM imgs),
+wt AS (SELECT dataset, i, max(score) FILTER (col_image < row_image) AS w0, max(score) FILTER (col_image = row_image) AS w1, max(score) FILTER (col_image > row_image) AS w2
+  FROM scores JOIN idx USING (dataset) WHERE row_image = image_id GROUP BY ALL),
+dp AS (SELECT DISTINCT dataset, CAST(0 AS BIGINT) AS i, false AS a, false AS b, CAST(0 AS DOUBLE) AS v FROM idx
+  UNION ALL SELECT dataset, i, a, b, max(v) FROM (
+    SELECT d.dataset, t.i, CASE k WHEN 1 THEN true ELSE d.b END AS a, k = 2 AS b,
+      d.v + CASE k WHEN 0 THEN coalesce(w0, 0) WHEN 1 THEN coalesce(w1, 0) WHEN 2 THEN coalesce(w2, 0) ELSE 0 END AS v
+    FROM dp d JOIN wt t ON t.dataset = d.dataset AND t.i = d.i + 1 CROSS JOIN (VALUES (0), (1), (2), (3)) m(k)
+    WHERE NOT (k = 0 AND d.a) AND NOT (k = 1 AND d.b)) GROUP BY ALL)"""
+
+
+@query("assignment_total", "WITH RECURSIVE " + ",".join((*MASKS, s.IMAGES_SQL, NUC_SCORE_SQL, BEST_SQL)) + """
+SELECT dataset, round(max(v), 1) AS total FROM dp GROUP BY 1""")
+def _(spark, sf):
+    scores = pairing.score_nucleus_pairs(shift_candidates(spark, sf), s.label_pixels(spark, sf))
+    best = best_assignment(scores, ["dataset"])
+    return best.groupBy("dataset").agg(nround(F.sum("score"), 1).alias("total"))
+
+
+@query("remap_by_tiles")
+def _(spark, sf):
+    """Re-pairing over candidates from the tile index, by the best assignment."""
+    labels = s.label_pixels(spark, sf)
+    scores = pairing.score_nucleus_pairs(pairing.nucleus_candidates(labels, 8.0), labels)
+    return rounded(pairing.remap_batch(scores), 1)
+
+
+@query("ki67_remap_by_tiles")
+def _(spark, sf):
+    labels, mask = s.label_pixels(spark, sf), ki67_mask(spark, sf)
+    scores = pairing.score_mask_pairs(pairing.mask_candidates(labels, mask, 8.0), labels, mask)
+    return rounded(pairing.remap_batch(scores, rule="count"), 1)
+
+
 ROI_SQL = """
 roi AS (SELECT lp.dataset, lp.image_id, region, label, count(*) AS area, avg(v) AS mean, min(v) AS vmin, max(v) AS vmax,
   avg(lp.x) AS cx, avg(lp.y) AS cy FROM lp JOIN px USING (image_id, x, y) GROUP BY ALL)"""

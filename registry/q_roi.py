@@ -231,9 +231,24 @@ o AS (SELECT b.*, row_number() OVER (PARTITION BY image_id, region, label ORDER
   FROM b JOIN c USING (image_id, region, label))
 SELECT image_id, region, label, count(*) AS n, CAST(sum(x) AS BIGINT) AS sx, CAST(sum(y) AS BIGINT) AS sy FROM o GROUP BY ALL"""))
 def _(spark, sf):
+    loops = roi.mask_to_loops(s.label_pixels(spark, sf), ROI)
+    points = loops.select(*ROI, F.explode("points").alias("p")).distinct()
+    return points.groupBy(*ROI).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("p.x").cast("bigint").alias("sx"), F.sum("p.y").cast("bigint").alias("sy")
+    )
+
+
+@query("outline_of_mask", with_ctes(s.GEOMETRY_SQL, s.LABELS_SQL, body="""
+SELECT image_id, region, label, count(*) AS area FROM lp GROUP BY ALL"""))
+def _(spark, sf):
+    """Area of every object from its traced outline: corner formula and border points (Pick's theorem)."""
     out = roi.mask_to_outline(s.label_pixels(spark, sf), ROI)
-    total = lambda e: F.expr(f"aggregate(points, 0L, (a, p) -> a + p.{e})")
-    return out.select(*ROI, F.size("points").cast("bigint").alias("n"), total("x").alias("sx"), total("y").alias("sy"))
+    nexts = F.concat(F.slice("points", 2, F.size("points") - 1), F.slice("points", 1, 1))
+    terms = F.zip_with("points", nexts, lambda a, b: a.x * b.y - b.x * a.y)
+    double = F.abs(F.aggregate(terms, F.lit(0), lambda a, t: a + t))
+    steps = F.zip_with("points", nexts, lambda a, b: F.greatest(F.abs(a.x - b.x), F.abs(a.y - b.y)))
+    border = F.aggregate(steps, F.lit(0), lambda a, t: a + t)
+    return out.select(*ROI, ((double + border) / 2 + 1).cast("bigint").alias("area"))
 
 
 @query("region_algebra", with_ctes(*BASE, body="""
