@@ -476,10 +476,10 @@ def _sheet_images(spark, sf):
     )
 
 
-# the quotient of whole numbers in the stand-in table has six decimals on one engine
+# some stand-in quotients have six decimals on one engine only, so both sides round before the mean
 @query("image_prediction_sheets", with_ctes(s.CELLS_SQL, WIDE_LONG_SQL, IMAGE_SHEETS_SQL, body="""
 , st AS (SELECT source_folder, "Image" AS image_name, feature, avg(w) AS mean, median(w) AS median
-  FROM (SELECT *, CASE feature WHEN 'Eccentricity_nuc' THEN round(value, 6) ELSE value END AS w FROM long) GROUP BY ALL)
+  FROM (SELECT *, round(value, 6) AS w FROM long) GROUP BY ALL)
 SELECT i.source_folder, i.source_folder AS folder, i.image_name, st.feature || '_' || k.stat AS feature, feature_group,
   round(CASE k.stat WHEN 'mean' THEN mean ELSE median END, 6) AS value
 FROM img i JOIN st ON st.source_folder = i.source_folder AND st.image_name = i.image_name CROSS JOIN (VALUES ('mean'), ('median')) k(stat) JOIN (""" + " UNION ALL ".join(
@@ -488,7 +488,8 @@ FROM img i JOIN st ON st.source_folder = i.source_folder AND st.image_name = i.i
 def _(spark, sf):
     from petridish.functions.catalog import feature_groups
 
-    out = sinks.image_prediction_sheets(wide_cells(spark, sf), _sheet_images(spark, sf), feature_groups(WIDE))
+    wide = wide_cells(spark, sf).withColumns({f: nround(F.col(f"`{f}`").cast("double"), 6) for f in WIDE})
+    out = sinks.image_prediction_sheets(wide, _sheet_images(spark, sf), feature_groups(WIDE))
     return out.withColumn("value", nround("value", 6))
 
 
