@@ -36,7 +36,8 @@ def test_total_is_the_best(spark, monkeypatch, matrix):
     monkeypatch.setattr(assignment, "MATRIX", matrix)
     scores = random_scores(3)
     if not matrix:  # the auction takes many rounds
-        scores = {k: scores[k] for k in ("d0", "d2")}
+        monkeypatch.setattr(assignment, "STEP", 0.5)
+        scores = {"d": np.array([[9.0, 8.0], [8.0, 2.0]])}  # the greedy pairs are not the best
     rows = [(d, i, j, float(s[i, j])) for d, s in scores.items() for i in range(s.shape[0]) for j in range(s.shape[1])]
     got = assignment.best_assignment(spark.createDataFrame(rows, SCHEMA), ["dataset"]).collect()
     assert len({(r.dataset, r.row_image) for r in got}) == len({(r.dataset, r.col_image) for r in got}) == len(got)
