@@ -135,14 +135,14 @@ RULE = anchors.Rule(LENGTH, GRAMS, word_units, "u8", "first", earlier_starts, de
 
 
 def remove_repeats(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
-    """(doc_id, n_words, spans, kept[, row]): each whole text without words that come again.
+    """(doc_id, n_words, spans, kept[, text, row]): each whole text without words that come again.
 
     A word goes if a window of LENGTH words that covers it also starts in a document with a smaller
     doc_id; windows are judged on the input and never cross documents. `spans` are the maximal
     removed runs of words, `kept` the words left, joined by one space. Null texts have no words.
     Rows with one doc_id are never earlier than each other; a row without a doc_id keeps all its
     words, and no document is later than it. An empty table gives an empty result. Only doc_id and
-    text are read, and the columns named in `carry`, which come back in `row`.
+    text are read, and the columns named in `carry`, which come back in `row`, with the text.
     """
     spans = anchors.repeated(docs, RULE, F.col("doc_id"))
     joined = anchors.with_spans(docs, spans, carry or [])
@@ -172,14 +172,14 @@ def remove_repeats(docs: DataFrame, carry: list[str] | None = None) -> DataFrame
             ]
             names = ["doc_id", "n_words", "spans", "kept"]
             if carry:
-                columns.append(batch.column("row"))
-                names.append("row")
+                columns += [batch.column("text"), batch.column("row")]
+                names += ["text", "row"]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, n_words bigint, spans array<{anchors.SPAN}>, kept string"
     if carry:
-        schema += f", row {joined.schema['row'].dataType.simpleString()}"
+        schema += f", text string, row {joined.schema['row'].dataType.simpleString()}"
     return joined.mapInArrow(run, schema)
 
 

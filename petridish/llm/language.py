@@ -13,28 +13,41 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from petridish.llm import shared
 from petridish.llm.textblocks import blocks
 
-#: The model is fitted on a bounded sample: expected labelled documents of each language, at most
-#: so many languages (the most frequent), words and n-grams. Its size is bounded by these.
-SAMPLE, LANGUAGES, WORDS, GRAMS, LONGEST = 4000, 100, 40_000, 40_000, 5
+#: The model is fitted on a bounded sample: expected labelled documents of each language, the most
+#: frequent words of each, and its most frequent n-grams of each length, up to the longest.
+SAMPLE, WORDS, GRAMS, LONGEST = 4000, 10_000, 10_000, 5
+#: Numbers in a table of the model; with many languages each of them has fewer words and n-grams.
+CELLS = 4_000_000
 #: Words whose scores a worker remembers; it starts anew beyond that.
 MEMORY = 300_000
 UNKNOWN = "und"
 WORD = re.compile(r"[^\W\d_]+")
 
 
+class Table(dict):
+    """Place of each key in `shares`, which has its log frequency in each language."""
+
+    def __init__(self, keys: list[str], shares: np.ndarray):
+        super().__init__(zip(keys, range(len(keys))))
+        self.shares = shares
+
+    def __reduce__(self):
+        return Table, (list(self), self.shares)
+
+
 @dataclass(frozen=True)
 class Model:
     """Languages in order, and log frequencies by language of words and of n-grams."""
 
     languages: list[str]
-    words: dict[str, np.ndarray]
-    grams: list[dict[str, np.ndarray]]
+    words: Table
+    grams: list[Table]
 
 
 class _Scores(dict):
@@ -56,54 +69,49 @@ class _Scores(dict):
 def word_score(model: Model, word: str) -> np.ndarray:
     known = model.words.get(word)
     if known is not None:
-        return known
+        return model.words.shares[known]
     padded = f"<{word}>"
     for n in range(len(model.grams), 0, -1):
         have = model.grams[n - 1]
         found = [have[g] for i in range(len(padded) - n + 1) if (g := padded[i : i + n]) in have]
         if found:
-            return np.mean(found, axis=0)
+            return have.shares[found].mean(axis=0)
     return np.zeros(len(model.languages))
 
 
-def _log_frequencies(rows, languages: list[str]) -> dict[str, np.ndarray]:
+def _log_frequencies(rows, languages: list[str]) -> Table:
     at = {x: i for i, x in enumerate(languages)}
     counts = np.zeros((len(rows), len(languages)))
     for i, row in enumerate(rows):
         for lang, n in row["by"].items():
             counts[i, at[lang]] = n
     share = np.log((counts + 0.5) / (counts.sum(axis=0) + 0.5 * (len(rows) + 1)))
-    return {row["key"]: share[i] for i, row in enumerate(rows)}
+    return Table([row["key"] for row in rows], share)
 
 
 def _frequent(counts: DataFrame, limit: int) -> list:
-    """The most frequent keys with their counts by language; `limit` rows go to the driver."""
-    return (
-        counts.groupBy("key")
-        .agg(
-            F.sum("n").alias("all"),
-            F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"),
-        )
-        .orderBy(F.col("all").desc(), "key")
-        .limit(limit)
-        .collect()
-    )
+    """Counts by language of the most frequent keys of each language, `limit` of each at most."""
+    order = Window.partitionBy("lang").orderBy(F.col("n").desc(), "key")
+    own = counts.withColumn("at", F.row_number().over(order)).filter(F.col("at") <= limit)
+    by = F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by")
+    return counts.join(own.select("key").distinct(), "key").groupBy("key").agg(by).orderBy("key").collect()
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
     """Word and n-gram frequencies by language of a sample of rows with a text and a `lang`.
 
-    Each language gives about `sample` documents (all if it has fewer), picked by a hash of doc_id.
+    Each language gives about `sample` documents (all if it has fewer), picked by a hash of doc_id, and
+    every language is learned, each with as many words and n-grams.
     """
     labelled = docs.filter("lang is not null and text is not null and doc_id is not null")
-    sizes = labelled.groupBy("lang").count().orderBy(F.col("count").desc(), "lang")
-    sizes = {r["lang"]: r["count"] for r in sizes.limit(LANGUAGES).collect()}
+    sizes = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
     languages = sorted(sizes)
     if not languages:
-        return Model([], {}, [{} for _ in range(LONGEST)])
+        return Model([], Table([], np.zeros((0, 0))), [])
+    share = max(1, CELLS // len(languages) ** 2)
     rate = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, sample / n))])
     spot = F.pmod(F.xxhash64("doc_id", F.lit(29)), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    taken = labelled.filter(F.col("lang").isin(languages) & (spot < rate[F.col("lang")]))
+    taken = labelled.filter(spot < rate[F.col("lang")])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches):
@@ -131,15 +139,15 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
         )
         cut = words.select("lang", "n", F.explode(pieces).alias("key"))
         cut = cut.groupBy("lang", "key").agg(F.sum("n").alias("n"))
-        grams.append(_log_frequencies(_frequent(cut, GRAMS), languages))
-    return Model(languages, _log_frequencies(_frequent(words, WORDS), languages), grams)
+        grams.append(_log_frequencies(_frequent(cut, min(GRAMS, share)), languages))
+    return Model(languages, _log_frequencies(_frequent(words, min(WORDS, share)), languages), grams)
 
 
 def predict(docs: DataFrame, model: Model, carry: list[str] | None = None) -> DataFrame:
-    """(doc_id, lang_pred, score[, row]): the likeliest language of each whole text and its probability.
+    """(doc_id, lang_pred, score[, text, row]): the likeliest language of each whole text and its probability.
 
-    Only the text is read; columns named in `carry` come back in `row`. Null texts, texts without letters and all texts under an empty model get
-    `und` with score 0. Ties go to the language that comes first in order. Rows that repeat an id
+    Only the text is read; with `carry` it comes back, and the columns named there in `row`. Null
+    texts, texts without letters and all texts under an empty model get `und` with score 0. Ties go to the language that comes first in order. Rows that repeat an id
     stay; an empty table gives an empty result.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
@@ -167,9 +175,9 @@ def predict(docs: DataFrame, model: Model, carry: list[str] | None = None) -> Da
                     batch.column("doc_id"),
                     pa.array(langs, pa.string()),
                     pa.array(scores, pa.float64()),
-                    *([batch.column("row")] if carry else []),
+                    *([batch.column("text"), batch.column("row")] if carry else []),
                 ],
-                names=["doc_id", "lang_pred", "score", *(["row"] if carry else [])],
+                names=["doc_id", "lang_pred", "score", *(["text", "row"] if carry else [])],
             )
 
     given, schema = shared.carrying(docs, carry)

@@ -209,9 +209,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
 
 
 def score(docs: DataFrame, model: dict, carry: list[str] | None = None) -> DataFrame:
-    """(doc_id, score[, row]) of each whole text: higher if label 1 is likelier.
+    """(doc_id, score[, text, row]) of each whole text: higher if label 1 is likelier.
 
-    Only the text is read; columns named in `carry` come back in `row`. Null and empty texts are scored as one empty passage. Rows that repeat
+    Only the text is read; with `carry` it comes back, and the columns named there in `row`. Null and empty texts are scored as one empty passage. Rows that repeat
     an id stay, and an empty table gives an empty result.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
@@ -221,8 +221,8 @@ def score(docs: DataFrame, model: dict, carry: list[str] | None = None) -> DataF
             x, base = passages(batch.column("text"))
             found = forward(sent.value, x, base)["score"].astype(np.float64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(found), *([batch.column("row")] if carry else [])],
-                names=["doc_id", "score", *(["row"] if carry else [])],
+                [batch.column("doc_id"), pa.array(found), *([batch.column("text"), batch.column("row")] if carry else [])],
+                names=["doc_id", "score", *(["text", "row"] if carry else [])],
             )
 
     given, schema = shared.carrying(docs, carry)

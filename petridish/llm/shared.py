@@ -35,10 +35,13 @@ def written(df: DataFrame) -> DataFrame:
 
 
 def carrying(docs: DataFrame, carry: list[str] | None) -> tuple[DataFrame, str]:
-    """doc_id and text, with columns to bring along in `row`; and a schema to put more between."""
+    """doc_id and text, with columns to bring along in `row`; and a schema to put more between.
+
+    With columns to bring along the text comes back as well, so it isn't to be among them.
+    """
     given = docs.select("doc_id", "text", *([F.struct(*carry).alias("row")] if carry else []))
     kind = lambda c: given.schema[c].dataType.simpleString()
-    more = f", row {kind('row')}" if carry else ""
+    more = f", text string, row {kind('row')}" if carry else ""
     return given, f"doc_id {kind('doc_id')}, {{}}{more}"
 
 
@@ -55,7 +58,7 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     (long chains too). No round collects a neighbourhood; all steps are minima and equi-joins, and
     the end test, no edge left, is exact.
     """
-    left = materialise(
+    left = written(
         edges.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u <> v").distinct()
     )
     nodes = left.select(F.col("u").alias("node")).union(left.select("v")).distinct()
@@ -68,18 +71,18 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
         else:
             key = lambda c: F.struct(c.alias("x"))
         step = both.groupBy("u").agg(F.min(key(F.col("v"))).alias("m"))
-        step = materialise(
+        step = written(
             step.select("u", F.least("m", key(F.col("u")))["x"].alias("to")).filter("u <> to")
         )
         moved = step.select(F.col("u").alias("rep"), "to")
-        at = materialise(
+        at = written(
             at.join(moved, "rep", "left").select("node", F.coalesce("to", "rep").alias("rep"))
         )
         left = left.join(step, "u", "left").select(F.coalesce("to", "u").alias("u"), "v")
         left = left.join(step.toDF("v", "to"), "v", "left").select(
             "u", F.coalesce("to", "v").alias("v")
         )
-        left = materialise(left.filter("u <> v").distinct())
+        left = written(left.filter("u <> v").distinct())
         turn += 1
     least = at.groupBy("rep").agg(F.min("node").alias("component"))
     return at.join(least, "rep").select("node", "component")

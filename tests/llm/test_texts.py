@@ -75,7 +75,8 @@ def test_language_never_reads_labels_of_held_out_rows(spark):
 
 def test_word_scores_back_off():
     one, two = np.array([0.0, -1.0]), np.array([-2.0, 0.0])
-    model = language.Model(["a", "b"], {"known": one}, [{"k": two}, {"<x": one, "xk": two}])
+    tables = [language.Table(list(t), np.array(list(t.values()))) for t in ({"known": one}, {"k": two}, {"<x": one, "xk": two})]
+    model = language.Model(["a", "b"], tables[0], tables[1:])
     assert (language.word_score(model, "known") == one).all()
     assert (language.word_score(model, "xk") == (one + two) / 2).all()
     assert (language.word_score(model, "k") == two).all()
