@@ -256,6 +256,19 @@ def _(spark, sf):
     return rounded(structure.debris_features(centres, particles, areas, IMG))
 
 
+@query("debris_watershed")
+def _(spark, sf):
+    """Particles above a rolling ball, touching ones cut by the watershed."""
+    nuc = region(spark, sf, "nuc").groupBy(*CELL).agg(F.count(F.lit(1)).alias("a"))
+    medians = nuc.groupBy("image_id").agg(F.median("a").alias("median_nucleus_area"))
+    config = {
+        "threshold_method": "otsu", "min_size_px": 2, "max_size_fraction_of_median_nucleus_area": 0.9, "cell_dilate_px": 1,
+        "subtract_background": True, "rolling_ball_radius": 6.0, "watershed": True,
+    }
+    particles, _ = structure.debris_particles(px(spark, sf), reference_pixels(spark, sf), IMG, W, H, medians, config)
+    return rounded(particles)
+
+
 # --- population ---------------------------------------------------------------------------
 
 POP_SQL = s.CELLS_SQL + f""",
