@@ -59,9 +59,9 @@ def split(keys: np.ndarray, shards: int) -> list[tuple[int, np.ndarray]]:
     return [(int(shard[p[0]]), p) for p in np.split(order, cuts) if p.size]
 
 
-def shards_for(blocks: DataFrame, sizes: str) -> int:
-    """Number of shards for blocks whose column `sizes` counts the keys they send."""
-    return shared.shard_count(blocks.agg(F.coalesce(F.sum(sizes), F.lit(0))).first()[0], PER_SHARD)
+def shards_for(blocks: DataFrame, sizes: str, share: int = 1) -> int:
+    """Number of shards, `share` times as many as usual, for blocks whose `sizes` counts the keys they send."""
+    return shared.shard_count(share * blocks.agg(F.coalesce(F.sum(sizes), F.lit(0))).first()[0], PER_SHARD)
 
 
 def sums(at: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:

@@ -35,7 +35,8 @@ from petridish.llm.textblocks import (
     word_spans,
 )
 
-BLOCK = 16 << 20
+#: Bytes of text that are hashed at once, and bytes whose documents look up their pairs together.
+PIECE, BLOCK = 1 << 20, 8 << 20
 #: Hashes that stand for the end of a text, a token, and for its begin, which is only a context.
 END, BEGIN = np.uint64(0x452821E638D01377), np.uint64(0xBE5466CF34E90C6C)
 #: Discounts where a corpus is too small to estimate them.
@@ -83,16 +84,24 @@ class Pairs:
         self.hashes = pair_hash(words[self.u], words[self.w])
 
 
-def _state(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    flat, sizes = tokens(batch.column("text"))
-    words, sequence = np.unique(np.append(flat, BEGIN), return_inverse=True)
-    return words, sequence[:-1].astype(np.int64), sizes
-
-
 def _listed(values: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
 
 
+def _block(number: int, rows: list[pa.RecordBatch], flat: list[np.ndarray], sizes: list[np.ndarray]) -> pa.RecordBatch:
+    """A block: its documents, its distinct words, and its tokens as places among them."""
+    words, sequence = np.unique(np.concatenate([*flat, [BEGIN]]), return_inverse=True)
+    sequence, sizes = sequence[:-1], np.concatenate(sizes)
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array([number]), *(_listed(pa.concat_arrays([r.column(c) for r in rows])) for c in ("doc_id", "held_out")),
+            _listed(pa.array(sizes)), pa.array([cells.pack(words, True)], pa.binary()), *_packed([sequence]),
+            pa.array([sequence.size]), pa.array([words.size]),
+        ],
+        names=["block", "doc_id", "held_out", "n_tokens", "words", "sequence", "tokens", "different"],
+    )
+
+
 def _packed(*columns: list[np.ndarray]) -> list[pa.Array]:
     return [pa.array([cells.pack(x) for x in column], pa.binary()) for column in columns]
 
@@ -124,7 +133,8 @@ _LONGS = ", ".join(f"{n} binary" for n in VALUES)
 def _deal_pairs(shards: int):
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
                 words, sequence = cells.unpack(row["words"], True), cells.unpack(row["sequence"]).astype(np.int64)
                 sizes = np.array(row["n_tokens"], np.int64)
                 pairs = Pairs(words, sequence, sizes)
@@ -151,37 +161,46 @@ def _count_pairs(word_shards: int):
     """Counts for each block, and per word shard what the shard's pairs tell of words."""
 
     def count(table: pa.Table) -> pa.Table:
-        rows = table.to_pylist()
-        shard, cell_hashes, u, w, times = rows[0]["shard"], [], [], [], []
-        for row in rows:
-            words = cells.unpack(row["words"], True)
-            u.append(words[cells.unpack(row["u"], True)])
-            w.append(words[cells.unpack(row["w"])])
-            cell_hashes.append(pair_hash(u[-1], w[-1]))
-            times.append(cells.unpack(row["times"]))
-        hashes, first, at = np.unique(np.concatenate(cell_hashes), return_index=True, return_inverse=True)
-        counts = cells.sums(at, np.concatenate(times), hashes.size)
+        blocks_of, shard = table.column("block").to_pylist(), table.column("shard")[0].as_py()
+        blob = lambda name, i: table.column(name)[i].as_py()
+        words = np.unique(np.concatenate([cells.unpack(blob("words", i), True) for i in range(table.num_rows)]))
+        # the pairs of all cells, their words as places among `words`
+        own, each = [], []
+        for i in range(table.num_rows):
+            at = np.searchsorted(words, cells.unpack(blob("words", i), True)).astype(np.int32)
+            u, w = at[cells.unpack(blob("u", i), True)], at[cells.unpack(blob("w", i))]
+            own.append((pair_hash(words[u], words[w]), u, w, cells.unpack(blob("times", i)).astype(np.int32)))
+            each.append(own[-1][0])
+        hashes, u, w, times = (np.concatenate(x) for x in zip(*own))
+        del own
+        order = np.argsort(hashes)
+        opens = np.flatnonzero(np.diff(hashes[order], prepend=~hashes[order[:1]]))
+        counts = np.add.reduceat(times[order].astype(np.int64), opens)
+        first = order[opens]
+        del order, times
         seen = counts > 0
-        u, w, counts = np.concatenate(u)[first][seen], np.concatenate(w)[first][seen], counts[seen]
-        model = _mapped(hashes[seen], counts)
-        answers = [look_up(model, x) for x in cell_hashes]
-        words, places = np.unique(np.concatenate([u, w]), return_inverse=True)
-        by = lambda at, values: cells.sums(at, values, words.size)
-        of_u, of_w = np.split(places, [u.size])
+        first, counts = first[seen], counts[seen]
+        model = _mapped(hashes[first], counts)
+        u, w = u[first], w[first]
+        del hashes, first, seen
+        answers = [cells.pack(look_up(model, x)) for x in each]
+        by = lambda at, values: np.bincount(at, values, words.size).astype(np.int64)
         told = {
-            "after": by(of_u, counts), "once": by(of_u, counts == 1), "twice": by(of_u, counts == 2),
-            "more": by(of_u, counts > 2), "before": by(of_w, np.ones(w.size)),
+            "after": by(u, counts), "once": by(u, counts == 1), "twice": by(u, counts == 2),
+            "more": by(u, counts > 2), "before": np.bincount(w, minlength=words.size),
         }
+        known = np.flatnonzero((told["after"] > 0) | (told["before"] > 0))
+        words, told = words[known], {k: v[known] for k, v in told.items()}
         parts = cells.split(words, word_shards)
-        none, n = [None] * len(rows), len(parts)
+        none, n = [None] * len(answers), len(parts)
         return pa.table({
-            "shard": pa.array([shard] * len(rows) + [s for s, _ in parts], pa.int32()),
-            "block": pa.array([r["block"] for r in rows] + [None] * n, pa.int64()),
+            "shard": pa.array([shard] * len(answers) + [s for s, _ in parts], pa.int32()),
+            "block": pa.array(blocks_of + [None] * n, pa.int64()),
             "words": pa.array(none + [cells.pack(words[p], True) for _, p in parts], pa.binary()),
-            "tokens": pa.array([cells.pack(x) for x in answers] + [None] * n, pa.binary()),
+            "tokens": pa.array(answers + [None] * n, pa.binary()),
             **{k: pa.array(none + [cells.pack(v[p]) for _, p in parts], pa.binary()) for k, v in told.items()},
             # numbers of pairs by count, once per shard
-            "of_counts": pa.array([[int((counts == k).sum()) for k in (1, 2, 3, 4)]] + [None] * (len(rows) + n - 1), pa.list_(pa.int64())),
+            "of_counts": pa.array([[int((counts == k).sum()) for k in (1, 2, 3, 4)]] + [None] * (len(answers) + n - 1), pa.list_(pa.int64())),
         })
 
     return count
@@ -190,7 +209,8 @@ def _count_pairs(word_shards: int):
 def _deal_words(shards: int):
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
                 words, sequence = cells.unpack(row["words"], True), cells.unpack(row["sequence"]).astype(np.int64)
                 train = np.repeat(~np.array(row["held_out"], bool), np.array(row["n_tokens"], np.int64))
                 times = np.bincount(sequence[train], minlength=words.size)
@@ -211,22 +231,27 @@ def _deal_words(shards: int):
 
 def _count_words(table: pa.Table) -> pa.Table:
     """Values of the words of each block, and the sums over the words of this shard."""
-    rows = table.to_pylist()
-    each = [cells.unpack(row["words"], True) for row in rows]
-    words, at = np.unique(np.concatenate(each), return_inverse=True)
-    cuts = np.cumsum([x.size for x in each])[:-1]
-    total = {
-        n: cells.sums(at, np.concatenate([cells.unpack(r[n]) if r[n] else np.zeros(x.size) for r, x in zip(rows, each)]), words.size)
-        for n in VALUES
-    }
-    to = [i for i, row in enumerate(rows) if row["block"] is not None]
-    places = np.split(at, cuts)
+    blob = lambda name, i: table.column(name)[i].as_py()
+    block, rows = table.column("block").to_pylist(), range(table.num_rows)
+    words = np.unique(np.concatenate([cells.unpack(blob("words", i), True) for i in rows]))
+    places = [np.searchsorted(words, cells.unpack(blob("words", i), True)).astype(np.int32) for i in rows]
+    to = [i for i in rows if block[i] is not None]
+    out, total = {}, {}
+    for n in VALUES:
+        value = np.zeros(words.size, np.int64)
+        for i in rows:
+            packed = blob(n, i)
+            if packed is not None:
+                value[places[i]] += cells.unpack(packed).astype(np.int64)  # a row has a word once
+        out[n] = pa.array([cells.pack(value[places[i]]) for i in to] + [None], pa.binary())
+        if n in ("tokens", "before"):
+            total[n] = value
     before = total["before"]
     whole = [total["tokens"].sum(), (total["tokens"] > 0).sum(), before.sum(), *((before == k).sum() for k in (1, 2, 3, 4)), (before > 2).sum()]
     return pa.table({
-        "shard": pa.array([rows[0]["shard"]] * (len(to) + 1), pa.int32()),
-        "block": pa.array([rows[i]["block"] for i in to] + [None], pa.int64()),
-        **{n: pa.array([cells.pack(total[n][places[i]]) for i in to] + [None], pa.binary()) for n in VALUES},
+        "shard": pa.array([table.column("shard")[0].as_py()] * (len(to) + 1), pa.int32()),
+        "block": pa.array([block[i] for i in to] + [None], pa.int64()),
+        **out,
         "whole": pa.array([None] * len(to) + [[int(x) for x in whole]], pa.list_(pa.int64())),
     })
 
@@ -288,21 +313,23 @@ def score(docs: DataFrame, held: Column) -> DataFrame:
     given = docs.select("doc_id", "text", F.coalesce(held, F.lit(False)).alias("held_out"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = cells.numbers()
-        for batch in blocks(batches, limit=BLOCK):
-            words, sequence, sizes = _state(batch)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([next(number)]), _listed(batch.column("doc_id")), _listed(batch.column("held_out")),
-                    _listed(pa.array(sizes)), pa.array([cells.pack(words, True)], pa.binary()), *_packed([sequence]),
-                    pa.array([sequence.size]), pa.array([words.size]),
-                ],
-                names=["block", "doc_id", "held_out", "n_tokens", "words", "sequence", "tokens", "different"],
-            )
+        number, rows, flat, sizes, size = cells.numbers(), [], [], [], 0
+        for batch in blocks(batches, limit=PIECE):
+            own, each = tokens(batch.column("text"))
+            rows.append(batch.select(["doc_id", "held_out"]))
+            flat.append(own)
+            sizes.append(each)
+            size += int(text_buffer(batch.column("text"))[1][-1])
+            if size >= BLOCK:
+                yield _block(next(number), rows, flat, sizes)
+                rows, flat, sizes, size = [], [], [], 0
+        if rows:
+            yield _block(next(number), rows, flat, sizes)
 
     schema = f"block bigint, doc_id array<{kind}>, held_out array<boolean>, n_tokens array<bigint>, words binary, sequence binary, tokens bigint, different bigint"
     state = shared.written(given.mapInArrow(run, schema))
-    pair_shards, word_shards = (cells.shards_for(state, n) for n in ("tokens", "different"))
+    # words come from the blocks and again from the shards of pairs
+    pair_shards, word_shards = cells.shards_for(state, "tokens"), cells.shards_for(state, "different", 4)
     kept = state.select("block", "doc_id", "held_out", "n_tokens", "words", "sequence")
     sent = kept.drop("doc_id")
     pairs = sent.mapInArrow(_deal_pairs(pair_shards), "shard int, block bigint, words binary, u binary, w binary, times binary")

@@ -62,10 +62,11 @@ def compare(rows, got):
     np.testing.assert_allclose([x[5:] for x in have], [x[5:] for x in want], rtol=1e-10)
 
 
-@pytest.mark.parametrize("limits", [(16 << 20, 4_000_000), (3000, 900)])
+@pytest.mark.parametrize("limits", [(1 << 20, 16 << 20, 4_000_000), (2000, 9000, 900)])
 def test_score_as_plain(spark, monkeypatch, limits):
-    monkeypatch.setattr(kneser, "BLOCK", limits[0])
-    monkeypatch.setattr(kneser.cells, "PER_SHARD", limits[1])
+    monkeypatch.setattr(kneser, "PIECE", limits[0])
+    monkeypatch.setattr(kneser, "BLOCK", limits[1])
+    monkeypatch.setattr(kneser.cells, "PER_SHARD", limits[2])
     rows = [(r[0], r[1], (r[0] or 0) % 4 == 1) for r in cases.rows()]
     docs = cases.documents(spark)
     got = kneser.score(docs, F.col("doc_id") % 4 == 1).collect()
