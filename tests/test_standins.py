@@ -39,3 +39,7 @@ def test_pixel_tables_are_whole(spark, parts):
     got = [tuple(r) for r in s.label_pixels(spark, parts).drop("dataset").collect()]
     assert len(got) == len(set(got)) and set(got) == want
 
+
+def test_parts_grow_with_the_input(spark, parts, monkeypatch):
+    monkeypatch.setattr(s, "PART_CELLS", 16)
+    assert s.geometry(spark, parts).rdd.getNumPartitions() == 25
