@@ -65,10 +65,14 @@ def phase_only(files: DataFrame, stem: str = "stem", words: Sequence[str] = NOT_
 def explode_pixels(
     images: DataFrame, keys: Sequence[str], data: str = "data", depth: int = 255
 ) -> DataFrame:
-    """Pixel rows ``keys, x, y, v`` from an array column; ``v`` is scaled by the type's maximum."""
+    """Pixel rows ``keys, x, y, v`` from an array column; ``v`` is scaled by the type's maximum.
+
+    The outer form, because Spark puts a filter on the array's size below every other one, where it
+    makes the arrays a second time before the images are spread. Images without pixels give no rows.
+    """
     return images.select(
-        *keys, "width", F.posexplode(data).alias("_i", "_v")
-    ).select(
+        *keys, "width", F.posexplode_outer(data).alias("_i", "_v")
+    ).filter("_i is not null").select(
         *keys,
         (F.col("_i") % F.col("width")).cast("int").alias("x"),
         F.expr("cast(_i div width as int)").alias("y"),

@@ -2,6 +2,7 @@
 
 import pytest
 
+from petridish.sources import images
 from registry import standins as s
 
 
@@ -43,3 +44,16 @@ def test_pixel_tables_are_whole(spark, parts):
 def test_parts_grow_with_the_input(spark, parts, monkeypatch):
     monkeypatch.setattr(s, "PART_CELLS", 16)
     assert s.geometry(spark, parts).rdd.getNumPartitions() == 25
+
+
+def test_pixel_arrays_are_made_once(spark, parts):
+    made = images.explode_pixels(s.images(spark, parts), ["image_id"])
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("transform(") == 1
+    assert made.count() == 100 * 1024
+
+
+def test_images_without_pixels_give_no_rows(spark):
+    rows = [(1, 2, [10, None, 30, 40]), (2, 2, []), (3, 2, None)]
+    df = spark.createDataFrame(rows, "id int, width int, data array<int>")
+    found = [tuple(r) for r in images.explode_pixels(df, ["id"], depth=10).collect()]
+    assert sorted(found, key=lambda r: r[1:3]) == [(1, 0, 0, 1.0), (1, 0, 1, 3.0), (1, 1, 0, None), (1, 1, 1, 4.0)]
