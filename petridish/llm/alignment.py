@@ -23,8 +23,9 @@ from petridish.llm.textblocks import blocks, text_buffer
 
 #: Bytes of text that are aligned at once, and documents' bytes that look up their pairs together.
 PIECE, BLOCK = 1 << 20, 16 << 20
-#: Segments that a worker remembers, and those it encodes at once.
-MEMORY, CHUNK = 200_000, 1024
+#: Segments beyond which a worker forgets those it has seen in one block only (and all, if these are
+#: fewer than half), and those it encodes at once.
+MEMORY, CHUNK = 400_000, 1024
 _codecs: dict[int, Codec] = {}
 
 
@@ -71,28 +72,43 @@ class Codec:
         written = [f"{i}{end}" for ids, ends in ((self.a_bytes, ",|"), (self.b_bytes, ",;")) for end in ends for i in range(len(ids))]
         self.decimal = pa.array(written, pa.large_string())
 
-        self._forget()
-
-    def _forget(self) -> None:
         self.places: dict[str, int] = {}
-        self.good = np.zeros(0, bool)
+        self.good = self.again = np.zeros(0, bool)
         self.ids = [np.zeros(0, np.int32)] * 2
         self.ends = [np.zeros(1, np.int64)] * 2
+        self.waiting: list[tuple[list, np.ndarray]] = []
+
+    def _forget(self) -> None:
+        keep = np.flatnonzero(self.again)
+        if 2 * keep.size > len(self.places):
+            keep = keep[:0]
+        names = list(self.places)
+        self.places = {names[at]: i for i, at in enumerate(keep.tolist())}
+        for side, upto in enumerate(self.ends):
+            sizes = np.diff(upto)[keep]
+            self.ids[side] = self.ids[side][cells.ragged(upto[keep], sizes)]
+            self.ends[side] = np.concatenate([[0], np.cumsum(sizes)])
+        self.good, self.again = self.good[keep], np.zeros(keep.size, bool)
 
     def look_up(self, segments: pa.Array) -> np.ndarray:
         """Place of each of the different segments among those whose ids are known from here on."""
         if len(self.places) > MEMORY:
             self._forget()
         names = segments.to_pylist()
-        new = np.fromiter((n not in self.places for n in names), bool, len(names))
+        places = self.places
+        found = np.array([places.get(n, -1) for n in names], np.int64)
+        new = np.flatnonzero(found < 0)
+        self.again[found[found >= 0]] = True
         # segments that follow each other in a text as cuts leave them are encoded as one text
-        plain = np.fromiter((len(n) > 1 and "!" <= n[1] <= "~" and "!" <= n[-1] <= "~" for n in names), bool, len(names))
-        for some, encode in ((new & plain, self._joined), (new & ~plain, self._each)):
-            rows = np.flatnonzero(some)
+        missing = (names[i] for i in new.tolist())
+        plain = np.fromiter((len(n) > 1 and "!" <= n[1] <= "~" and "!" <= n[-1] <= "~" for n in missing), bool, new.size)
+        for rows, encode in ((new[plain], self._joined), (new[~plain], self._each)):
             for at in range(0, rows.size, CHUNK):
                 own = segments.take(pa.array(rows[at : at + CHUNK]))
                 encode(own.to_pylist(), own)
-        return np.fromiter(map(self.places.__getitem__, names), np.int64, len(names))
+        self._settle()
+        found[new] = [places[names[i]] for i in new.tolist()]
+        return found
 
     def _joined(self, names: list[str], segments: pa.Array) -> None:
         """Encode the segments as one text; one by one if the tokens don't give that text back."""
@@ -100,7 +116,7 @@ class Codec:
         byte = np.frombuffer(text.encode(), np.uint8)
         stops = np.cumsum(np.diff(np.frombuffer(segments.buffers()[1], np.int64)[: len(segments) + 1]))
         found = []
-        for side, ids in enumerate((self.a.encode(text, add_special_tokens=False).ids, self.b.encode(text[1:]))):
+        for side, ids in enumerate((self.a.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.b.encode(text[1:]))):
             ids = np.array(ids, np.int32)
             ends = np.cumsum(self.lengths[side][ids])
             at = np.searchsorted(ends, stops)
@@ -110,7 +126,7 @@ class Codec:
         self._remember(names, found, np.ones(len(names), bool))
 
     def _each(self, names: list[str], segments: pa.Array) -> None:
-        a = [x.ids for x in self.a.encode_batch(names, add_special_tokens=False)]
+        a = [x.ids for x in self.a.encode_batch_fast(names, add_special_tokens=False)]
         b = self.b.encode([n[1:] for n in names], num_threads=1)
         good, found = np.ones(len(names), bool), []
         for side, lists in enumerate((a, b)):
@@ -121,12 +137,21 @@ class Codec:
         self._remember(names, found, good)
 
     def _remember(self, names: list[str], found: list[tuple[np.ndarray, np.ndarray]], good: np.ndarray) -> None:
-        for side, (ids, sizes) in enumerate(found):
-            self.ids[side] = np.concatenate([self.ids[side], ids])
-            self.ends[side] = np.concatenate([self.ends[side], self.ends[side][-1] + np.cumsum(sizes)])
-        self.good = np.concatenate([self.good, good])
+        self.waiting.append((found, good))
         self.places.update(zip(names, range(len(self.places), len(self.places) + len(names))))
 
+    def _settle(self) -> None:
+        """Put the ids that wait behind the others, all at once."""
+        if not self.waiting:
+            return
+        for side in (0, 1):
+            ids, sizes = zip(*(found[side] for found, _ in self.waiting))
+            self.ids[side] = np.concatenate([self.ids[side], *ids])
+            self.ends[side] = np.concatenate([self.ends[side], self.ends[side][-1] + np.cumsum(np.concatenate(sizes))])
+        self.good = np.concatenate([self.good, *(good for _, good in self.waiting)])
+        self.again = np.concatenate([self.again, np.zeros(self.good.size - self.again.size, bool)])
+        self.waiting = []
+
     def spelled(self, side: int, ids: np.ndarray) -> np.ndarray:
         """Bytes of ids, one after the other."""
         joined = self.tables[side].take(pa.array(ids))

@@ -118,3 +118,22 @@ def test_align_nothing(spark):
     assert alignment.groups(cases.nothing(spark), *PATHS).count() == 0
     only = spark.createDataFrame([(1, None), (1, ""), (None, "▁")], "doc_id bigint, text string")
     assert {tuple(r)[1:] for r in alignment.align(only, *PATHS).collect()} == {(0, 0, 0, 0, 0, 0, "")}
+
+
+def test_segments_of_several_blocks_are_not_forgotten(monkeypatch):
+    import pyarrow as pa
+
+    with open(PATHS[0], encoding="utf-8") as a, open(PATHS[1], "rb") as b:
+        codec = alignment.Codec(a.read(), b.read())
+    monkeypatch.setattr(alignment, "MEMORY", 6)
+    encoded, joined = [], codec._joined
+    monkeypatch.setattr(codec, "_joined", lambda names, own: (encoded.extend(names), joined(names, own)))
+
+    def ids(*names):
+        at = codec.look_up(pa.array(names, pa.large_string()))
+        return [tuple(i[e[p] : e[p + 1]].tolist() for i, e in zip(codec.ids, codec.ends)) for p in at.tolist()]
+
+    first = ids(" one", " two", " three", " four")
+    assert ids(" five", " one", " six", " seven")[1] == first[0]
+    assert ids(" eight", " one")[1] == first[0] and ids(" two")[0] == first[1]
+    assert encoded.count(" one") == 1 and encoded.count(" two") == 2 and codec.good.all()
