@@ -1,7 +1,11 @@
 """Stand-in tables: sizes that Spark can see, parts that grow with the input."""
 
+import re
+
 import pytest
 
+from petridish.functions import polygons
+from petridish.operators import fluorescence
 from petridish.sources import images
 from registry import standins as s
 
@@ -57,3 +61,18 @@ def test_images_without_pixels_give_no_rows(spark):
     df = spark.createDataFrame(rows, "id int, width int, data array<int>")
     found = [tuple(r) for r in images.explode_pixels(df, ["id"], depth=10).collect()]
     assert sorted(found, key=lambda r: r[1:3]) == [(1, 0, 0, 1.0), (1, 0, 1, 3.0), (1, 1, 0, None), (1, 1, 1, 4.0)]
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_pixels_of_polygons_are_not_broadcast(spark, parts):
+    shapes = s.outlines(spark, parts).select("image_id", "roi_id", "cyto").filter("cyto is not null")
+    filled = polygons.rasterize(shapes, "cyto", s.WIDTH, s.HEIGHT)
+    joined = filled.join(s.pixels(spark, parts).drop("dataset"), ["image_id", "x", "y"])
+    assert "BroadcastHashJoin" not in _plan(joined) and "SortMergeJoin" in _plan(joined)
+    both = s.outlines(spark, parts).drop("dataset").filter("nuc is not null and cyto is not null")
+    rings = fluorescence.fluor_rings(both, s.pixels(spark, parts).drop("dataset"), ["image_id"], s.WIDTH, s.HEIGHT, 2)
+    joins = re.findall(r"(\w+Join) \[image_id#\d+L, x#\d+, y#\d+\]", _plan(rings))
+    assert set(joins) == {"SortMergeJoin"}
