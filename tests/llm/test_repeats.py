@@ -127,6 +127,39 @@ def test_repeated_bytes_match_brute_force(spark, monkeypatch, split):
     assert suffixes.remove_repeats(cases.nothing(spark)).collect() == []
 
 
+def test_common_passage_is_found_without_a_row_per_window_and_place(spark, monkeypatch):
+    """A passage of 430 bytes in 300 texts, each with other words around it, owned by few grams."""
+    random = np.random.default_rng(8)
+    letters = np.frombuffer(b"abcdefghijklmnop ", np.uint8)
+    speak = lambda n: letters[random.integers(0, letters.size, n)].tobytes().decode()
+    passage, length = speak(430), suffixes.LENGTH
+    given = [(i, speak(300) + (passage if i % 4 else speak(430)) + speak(300)) for i in range(400)]
+    written, rows = shared.written, []
+
+    def counted(df):
+        out = written(df)
+        if "pf" in out.columns:  # contexts of contexts
+            rows.append((out.count(), out.select("f", "c").distinct().count()))
+        return out
+
+    monkeypatch.setattr(anchors, "OWNER_BYTES", 2000)
+    monkeypatch.setattr(shared, "written", counted)
+    found = suffixes.remove_repeats(spark.createDataFrame(given, "doc_id bigint, text string")).collect()
+    starts = Counter(t[i : i + length] for _, t in given for i in range(len(t) - length + 1))
+    for r in found:
+        text = given[r["doc_id"]][1]
+        gone = np.zeros(len(text), bool)
+        for i in range(len(text) - length + 1):
+            if starts[text[i : i + length]] > 1:
+                gone[i : i + length] = True
+        own = np.zeros(len(text), bool)
+        for x in r["spans"]:
+            own[x["a"] : x["b"]] = True
+        assert (own == gone).all()
+        assert gone.sum() >= len(passage) if r["doc_id"] % 4 else not gone.any()
+    assert rows and all(n == kinds for n, kinds in rows)
+
+
 @pytest.mark.parametrize("split", [384 * 1024, 300])
 def test_repeated_passages_match_brute_force(spark, monkeypatch, split):
     monkeypatch.setattr(anchors, "OWNER_BYTES", split)
