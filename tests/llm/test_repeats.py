@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -160,6 +161,19 @@ def test_common_passage_is_found_without_a_row_per_window_and_place(spark, monke
     assert rows and all(n == kinds for n, kinds in rows)
 
 
+def test_written_tables_leave_no_shuffle_files(spark):
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffles = lambda: set(re.findall(r"shuffle_\w+\.data", disk.getAllFiles().mkString(" ")))
+    before, setting = shuffles(), spark.conf.get(shared.CLEANUP)
+    out = shared.written(spark.range(1000).repartition(3, "id"))
+    for _ in range(100):  # the files go in the background
+        if shuffles() <= before:
+            break
+        time.sleep(0.1)
+    assert shuffles() <= before and out.count() == 1000
+    assert spark.conf.get(shared.CLEANUP) == setting
+
+
 @pytest.mark.parametrize("split", [384 * 1024, 300])
 def test_repeated_passages_match_brute_force(spark, monkeypatch, split):
     monkeypatch.setattr(anchors, "OWNER_BYTES", split)
