@@ -119,6 +119,53 @@ def rasterize(
     ).hint("merge")
 
 
+def shape_masks(xs: np.ndarray, ys: np.ndarray, x0: int, x1: int, y0: int, y1: int) -> np.ndarray:
+    """Pixels ``[y0..y1, x0..x1]`` inside or on each of several polygons with as many vertices (one a row).
+
+    The rule of `crossings_odd` and `on_edge`: an edge that crosses a line flips all pixels on its left.
+    Edges with a missing coordinate do not count.
+    """
+    count, high, wide = len(xs), y1 - y0 + 1, x1 - x0 + 1
+    ax, ay = xs[:, :, None], ys[:, :, None]
+    bx, by = np.roll(xs, -1, 1)[:, :, None], np.roll(ys, -1, 1)[:, :, None]
+    known = np.isfinite(ax) & np.isfinite(ay) & np.isfinite(bx) & np.isfinite(by)
+    y = np.arange(y0, y1 + 1, dtype="float64")
+    place = (np.arange(count)[:, None, None] * high + np.arange(high)) * (wide + 1)
+
+    def counted(hit, column):
+        column = np.clip(column, 0, wide).astype("int64")
+        at = np.broadcast_to(place, hit.shape)[hit] + column
+        return np.bincount(at, minlength=count * high * (wide + 1)).reshape(count, high, wide + 1)
+
+    with np.errstate(all="ignore"):
+        at = (bx - ax) * (y - ay) / (by - ay) + ax
+        cross = known & ((ay > y) != (by > y))
+        flips = counted(cross, np.ceil(at[cross]) - x0)
+        near = np.rint(at)
+        on = known & (ay != by) & (np.minimum(ay, by) <= y) & (y <= np.maximum(ay, by))
+        on &= ((bx - ax) * (y - ay) == (by - ay) * (near - ax)) & (near >= x0) & (near <= x1)
+        on &= (near >= np.minimum(ax, bx)) & (near <= np.maximum(ax, bx))
+        flat = known & (ay == by) & (ay == y)
+        shape = flat.shape
+        left = np.ceil(np.broadcast_to(np.minimum(ax, bx), shape)[flat])
+        right = np.floor(np.broadcast_to(np.maximum(ax, bx), shape)[flat])
+    inside = flips[:, :, ::-1].cumsum(2)[:, :, ::-1][:, :, 1:] % 2 == 1
+    inside |= counted(on, near[on] - x0)[:, :, :wide] > 0
+    # an edge without whole pixels begins after its end
+    spans = counted(flat, left - x0) - counted(flat, np.maximum(right + 1, left) - x0)
+    inside |= spans.cumsum(2)[:, :, :wide] > 0
+    return inside
+
+
+def box_in(xs: np.ndarray, ys: np.ndarray, width: int, height: int) -> tuple[int, int, int, int] | None:
+    """``x0, x1, y0, y1`` of the part of a polygon's box that lies in the image; None if there is none."""
+    if not (np.isfinite(xs).any() and np.isfinite(ys).any()):
+        return None
+    x0, x1 = max(int(np.nanmin(xs)), 0), min(int(np.nanmax(xs)), width - 1)
+    y0, y1 = max(int(np.nanmin(ys)), 0), min(int(np.nanmax(ys)), height - 1)
+    return (x0, x1, y0, y1) if x0 <= x1 and y0 <= y1 else None
+
+
 def _hull(points: np.ndarray) -> list[int]:
     """Indices of the convex hull's corners in counter-clockwise order (monotone chain)."""
     order = sorted(range(len(points)), key=lambda i: (points[i][0], points[i][1]))

@@ -4,33 +4,80 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from petridish.functions import polygons as poly
+from petridish.functions.numeric import sides
 from petridish.functions.text import ring_cell_id, ring_number
 from petridish.operators import stencil as st
 from petridish.operators.scale import summarise, with_group_stats
 from petridish.session import materialize
 
 
-def scaled(points: Column | str, factor: float) -> Column:
-    """Polygon scaled about the centre of its box; coordinates cut to whole pixels."""
-    p = F.col(points) if isinstance(points, str) else points
+#: pixels of grown shapes that are made at a time
+GROWN_PIXELS = 1 << 20
 
-    def centre(axis):
-        v = F.transform(p, lambda q: q[axis])
-        return (F.array_min(v) + F.array_max(v)) / 2.0
 
-    cx, cy = centre("x"), centre("y")
+def scaled(xs: np.ndarray, factors: np.ndarray) -> np.ndarray:
+    """One axis of a polygon scaled about the centre of its box, a row for each factor; cut to whole pixels."""
+    centre = (np.nanmin(xs) + np.nanmax(xs)) / 2.0
+    return np.trunc(centre + (xs - centre) * factors[:, None])
 
-    def move(c, v):
-        w = c + (v - c) * factor
-        return F.when(w >= 0, F.floor(w)).otherwise(F.ceil(w)).cast("int")
 
-    return F.transform(
-        p, lambda q: F.struct(move(cx, q.x).alias("x"), move(cy, q.y).alias("y"))
-    )
+def _ring_pixels(outlines: list, width: int, height: int, steps: int, growth: float) -> np.ndarray:
+    """Pixels ``(ring * height + y) * width + x`` of the rings of the outlines of one cell."""
+
+    def polygon(outline, side):
+        return np.array([list(outline[f"{side}_{axis}"]) for axis in ("x", "y")], dtype="float64")
+
+    cells = [polygon(o, "cyto") for o in outlines]
+    cells = [(p, box) for p in cells if p.shape[1] >= 3 and (box := poly.box_in(*p, width, height))]
+    if not cells:
+        return np.zeros(0, "int64")
+    x0, y0 = (min(box[i] for _, box in cells) for i in (0, 2))
+    x1, y1 = (max(box[i] for _, box in cells) for i in (1, 3))
+    # outlines that come twice count twice
+    cell = sum(poly.shape_masks(*p[:, None], x0, x1, y0, y1)[0].astype("int64") for p, _ in cells)
+    factors = 1.0 + growth * np.arange(steps + 1)
+    member = np.zeros((steps + 1, *cell.shape), bool)
+    spills = np.zeros(steps + 1, bool)
+    for p in (polygon(o, "nuc") for o in outlines):
+        if p.shape[1] < 3 or not (np.isfinite(p[0]).any() and np.isfinite(p[1]).any()):
+            continue
+        xs, ys = (scaled(axis, factors) for axis in p)
+        first = 0
+        while first <= steps:
+            # as many steps at a time as the box of the last one allows
+            last = steps + 1
+            while True:
+                box = poly.box_in(xs[first:last], ys[first:last], width, height)
+                if last == first + 1 or box is None:
+                    break
+                if (box[1] - box[0] + 2) * (box[3] - box[2] + 1) * (last - first) <= GROWN_PIXELS:
+                    break
+                last = first + max((last - first) // 2, 1)
+            if box is not None:
+                shape = poly.shape_masks(xs[first:last], ys[first:last], *box)
+                a, b, c, d = max(x0, box[0]), min(x1, box[1]), max(y0, box[2]), min(y1, box[3])
+                held = np.zeros(last - first, "int64")
+                if a <= b and c <= d:
+                    part = shape[:, c - box[2] : d - box[2] + 1, a - box[0] : b - box[0] + 1]
+                    member[first:last, c - y0 : d - y0 + 1, a - x0 : b - x0 + 1] |= part
+                    held = (part & (cell[c - y0 : d - y0 + 1, a - x0 : b - x0 + 1] > 0)).sum((1, 2))
+                spills[first:last] |= shape.sum((1, 2)) > held
+            first = last
+    member &= cell > 0
+    found = []
+    for k in range(1, steps + 1):
+        band = member[k] & ~member[k - 1]
+        # a closed ring that adds no pixel to the cell part of its predecessor does not exist
+        if band.any():
+            y, x = np.nonzero(band if spills[k - 1] else member[k])
+            found.append(np.repeat(((k - 1) * height + y + y0) * width + x + x0, cell[y, x]))
+    return np.concatenate(found) if found else np.zeros(0, "int64")
 
 
 def fluor_rings(
@@ -52,56 +99,29 @@ def fluor_rings(
     """
     image = list(image)
     keys = [*image, "roi_id"]
-    shapes = outlines.select(
+    coordinates = [
+        F.coalesce(F.col(side)[axis].cast("array<double>"), F.array()).alias(f"{side}_{axis}")
+        for side in ("nuc", "cyto")
+        for axis in ("x", "y")
+    ]
+    width, height = sides(width, height)
+    # outlines of one number are one shape; its rings are made in one task, as its boundary is
+    shapes = outlines.dropna(subset=keys).groupBy(*keys).agg(F.collect_list(F.struct(*coordinates)).alias("_p"))
+    shapes = shapes.select(*keys, "_p", width.cast("long").alias("_w"), height.cast("long").alias("_h"))
+
+    @F.pandas_udf("array<long>")
+    def rings_of(shapes: pd.Series, widths: pd.Series, heights: pd.Series) -> pd.Series:
+        args = zip(shapes, widths, heights)
+        return pd.Series([_ring_pixels(list(p), int(w), int(h), steps, growth) for p, w, h in args], dtype=object)
+
+    rings = shapes.select(*keys, "_w", "_h", F.explode(rings_of("_p", "_w", "_h")).alias("_at")).select(
         *keys,
-        F.explode(
-            F.array(
-                *[
-                    F.struct(F.lit(k).alias("step"), scaled("nuc", 1.0 + growth * k).alias("points"))
-                    for k in range(steps + 1)
-                ]
-            )
-        ).alias("_s"),
-    ).select(*keys, F.col("_s.step").alias("step"), F.col("_s.points").alias("points"))
-    grown = poly.rasterize(shapes, "points", width, height)
-    cell = poly.rasterize(
-        outlines.select(*keys, F.col("cyto").alias("points")), "points", width, height
-    ).withColumn("_cell", F.lit(True))
-    # shapes grow step by step: a pixel belongs to every step from its first one on
-    first = grown.groupBy(*keys, "x", "y").agg(F.collect_set("step").alias("_steps"))
-    joined = first.join(cell, [*keys, "x", "y"], "left").withColumn(
-        "_cell", F.coalesce("_cell", F.lit(False))
-    )
-    joined = materialize(joined)
-    # steps whose shape stays inside the cell
-    spill = (
-        joined.filter("not _cell")
-        .select(*keys, F.explode("_steps").alias("step"))
-        .distinct()
-        .withColumn("_spills", F.lit(True))
-    )
-    member = joined.filter("_cell").select(*keys, "x", "y", "_steps", F.explode("_steps").alias("step"))
-    rings = (
-        member.filter("step > 0")
-        .withColumn("_prev", F.col("step") - 1)
-        .join(spill.withColumnRenamed("step", "_prev"), [*keys, "_prev"], "left")
-        .filter(
-            F.col("_spills").isNull() | ~F.array_contains("_steps", F.col("_prev"))
-        )
-        .select(*keys, "x", "y", (F.col("step") - 1).alias("ring"))
-    )
-    # a closed ring that adds no pixel to the cell part of its predecessor does not exist
-    fresh = (
-        joined.filter("_cell")
-        .select(*keys, F.explode("_steps").alias("step"), "_steps")
-        .filter("step > 0 and not array_contains(_steps, step - 1)")
-        .select(*keys, (F.col("step") - 1).alias("ring"))
-        .distinct()
+        F.expr("cast(_at % _w as int)").alias("x"),
+        F.expr("cast(_at div _w % _h as int)").alias("y"),
+        F.expr("cast(_at div _w div _h as int)").alias("ring"),
     )
     # one row per pixel of every ring, expanded: more than Spark expects, not to be broadcast
-    measured = rings.join(fresh, [*keys, "ring"], "left_semi").hint("merge").join(
-        pixels.select(*image, "x", "y", "v"), [*image, "x", "y"]
-    )
+    measured = rings.hint("merge").join(pixels.select(*image, "x", "y", "v"), [*image, "x", "y"])
     return measured.groupBy(*keys, "ring").agg(
         (F.count(F.lit(1)) * F.avg("v")).alias("IntDen"), F.sum("v").alias("RawIntDen")
     )

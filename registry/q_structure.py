@@ -387,10 +387,12 @@ def _(spark, sf):
 
 # --- fluorescence -------------------------------------------------------------------------
 
+# rings of the wide table; `fluor_rings` has all that the operator grows
 STEPS = 5
+RINGS = 20
 
 
-def scaled_sql():
+def scaled_sql(steps):
     move = "CASE WHEN {0} >= 0 THEN floor({0}) ELSE ceil({0}) END"
     sx = move.format("(mx + (v.x - mx) * (1 + 0.5 * k.range))")
     sy = move.format("(my + (v.y - my) * (1 + 0.5 * k.range))")
@@ -400,7 +402,7 @@ def scaled_sql():
     return f"""
 pairs AS (SELECT image_id, roi_id FROM vert GROUP BY ALL HAVING count(DISTINCT region) = 2),
 nbx AS (SELECT image_id, roi_id, (min(x) + max(x)) / 2 AS mx, (min(y) + max(y)) / 2 AS my FROM vert JOIN pairs USING (image_id, roi_id) WHERE region = 'nuc' GROUP BY ALL),
-sv AS (SELECT v.image_id, v.roi_id, CAST(k.range AS INT) AS step, pos, n, CAST({sx} AS INT) AS x, CAST({sy} AS INT) AS y FROM vert v JOIN nbx USING (image_id, roi_id), range({STEPS + 1}) k WHERE region = 'nuc'),
+sv AS (SELECT v.image_id, v.roi_id, CAST(k.range AS INT) AS step, pos, n, CAST({sx} AS INT) AS x, CAST({sy} AS INT) AS y FROM vert v JOIN nbx USING (image_id, roi_id), range({steps + 1}) k WHERE region = 'nuc'),
 seg AS (SELECT a.image_id, a.roi_id, a.step, a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2 FROM sv a JOIN sv b ON a.image_id = b.image_id AND a.roi_id = b.roi_id AND a.step = b.step AND b.pos = (a.pos + 1) % a.n),
 {shape},
 {ring},
@@ -417,25 +419,26 @@ rg AS (SELECT l.image_id, l.roi_id, l.step - 1 AS ring, l.x, l.y FROM lag_ l JOI
 RING_BODY = "SELECT rg.image_id, roi_id, ring, round(count(*) * avg(v), 6) AS \"IntDen\", sum(v) AS \"RawIntDen\" FROM rg JOIN px USING (image_id, x, y) GROUP BY ALL"
 
 
-def rings(spark, sf):
+def rings(spark, sf, steps):
     pairs = outline_source.paired_only(s.outlines(spark, sf)).drop("dataset")
-    return fluorescence.fluor_rings(pairs, px(spark, sf, "ido"), IMG, s.WIDTH, s.HEIGHT, steps=STEPS)
+    return fluorescence.fluor_rings(pairs, px(spark, sf, "ido"), IMG, s.WIDTH, s.HEIGHT, steps=steps)
 
 
-RING_SQL = (s.GEOMETRY_SQL, s.IMAGES_SQL, s.pixels_sql("ido"), s.VERTEX_SQL, EDGE2_SQL, scaled_sql())
+def ring_sql(steps):
+    return (s.GEOMETRY_SQL, s.IMAGES_SQL, s.pixels_sql("ido"), s.VERTEX_SQL, EDGE2_SQL, scaled_sql(steps))
 
 
-@query("fluor_rings", with_ctes(*RING_SQL, body=RING_BODY))
+@query("fluor_rings", with_ctes(*ring_sql(RINGS), body=RING_BODY))
 def _(spark, sf):
-    return rounded(rings(spark, sf))
+    return rounded(rings(spark, sf, RINGS))
 
 
-@query("flatten_rings", with_ctes(*RING_SQL, f"res AS ({RING_BODY})", body="""
+@query("flatten_rings", with_ctes(*ring_sql(STEPS), f"res AS ({RING_BODY})", body="""
 SELECT image_id || '.tif_' || roi_id AS "Cell_ID", """ + ", ".join(
     f'max("{v}") FILTER (ring = {k}) AS "{v}-{k}"' for v in ("IntDen", "RawIntDen") for k in range(STEPS)
 ) + " FROM res GROUP BY 1"))
 def _(spark, sf):
-    r = rings(spark, sf).select(
+    r = rings(spark, sf, STEPS).select(
         F.concat(F.col("image_id"), F.lit(".tif:NewCell-"), F.col("roi_id"), F.lit("-and"), F.col("ring")).alias("Label"),
         "IntDen",
         "RawIntDen",
