@@ -30,3 +30,26 @@ def test_rings_are_grown_until_the_cell_is_covered(spark, tmp_path):
     # nuclei at the edge of their cells reach the far side with more than five rings
     sf = parts(spark, tmp_path, [7, 14, 35, 21, 2, 3, 49, 17])
     assert max(r.ring for r in like_sql(spark, "fluor_rings", sf, "part")) > 4
+
+
+def test_remap_looks_at_every_image_of_a_dataset(spark, tmp_path):
+    # images 0, 10, .. 50 of one dataset; the others hold no cells of it
+    chosen = {40 * i + j: size for i, sizes in enumerate([(7, 2, 3, 11), (1, 22, 13, 5), (14, 14, 2, 9), (3, 26, 33, 7), (21, 5, 11, 4), (2, 7, 7, 13)]) for j, size in enumerate(sizes)}
+    spark.createDataFrame([*chosen.items()], "p_partkey long, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    rows = like_sql(spark, "remap_batch", str(tmp_path), "part")
+    assert len(rows) == 6
+
+
+def test_greedy_matching_walks_parts_of_a_group(spark, monkeypatch):
+    from petridish.operators import engines
+
+    monkeypatch.setattr(engines, "WALKED", 5)
+    rows = [(g, i, j, (i * j + g) % 3) for g in (1, 2) for i in range(6) for j in range(5)]
+    edges = spark.createDataFrame(rows, "g int, l int, r int, w int")
+    got = engines.greedy_matching(edges, ["g"], "l", "r", ["w", "l", "r"]).collect()
+    want, used = [], set()
+    for g, i, j, w in sorted(rows, key=lambda e: (e[3], e[1], e[2])):
+        if not {(g, "l", i), (g, "r", j)} & used:
+            used |= {(g, "l", i), (g, "r", j)}
+            want.append((g, i, j, w))
+    assert sorted(map(tuple, got)) == sorted(want)
