@@ -53,3 +53,12 @@ def test_greedy_matching_walks_parts_of_a_group(spark, monkeypatch):
             used |= {(g, "l", i), (g, "r", j)}
             want.append((g, i, j, w))
     assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_pixels_stay_with_their_image(spark, tmp_path):
+    sf = parts(spark, tmp_path, [7, 14, 35, 21, 2, 3, 49, 17])
+    before = spark.conf.getAll
+    df = entry.queries()["roi_intensity"](spark, sf)
+    assert "ENSURE_REQUIREMENTS" not in df._jdf.queryExecution().toString()
+    assert spark.conf.getAll == before
+    like_sql(spark, "roi_intensity", sf, "part")
