@@ -9,8 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from petridish.functions import polygons as poly
 from petridish.functions.numeric import sides
+from petridish.functions.polygons import box_in, shape_masks
 from petridish.functions.text import ring_cell_id, ring_number
 from petridish.operators import stencil as st
 from petridish.operators.scale import summarise, with_group_stats
@@ -34,13 +34,13 @@ def _ring_pixels(outlines: list, width: int, height: int, steps: int, growth: fl
         return np.array([list(outline[f"{side}_{axis}"]) for axis in ("x", "y")], dtype="float64")
 
     cells = [polygon(o, "cyto") for o in outlines]
-    cells = [(p, box) for p in cells if p.shape[1] >= 3 and (box := poly.box_in(*p, width, height))]
+    cells = [(p, box) for p in cells if p.shape[1] >= 3 and (box := box_in(*p, width, height))]
     if not cells:
         return np.zeros(0, "int64")
     x0, y0 = (min(box[i] for _, box in cells) for i in (0, 2))
     x1, y1 = (max(box[i] for _, box in cells) for i in (1, 3))
     # outlines that come twice count twice
-    cell = sum(poly.shape_masks(*p[:, None], x0, x1, y0, y1)[0].astype("int64") for p, _ in cells)
+    cell = sum(shape_masks(*p[:, None], x0, x1, y0, y1)[0].astype("int64") for p, _ in cells)
     factors = 1.0 + growth * np.arange(steps + 1)
     member = np.zeros((steps + 1, *cell.shape), bool)
     spills = np.zeros(steps + 1, bool)
@@ -53,14 +53,14 @@ def _ring_pixels(outlines: list, width: int, height: int, steps: int, growth: fl
             # as many steps at a time as the box of the last one allows
             last = steps + 1
             while True:
-                box = poly.box_in(xs[first:last], ys[first:last], width, height)
+                box = box_in(xs[first:last], ys[first:last], width, height)
                 if last == first + 1 or box is None:
                     break
                 if (box[1] - box[0] + 2) * (box[3] - box[2] + 1) * (last - first) <= GROWN_PIXELS:
                     break
                 last = first + max((last - first) // 2, 1)
             if box is not None:
-                shape = poly.shape_masks(xs[first:last], ys[first:last], *box)
+                shape = shape_masks(xs[first:last], ys[first:last], *box)
                 a, b, c, d = max(x0, box[0]), min(x1, box[1]), max(y0, box[2]), min(y1, box[3])
                 held = np.zeros(last - first, "int64")
                 if a <= b and c <= d:
